@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, sharding
+from . import bpe, minhash, pii, sharding
 
 #: The public tokenizer file that op2 encodes with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,5 +28,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_pii": op4_pii}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_pii": op4_pii, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
