@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, pii, sharding
+from . import bpe, lines, minhash, pii, sharding, substrings
 
 #: The public tokenizer file that op2 encodes with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,9 +28,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_documents(spark, sf_dir)))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicate_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_pii": op4_pii, "op10_minhash": op10_minhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op4_pii": op4_pii, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
