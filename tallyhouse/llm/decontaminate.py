@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import in_bitmap, key_bitmap, materialize
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, without
 
 WINDOW, SHORTEST = 8, 3
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 6
@@ -151,6 +151,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, kind (``exact`` or ``reparameterised``): one row for each leak."""
+    bound_batches(docs.sparkSession)
     items = materialize(item_windows(benchmark), "item-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most six values
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(items, "hash", 26))
@@ -181,4 +182,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a leaked item."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, find_leaks(docs, benchmark))

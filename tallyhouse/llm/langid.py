@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import bound_batches
 
 SLOTS_BITS, PROBES, GRAM = 20, 3, 4
 #: Labelled rows to fit on: about this many, chosen by a hash of doc_id.
@@ -97,6 +98,7 @@ class Filters:
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     """Filters of all languages found in the labelled rows that are not held out."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
     total = rows.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_docs / max(1, total)) * (1 << 20)) + 1)

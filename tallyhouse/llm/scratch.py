@@ -6,6 +6,7 @@ executor shares), so that a lost executor costs a re-read and never a recomputat
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,6 +29,14 @@ def root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes: texts are long, and the default of 10,000 rows a batch is not a bound on memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(re.sub(r"\D.*", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema."""
     spark = df.sparkSession
@@ -37,12 +46,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far. Call it once the results that read them are stored."""
+def written() -> list[str]:
+    """Paths of all scratch tables and files that are still there, in the order of writing."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch tables (all, or those named). Call it once the results that read them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for one in written() if paths is None else paths:
+        if one in _WRITTEN:
+            _WRITTEN.remove(one)
+            path = jvm.org.apache.hadoop.fs.Path(one)
+            path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows of ids up to which a list of ids is broadcast (8 MB); longer ones are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``. The ids are counted before they are broadcast."""
+    gone = materialize(ids.select("doc_id").distinct(), "gone-ids")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def key_bitmap(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:

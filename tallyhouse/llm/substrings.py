@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import in_bitmap, key_bitmap, materialize
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize
 
 WINDOW, PART = 35, 12
 SHARD_PIECES = 64
@@ -160,6 +160,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, from, to): word spans covered by repeated windows; ``row`` is xxhash64(doc_id, text)."""
+    bound_batches(docs.sparkSession)
     keyed = _keyed(docs)
     sc = docs.sparkSession.sparkContext
 
