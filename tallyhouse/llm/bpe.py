@@ -23,6 +23,7 @@ import json
 import os
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_words, save
-from .scratch import ship
+from .scratch import bound_batches, ship
 from .words import chunks
 
 LEXICON_WORDS = 1 << 17
 #: Distinct chunks or words that a task remembers at once.
 MEMO = 400_000
+#: Ids are below 2**SHIFT.
+SHIFT = 20
+MASK, NEVER = (1 << SHIFT) - 1, 1 << 62
 #: Words of more symbols are merged with a queue, in n log n steps.
 LONG_WORD = 48
 #: White space as the tokenizer's patterns know it (str.split() also takes 1C to 1F).
@@ -65,8 +69,8 @@ class Model:
         self.suffix: str = model["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         v = self.vocab
-        #: (left id, right id) -> (rank, id of both)
-        self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(merges)}
+        #: left id and right id in one number -> rank and id of both in one number
+        self.merges = {v[a] << SHIFT | v[b]: rank << SHIFT | v[a + b] for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.tokens = {i: t for t, i in v.items()} | {i: t for t, i in self.special.items()}
         self.pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -97,16 +101,16 @@ class Model:
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
         if len(ids) > LONG_WORD:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                found = merges.get((ids[k], ids[k + 1]))
-                if found and (best is None or found[0] < best[0]):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        get = self.merges.get
+        ranks = [get(a << SHIFT | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            at = ranks.index(best)
+            ids[at : at + 2] = [best & MASK]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << SHIFT | ids[at + 1], NEVER)
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << SHIFT | ids[at], NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -115,8 +119,8 @@ class Model:
         queue: list[tuple[int, int, int, int]] = []
 
         def offer(k: int) -> None:
-            if k >= 0 and after[k] >= 0 and (found := merges.get((ids[k], ids[after[k]]))):
-                heapq.heappush(queue, (found[0], k, ids[k], ids[after[k]]))
+            if k >= 0 and after[k] >= 0 and (found := merges.get(ids[k] << SHIFT | ids[after[k]])):
+                heapq.heappush(queue, (found >> SHIFT, k, ids[k], ids[after[k]]))
 
         for k in range(n - 1):
             offer(k)
@@ -125,7 +129,7 @@ class Model:
             j = after[k]
             if not alive[k] or j < 0 or ids[k] != left or ids[j] != right:
                 continue
-            ids[k], alive[j], after[k] = merges[left, right][1], False, after[j]
+            ids[k], alive[j], after[k] = merges[left << SHIFT | right] & MASK, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = k
             offer(before[k])
@@ -203,8 +207,7 @@ class Encoder:
         self.text: dict[str, str] = {}
 
     def _entry(self, ids) -> tuple[bytes, str]:
-        tokens = self.model.tokens
-        return np.asarray(ids, "<u4").tobytes(), " ".join([tokens[int(i)] for i in ids])
+        return array("I", ids).tobytes(), " ".join(map(self.model.tokens.__getitem__, ids))
 
     def learn(self, parts: set[str]) -> None:
         """Make every chunk of ``parts`` known."""
@@ -217,14 +220,14 @@ class Encoder:
         cut = [self.model.words(p) for p in new]
         unknown = list({w for ws in cut for w in ws if w not in self.words})
         plain = [w.encode() for w in unknown if isinstance(w, str)]
-        ranks = iter(self.lexicon.ranks(plain).tolist())
+        looked_up = iter(self.lexicon.ids_of_all(self.lexicon.ranks(plain)))
         encoded = iter(plain)
         for w in unknown:
             if isinstance(w, int):
                 self.words[w] = self._entry([w])
                 continue
-            rank, raw = next(ranks), next(encoded)
-            self.words[w] = self._entry(self.lexicon.ids_of(rank) if rank >= 0 else self.model.merge(raw))
+            ids, raw = next(looked_up), next(encoded)
+            self.words[w] = self._entry(self.model.merge(raw) if ids is None else ids)
         for p, ws in zip(new, cut, strict=True):
             if len(ws) == 1:
                 self.ids[p], self.text[p] = self.words[ws[0]]
@@ -238,6 +241,7 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WO
 
     ``keep="digest"``: doc_id, n_tokens, ids_sha256, decoded_sha256. ``keep="ids"``: doc_id, ids array<int>, decoded string.
     """
+    bound_batches(docs.sparkSession)
     model_name, lexicon_name = build_lexicon(docs, tokenizer_path, lexicon_words)
     full = keep == "ids"
 

@@ -103,7 +103,7 @@ class Lexicon:
             head = f.readline()
         for part, dtype, n, at in json.loads(head):
             array = np.memmap(path, dtype=dtype, mode="r", offset=len(head) + at, shape=(n,)) if n else np.zeros(0, dtype)
-            setattr(self, part, array)
+            setattr(self, part, np.asarray(array))  # still the mapped file, without the cost of memmap's indexing
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 where the lexicon lacks it; all words step through the arcs together."""
@@ -132,5 +132,12 @@ class Lexicon:
             step += 1
         return out
 
-    def ids_of(self, rank: int) -> np.ndarray:
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]]
+    def ids_of_all(self, ranks: np.ndarray) -> list[list[int] | None]:
+        """The ids of each rank, None for -1."""
+        known = ranks[ranks >= 0]
+        begin, end = self.offsets[known], self.offsets[known + 1]
+        sizes = end - begin
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - begin, sizes)].tolist()
+        lists = iter([flat[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
+        return [next(lists) if r >= 0 else None for r in ranks.tolist()]
