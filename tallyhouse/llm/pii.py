@@ -24,7 +24,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
 }
 #: A character that every match of the kind holds: a text without it is not searched.
-_MUST_HOLD = {"email": F.lit("@"), "phone": F.lit("+")}
+_MUST_HOLD = {"email": "@", "phone": "+"}
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Words that raise a span's score when they stand within ``CONTEXT`` code points before it.
 CONTEXT_WORDS = {
@@ -89,7 +89,7 @@ def _spans(kind: str, rank: int, text: Column) -> Column:
     score = lambda s: F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(s["near"].rlike(CONTEXT_WORDS[kind]), F.lit(0.2)).otherwise(F.lit(0.0)))
     spans = F.transform(confirmed, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), score(s).alias("score")))
     none = F.lit([]).cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
-    must = F.contains(text, _MUST_HOLD[kind]) if kind in _MUST_HOLD else text.rlike("[0-9]")
+    must = text.contains(_MUST_HOLD[kind]) if kind in _MUST_HOLD else text.rlike("[0-9]")
     return F.when(must, spans).otherwise(none)
 
 

@@ -58,4 +58,41 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _licenses_sql() -> str:
+    """The licence scan in SQL; templates become a table of bigram lists."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, licenses.bigrams(text)))}])" for name, text in sorted(licenses.TEMPLATES.items()))
+    return f"""
+with t(template, b) as (values {rows}),
+c as (select doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) l from documents where text is not null),
+u as (select doc_id, unnest(range(len(l)))::int as line, unnest(l) unit from c union all select doc_id, -1, array_to_string(l, ' ') from c where len(l) > 1),
+w as (select doc_id, line, list_filter(string_split(trim(unit), ' '), lambda x: x <> '') w from u),
+g as (select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) g from w where len(w) > 1),
+d as (select doc_id, line, template, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) dice from g join t on len(g) between len(b) * {licenses.THRESHOLD} / (2 - {licenses.THRESHOLD}) - 1e-9 and len(b) * (2 - {licenses.THRESHOLD}) / {licenses.THRESHOLD} + 1e-9)
+select doc_id, line, string_split(template, '#')[1] license, template, round(dice, 6) dice from d where dice >= {licenses.THRESHOLD} qualify row_number() over (partition by doc_id, line order by dice desc, template) = 1"""
+
+
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": _licenses_sql(),
+    "op7_substring_dedup": f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} w from documents),
+s as (select doc_id, i, array_to_string(w[i:i + 34], ' ') seq from d, unnest(range(1, len(w) - 33)) r(i)),
+twice as (select seq from s group by 1 having count(*) > 1),
+gone as (select distinct doc_id, i + k as place from s semi join twice using (seq), unnest(range(35)) q(k)),
+g as (select doc_id, list(place) gone from gone group by 1),
+k as (select d.doc_id, len(w) n, array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end, ' ') kept, coalesce(len(gone), 0) n_removed from d left join g using (doc_id))
+select doc_id, n n_words, n_removed, sha256(kept) kept_sha256 from k""",
+    "op10_minhash": f"""
+with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from d, unnest(range(1, greatest(len(w) - 3, 2))) r(i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+pairs as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+sym as (select a, b from links union select b as a, a as b from links),
+reach as (select doc_id, doc_id root from d union select r.doc_id, sym.b from reach r join sym on r.root = sym.a)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id, d.doc_id = component_id kept from d left join n using (doc_id) join (select doc_id, min(root) component_id from reach group by 1) using (doc_id)""",
+}

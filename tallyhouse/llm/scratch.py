@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _WRITTEN: list[str] = []
 
 
@@ -30,20 +32,26 @@ def root(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few megabytes: texts are long, and the default of 10,000 rows a batch is not a bound on memory."""
+    """Arrow batches of a few megabytes: texts are long, and the default of 10,000 rows a batch is not a bound on memory.
+
+    Also makes sure that Python workers can import this package.
+    """
+    ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = int(re.sub(r"\D.*", "", spark.conf.get(key)) or 0)
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with the same schema."""
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back with the same schema. ``scratch_path`` of the result is for ``release``."""
     spark = df.sparkSession
     path = f"{root(spark)}/scratch-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def written() -> list[str]:
@@ -72,10 +80,10 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def key_bitmap(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
-    """One-hash membership bitmap of a column of 64-bit hashes: ``2**bits`` bits, whatever the input.
+    """One-hash membership bitmap of a column of 64-bit hashes: ``2**bits`` bits at most, whatever the input.
 
     The bitmap is OR-ed by a partial aggregate, so at most ``2**bits / 64`` rows reach the driver.
-    It has no false negatives; the share of false positives is (distinct keys) / 2**bits, and every
+    It has no false negatives; the share of false positives is its fill, (distinct keys) / 2**bits at most, and every
     caller follows it by an exact join, so a full bitmap costs time and never changes a result.
     """
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
@@ -86,6 +94,20 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
     )
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return _folded(out, bits)
+
+
+def _folded(bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap with as few bits as keep its fill at 1/128 or less: what is broadcast follows the keys, up to the bound."""
+    used = np.flatnonzero(bitmap)
+    n = int(np.bitwise_count(bitmap[used]).sum())
+    small = max(12, int(n * 128).bit_length())
+    if small >= bits:
+        return bitmap
+    word, bit = np.nonzero(np.unpackbits(bitmap[used].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    place = (used[word] * 64 + bit) >> (bits - small)
+    out = np.zeros(1 << (small - 6), dtype=np.uint64)
+    np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
     return out
 
 
