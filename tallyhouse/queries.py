@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .operators import analytics, checks, graph, monitor, quality, relops, rules
+from .operators import analytics, checks, graph, monitor, planning, quality, relops, rules
 from .plans import compiler, digest
 from .sources.tables import percentage_sample, schema_rows, stringify_batch, tables
 
@@ -132,7 +132,7 @@ _cn = lambda t: (t("customer").where("c_custkey < 200"), t("nation").where("n_na
 for _how, _kind in (("inner", "join"), ("left", "left join"), ("right", "right join"), ("full", "full join")):
     register(f"join_{_how}", lambda t, h=_how: _cn(t)[0].join(_cn(t)[1], F.col("c_nationkey") == F.col("n_nationkey"), h).select("c_custkey", "n_name"), f"select c_custkey, n_name from (select * from customer where c_custkey < 200) {_kind} (select * from nation where n_nationkey >= 5) on c_nationkey = n_nationkey")
 register("join_semi", lambda t: t("customer").join(t("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
-register("join_anti", lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+register("join_anti", lambda t: t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 text_query("join_cross", "select r_name, n_name from region cross join nation", "region", "nation")
 text_query("join_using", "select n_name, m from nation join (select n_nationkey, n_regionkey * 2 as m from nation) q using (n_nationkey)", "nation")
 register("merge_join", lambda t: relops.merge_join(t("nation").select(F.col("n_nationkey").alias("k"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("v")), t("nation").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("v"), "n_regionkey"), [("k", "k")]), "select n_nationkey k, coalesce(case when n_nationkey % 2 = 0 then n_name end, lower(n_name)) v, n_regionkey from nation")
@@ -146,15 +146,15 @@ text_query("select_exclude", "select * exclude (c_acctbal, c_name) from customer
 text_query("case_coalesce_nullif", "select c_custkey, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' else 'much' end as band, case c_nationkey when 1 then 'one' else 'other' end as w, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as seg from customer", "customer")
 text_query("like_between_in", "select p_partkey from part where (p_name like '%ring%' and p_size between 5 and 25) or p_brand in ('Brand#1', 'Brand#2') or p_type not in ('ECONOMY', null)", "part")
 text_query("ilike_distinct_from", "select p_partkey, p_type is distinct from 'ECONOMY' as other from part where p_name ilike 'RED%' and not (p_size is null)", "part")
-text_query("integer_math", "select n_nationkey, n_nationkey / 3 as q, n_nationkey % 4 as m, -n_nationkey as neg, n_nationkey / 0 as z, n_name || '!' as bang from nation", "nation", duck="select n_nationkey, n_nationkey // 3 as q, n_nationkey % 4 as m, -n_nationkey as neg, null::int as z, n_name || '!' as bang from nation")
+text_query("integer_math", "select n_nationkey, n_nationkey / 3 as q, n_nationkey % 4 as m, -n_nationkey as neg, n_nationkey / 0 as z, n_name || '!' as bang from nation", "nation", duck="select n_nationkey, (n_nationkey // 3)::bigint as q, n_nationkey % 4 as m, -n_nationkey as neg, null::bigint as z, n_name || '!' as bang from nation")
 text_query("three_valued", "select n_nationkey, (n_nationkey > 5 and null) is null as a, (n_nationkey > 5 or null) is null as b, not (null = n_nationkey) is null as c from nation", "nation")
 text_query("cast_try_cast", "select o_orderkey, cast(o_totalprice as bigint) as whole, try_cast(o_orderpriority as int) as bad from orders where o_orderkey < 500", "orders", duck="select o_orderkey, trunc(o_totalprice)::bigint as whole, null::int as bad from orders where o_orderkey < 500")
 text_query("in_subquery", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 450000)", "customer", "orders")
-text_query("not_in_subquery", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)", "customer", "orders")
+text_query("not_in_subquery", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)", "customer", "orders")
 text_query("exists_correlated", "select c.c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F')", "customer", "orders")
 text_query("scalar_subquery", "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.9 from orders)", "orders")
 text_query("list_and_lambda", "select n_nationkey, list_contains([1, 2, 3], n_nationkey) as there, [10, 20, 30][2] as second from nation", "nation")
-text_query("string_functions", "select c_custkey, substr(c_name, 1, 8) as s, len(c_mktsegment) as n, lower(c_mktsegment) as l, upper(c_name) as u, trim(c_name) as t from customer", "customer")
+text_query("string_functions", "select c_custkey, substr(c_name, 1, 8) as s, len(c_mktsegment) as n, lower(c_mktsegment) as l, upper(c_name) as u, trim(c_name) as t from customer", "customer", duck="select c_custkey, substr(c_name, 1, 8) as s, len(c_mktsegment)::int as n, lower(c_mktsegment) as l, upper(c_name) as u, trim(c_name) as t from customer")
 text_query("date_functions", "select o_orderkey, date_diff('day', date '1995-01-01', cast(o_orderdate as date)) as d, extract(dow from o_orderdate) as dow, extract(year from o_orderdate) as y from orders", "orders", duck="select o_orderkey, date_diff('day', date '1995-01-01', cast(o_orderdate as date))::int as d, extract(dow from o_orderdate)::int as dow, extract(year from o_orderdate)::int as y from orders")
 text_query("math_functions", "select p_partkey, pow(p_size, 2) as sq, ceiling(p_retailprice / 7) as c from part", "part", exact=True, duck="select p_partkey, pow(p_size, 2) as sq, ceiling(p_retailprice / 7)::bigint as c from part")
 text_query("full_match", "select p_partkey from part where p_name ~ 'red .*'", "part", duck="select p_partkey from part where regexp_full_match(p_name, 'red .*')")
@@ -247,6 +247,23 @@ register("meaning_diff", lambda t: graph.meaning_diff(t("nation").where("n_natio
 register("rejoined_concepts", lambda t: graph.rejoined(_edges(t).union(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 3 = 0").select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("s"), "s_suppkey")))), "select 'r' || n_regionkey a, 'n' || n_nationkey b, 's' || s_suppkey c from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 0")
 register("selector", lambda t: graph.select_nodes(_nodes(t).select("node", F.lit("models/x.sql").alias("path"), F.array("kind").alias("tags"), F.lit("view").alias("materialized")), _edges(t), "r1+ tag:source", "r0"), "select 'r' || r_regionkey node from region where r_regionkey <> 0 union select 'n' || n_nationkey from nation where n_regionkey = 1 union select 's' || s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1")
 
+# ---------------------------------------------------------------- planning
+
+_counted = lambda t: t("part").where("p_partkey % 4 > 0").select(F.col("p_brand").alias("relation"), F.col("p_partkey").alias("column_key"), (F.col("p_size") % 3).alias("fingerprint"), F.make_date(F.lit(2024), F.lit(1), (F.col("p_size") % 28 + 1).cast("int")).alias("counted_at"))
+register("recount_due", lambda t: planning.recount_due(t("part").select(F.col("p_brand").alias("relation"), F.col("p_partkey").alias("column_key"), (F.col("p_size") % 2).alias("fingerprint")), _counted(t), "2024-01-20").select("column_key", "why"), "select * from (select p_partkey column_key, case when p_partkey % 4 = 0 then 'new' when p_size % 2 <> p_size % 3 then 'moved' when date_diff('day', make_date(2024, 1, p_size % 28 + 1), date '2024-01-20') >= 7 then 'old' end why from part) where why is not null")
+register("row_count_lookup", lambda t: planning.row_counts(_observed(t).withColumnRenamed("n", "row_count")), f"with {_OBSERVED_SQL} select relation, max(n) row_count from (select * from observed qualify row_number() over (partition by relation, column_name order by observed_at desc) = 1) group by 1")
+register("finding_rank", lambda t: planning.ranked_findings(_nodes(t).select(F.lit("c").alias("check_name"), F.col("node").alias("subject"), F.lit(2).alias("base")), graph.blast_radius(_nodes(t), _edges(t))).select("subject", "weight"), f"with recursive {_GRAPH}, b as (select v.node, count(distinct reached) d, count(distinct reached) filter (where k.kind = 'mart') m from v left join c on v.node = c.node left join v k on k.node = c.reached group by 1) select node subject, round(2 * (1 + least(d, 50) / 25 + least(m, 10) / 5), 6) weight from b")
+register("priority_rank", lambda t: planning.priority(t("customer").select(F.col("c_mktsegment").alias("check_name"), F.col("c_custkey").alias("subject"), F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).otherwise(0.0).alias("costs"), (F.col("c_nationkey") % 5 == 0).alias("harms"), (F.col("c_custkey") % 3).alias("marts"))).groupBy("tier").agg(F.count("*").alias("n")), "select case when c_acctbal > 9000 then 0 when c_nationkey % 5 = 0 then 1 when c_custkey % 3 > 0 then 2 else 3 end tier, count(*) n from customer group by 1")
+register("key_from_answers", lambda t: planning.key_from_answers(t("part").select(F.col("p_brand").alias("model"), F.col("p_name").alias("column_name"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 50.0).alias("p"))).select("model", F.array_join("key", "|").alias("key"), F.array_join("uncertain", "|").alias("uncertain")), "with a as (select p_brand model, p_name c, case when p_size % 5 > 0 then p_size / 50.0 end p from part), k as (select model, list_sort(list(distinct c) filter (where p is null or p > 0.35)) k, list_sort(list(distinct c) filter (where p > 0.35 and p < 0.70)) u, list_sort(list(distinct c)) e from a group by 1) select model, array_to_string(coalesce(k, e), '|') as key, coalesce(array_to_string(u, '|'), '') uncertain from k")
+register("unwatched_models", lambda t: planning.unwatched(graph.blast_radius(_nodes(t), _edges(t)), t("nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))).select("node", "marts"), f"with recursive {_GRAPH} select v.node, count(distinct reached) filter (where k.kind = 'mart') marts from v left join c on v.node = c.node left join v k on k.node = c.reached where v.node not in (select 'n' || n_nationkey from nation where n_nationkey % 2 = 0) group by 1 having count(distinct reached) filter (where k.kind = 'mart') >= 1")
+register("reason_pairs", lambda t: planning.reason_pairs(t("part").where("p_partkey < 300").select(F.col("p_brand").alias("family"), F.col("p_name").alias("reason"), F.col("p_partkey").alias("id")), 200), "with d as (select p_brand family, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) reason, min(p_partkey) id from part where p_partkey < 300 group by 1, 2) select a.family, a.id id_a, b.id id_b from d a join d b on a.family = b.family and a.id < b.id order by 1, 2, 3 limit 200")
+register("claim_pairs", lambda t: planning.claim_pairs(t("part").where("p_partkey < 150").select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("subject"), F.concat_ws(" ", "p_name", "p_type", F.lit("made in"), F.col("p_size") % 7).alias("text")), 0.7, 150), "with b as (select p_partkey id, p_brand s, list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', p_name, p_type, 'made in', p_size % 7)), '[^a-z0-9]+'), lambda w: w <> '')) w from part where p_partkey < 150) select * from (select x.id id_a, y.id id_b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) score from b x join b y on x.id < y.id and x.s <> y.s and len(x.w) >= 3 and len(y.w) >= 3) where score >= 0.7 and score < 1 order by score desc, id_a, id_b limit 150")
+register("orphan_states", lambda t: t("customer").select(F.col("c_custkey").alias("state")).join(t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("state")), "state", "left_anti"), "select c_custkey as state from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
+register("obligations", lambda t: planning.obligations(t.spark.createDataFrame([("a", "left", "customer", ["c_custkey"]), ("b", "inner", "orders", ["o_custkey"])], "model string, kind string, relation string, right_keys array<string>"), t.spark.createDataFrame([("customer", ["c_custkey"]), ("orders", ["o_orderkey"])], "relation string, columns array<string>"), None), "select 'a' model, 'left_join_preserves_rows' as rule, 'unique customer c_custkey' premise, true have union all select 'b', 'inner_join_no_fanout', 'unique orders o_custkey', false")
+register("score_stub", lambda t: planning.judged(t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("state")), "same_concept", "align.v1"))
+register("grain_routes", lambda t: planning.grain_candidates(digest.digest_texts(t.spark, PROJECT), t.spark.createDataFrame([("stg_orders", ["order_id"])], "node string, key array<string>")).select("model", "route", F.array_join("key", ",").alias("key")))
+register("probe_targets", lambda t: planning.probe_targets(digest.digest_texts(t.spark, PROJECT), schema_rows({n: t(n) for n in ("orders", "customer", "nation")})))
+
 # ---------------------------------------------------------------- laws counted on data
 
 
