@@ -234,6 +234,48 @@ CHECKS: dict[str, tuple[Callable[[dict[str, DataFrame]], DataFrame], tuple[str,
 }
 
 
+def _simple(check: str, table: str, condition: str, subject: str, detail: str = "''") -> None:
+    """A check that is a filter over one facts table."""
+    CHECKS[check] = (lambda p: _finding(p[table].where(F.expr(condition)), check, F.expr(subject), F.expr(detail)), (table,))
+
+
+# ``incrementals``: node, strategy, unique_key, filter_column, subtracts, lookback_seconds, max_late_seconds, n_repeated, columns_now, columns_before.
+_simple("incremental_merge_without_key", "incrementals", "strategy in ('merge', 'delete+insert') and unique_key is null", "node", "strategy")
+_simple("incremental_key_not_unique", "incrementals", "unique_key is not null and coalesce(n_repeated, 1) > 0", "node", "coalesce(cast(n_repeated as string), 'uncounted')")
+_simple("incremental_filter_without_lookback", "incrementals", "filter_column is not null and not coalesce(subtracts, false) and coalesce(max_late_seconds, 1) > 0", "node", "filter_column")
+_simple("lookback_shorter_than_lateness", "incrementals", "subtracts and max_late_seconds > lookback_seconds", "node", "concat(max_late_seconds, '>', lookback_seconds)")
+_simple("microbatch_without_lookback", "incrementals", "strategy = 'microbatch' and (coalesce(lookback_seconds, 0) = 0 or max_late_seconds > lookback_seconds)", "node", "cast(lookback_seconds as string)")
+_simple("incremental_schema_change_ignored", "incrementals", "size(array_except(columns_now, columns_before)) + size(array_except(columns_before, columns_now)) > 0", "node", "array_join(array_except(columns_now, columns_before), ',')")
+# ``premises``: premise_id, status, was.
+_simple("guarantee_does_not_hold", "premises", "status = 'broken'", "premise_id", "coalesce(was, 'new')")
+_simple("guarantee_lost", "premises", "status = 'broken' and was = 'holding'", "premise_id", "was")
+# ``judgments``: node, column_name, role, p, in_grain, declared_in_key.
+_simple("identifier_outside_grain", "judgments", "role = 'identifier' and not in_grain", "concat_ws('.', node, column_name)")
+_simple("measure_inside_grain", "judgments", "role = 'measure' and in_grain", "concat_ws('.', node, column_name)")
+_simple("grain_contradicts_test", "judgments", "in_grain <> declared_in_key", "concat_ws('.', node, column_name)", "cast(declared_in_key as string)")
+_simple("grain_unresolved", "judgments", "p > 0.35 and p < 0.70", "concat_ws('.', node, column_name)", "cast(p as string)")
+# ``freshness``: node, status, days_since_result.
+_simple("source_freshness_stale", "freshness", "status in ('warn', 'error', 'fail')", "node", "status")
+CHECKS["source_freshness_not_run"] = (lambda p: _finding(p["freshness"].agg(F.max("days_since_result").alias("d"), F.count("*").alias("n")).where("n > 0 and coalesce(d, 8) > 7"), "source_freshness_not_run", F.lit("project"), F.col("d")), ("freshness",))
+# ``hops``: hop, ratio, kept, lost_share, lost (see ``quality``).
+_simple("hop_multiplies_rows", "hops", "ratio > 1", "hop", "cast(ratio as string)")
+_simple("hop_drops_most_rows", "hops", "kept < 0.2", "hop", "cast(kept as string)")
+_simple("values_lost_at_hop", "hops", "lost > 0", "hop", "cast(lost_share as string)")
+# ``monitors``: monitor, state; ``reach``: node, marts, watched; ``outside``: relation, known, file.
+_simple("monitor_declared_but_never_run", "monitors", "state = 'never_run'", "monitor")
+_simple("monitor_ran_then_stopped", "monitors", "state = 'abandoned'", "monitor")
+_simple("volume_is_not_being_watched", "reach", "marts >= 1 and not watched", "node", "cast(marts as string)")
+_simple("source_volume_not_monitored", "reach", "kind = 'source' and marts >= 1 and not watched", "node", "cast(marts as string)")
+_simple("read_outside_dbt_undeclared", "outside", "not known", "relation", "file")
+_simple("sql_outside_dbt", "outside", "true", "file", "relation")
+_simple("narrow_read", "hop_columns", "available >= 5 and dropped >= 0.8 * available", "concat_ws('>', src, dst)", "cast(dropped as string)")
+# ``answers``: subject, claim, contradicts; ``config_claims``: subject, claimed, counted; ``returned``: identity, state.
+_simple("code_contradicts_a_claim", "answers", "contradicts and source = 'claim'", "subject", "claim")
+_simple("description_contradicts_the_code", "answers", "contradicts and source = 'description'", "subject", "claim")
+_simple("config_comment_contradicts_the_store", "config_claims", "claimed <> counted", "subject", "concat(claimed, '<>', counted)")
+_simple("fixed_finding_returned", "returned", "state = 'returned'", "identity")
+
+
 def run_all(project: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
     """All findings, and the checks that could not run because an input is absent."""
     unchecked = [name for name, (_, needs) in CHECKS.items() if any(n not in project for n in needs)]

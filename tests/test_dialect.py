@@ -115,3 +115,9 @@ def test_digest_facts():
     broken = digest.digest("select a from b lateral view c")
     assert not broken["readable"] and broken["reason"]
     assert [digest.provenance(k) for k in ("literal", "null", "coalesce:literal", "window:rank", "agg:sum", "column", "case")] == ["constant", "null_placeholder", "defaulted", "ranked", "aggregated", "carried", "computed"]
+
+
+def test_digest_of_unions_cases_and_times():
+    told = digest.digest("select case when a = 1 then 'x' else 'y' end as c from t join (select k, max(v) as v from u group by k) g on t.k = g.k and t.day = g.day where v > (select avg(v) from w where k = 1) union all select c from z")
+    assert told["union_members"] == ["t", "u", "w", "z"] and told["preaggregated"] == ["u"]
+    assert told["time_joins"] == ["day"] and told["case_values"] == ["x", "y"] and told["scalar_wheres"] == 1

@@ -155,3 +155,18 @@ def test_project_files_and_checks(spark, tmp_path):
     assert ("test_cannot_fail", "test.p.nn") in rows(found, "check_name", "subject")
     assert "test_is_failing" in unchecked  # no results were given: not passed
     assert rows(project.declared_columns(spark, path)) == [("model.p.stg", "id", "the id")]
+
+
+def test_checks_over_facts(spark):
+    incrementals = spark.createDataFrame(
+        [("a", "merge", None, "at", False, None, 5, None, ["x", "y"], ["x"]), ("b", "merge", "id", "at", True, 10, 5, 0, ["x"], ["x"]), ("c", "microbatch", "id", None, None, 0, None, None, ["x"], ["x"])],
+        "node string, strategy string, unique_key string, filter_column string, subtracts boolean, lookback_seconds long, max_late_seconds long, n_repeated long, columns_now array<string>, columns_before array<string>",
+    )
+    premises = spark.createDataFrame([("p", "broken", "holding"), ("q", "holding", None)], "premise_id string, status string, was string")
+    found, unchecked = checks.run_all({"incrementals": incrementals, "premises": premises})
+    assert set(rows(found, "check_name", "subject")) == {
+        ("incremental_merge_without_key", "a"), ("incremental_filter_without_lookback", "a"), ("incremental_schema_change_ignored", "a"),
+        ("incremental_key_not_unique", "c"),  # an uncounted key is not a unique one
+        ("microbatch_without_lookback", "c"), ("guarantee_does_not_hold", "p"), ("guarantee_lost", "p"),
+    }
+    assert "hop_multiplies_rows" in unchecked
