@@ -6,6 +6,8 @@ executor shares), so that a lost executor costs a re-read and never a recomputat
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import re
 import tempfile
 import uuid
@@ -38,7 +40,8 @@ def bound_batches(spark: SparkSession) -> None:
     """
     ship_package(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = int(re.sub(r"\D.*", "", spark.conf.get(key)) or 0)
+        told = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        now = int(told[1]) if told else 0
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
@@ -67,6 +70,13 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _WRITTEN.remove(one)
             path = jvm.org.apache.hadoop.fs.Path(one)
             path.getFileSystem(conf).delete(path, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps now: it acts when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Rows of ids up to which a list of ids is broadcast (8 MB); longer ones are joined by shuffle.
@@ -118,12 +128,18 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
+_ON_EXECUTORS: set[tuple[str, str]] = set()
+
+
 def ship(spark: SparkSession, content: bytes, label: str) -> str:
     """Put a file of bounded size into the shared folder and on every executor; returns its name for ``SparkFiles.get``.
 
-    The copy in the shared folder stays, so that an executor that starts later can fetch it too.
+    The copy in the shared folder stays as long as the application: an executor that starts later fetches
+    every file that was added. Equal content is sent once.
     """
-    name = f"{label}-{uuid.uuid4().hex}"
+    name = f"{label}-{hashlib.sha256(content).hexdigest()[:24]}"
+    if (spark.sparkContext.applicationId, name) in _ON_EXECUTORS:
+        return name
     path = f"{root(spark)}/{name}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
@@ -131,6 +147,6 @@ def ship(spark: SparkSession, content: bytes, label: str) -> str:
         stream.write(bytearray(content))
     finally:
         stream.close()
-    _WRITTEN.append(path)
     spark.sparkContext.addFile(path if "://" in path or path.startswith("file:") else "file://" + path)
+    _ON_EXECUTORS.add((spark.sparkContext.applicationId, name))
     return name
