@@ -3,9 +3,10 @@
 1. Each text becomes its set of distinct 5-word shingles, 128 minima, 32 band keys (four whole minima each)
    and a packed signature of the low 4 bits of each minimum.
 2. Texts with equal sets form one class; only classes go on, so copies cost one row each.
-3. Each bucket of a band compares its members with its least member (a star, not all pairs); then only
-   members that this left in different groups are compared with one another. The collision-corrected
-   similarity of the packed signatures must reach ``ESTIMATE`` before a pair is made at all.
+3. Each bucket of a band compares its members with a few leaders (stars, not all pairs). In buckets whose
+   members this leaves in several components, those outside of the largest meet many of its members; only
+   what is then still apart is compared pair by pair, and there a bitmap of each set also bounds the overlap.
+   The collision-corrected similarity of the packed signatures must reach ``ESTIMATE`` before a pair is confirmed. Members of one component need no link more.
 4. Pairs are confirmed on their full shingle sets, and the links' components are found by label rounds.
 
 A pair of similarity 0.75 shares a band with probability 1 - (1 - 0.75**4)**32 > 0.99999 and is kept by
@@ -23,18 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import in_bitmap, key_bitmap, materialize
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, without
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 #: Least similarity, as a fraction of integers, so that it is decided exactly.
 NEAR = (75, 100)
 ESTIMATE = 0.55
+#: Words of the bitmap of a set that bounds overlaps exactly (2,048 bits).
+BITMAP_WORDS = 32
+#: Leaders that all members of a bucket meet; members of its core that all others meet in each round; most rounds.
+LEADERS, CORE_LEADERS, CORE_ROUNDS = 1, 4, 8
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +103,16 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / F.lit(MINIMA)) - chance) / (1 - chance)
 
 
+def _overlap_bound(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Most members that two sets can share: bitmaps that differ in h bits come from sets that differ in h members at least."""
+    differ = F.lit(0)
+    for k in range(BITMAP_WORDS):
+        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return F.floor((n_a + n_b - differ) / 2)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_hash, shingles) of the wanted classes, one row each. Other texts are skipped before they are read as words."""
+    """(set_hash, shingles, bitmap) of the wanted classes, one row each. Other texts are skipped before they are read as words."""
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +122,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for _, text in W.chunks(iter([batch])):
                 hashes, of = _shingled(text, size)
                 at = W.starts(of, len(text))
-                yield pa.record_batch([pa.array(W.set_hash(hashes, of, len(text)).view(np.int64)), W.list_array(hashes, at)], ["set_hash", "shingles"])
+                bitmap_of = np.zeros(len(text) * BITMAP_WORDS, np.uint64)
+                place = (hashes >> np.uint64(40)).astype(np.int64) % (64 * BITMAP_WORDS)
+                np.bitwise_or.at(bitmap_of, of * BITMAP_WORDS + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+                columns = [pa.array(W.set_hash(hashes, of, len(text)).view(np.int64)), W.list_array(hashes, at), W.list_array(bitmap_of, np.arange(len(text) + 1) * BITMAP_WORDS)]
+                yield pa.record_batch(columns, ["set_hash", "shingles", "bitmap"])
 
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(run, "set_hash long, shingles array<long>")
-    return found.join(wanted.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("shingles").alias("shingles"))
+    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(run, "set_hash long, shingles array<long>, bitmap array<long>")
+    return found.join(wanted.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("shingles").alias("shingles"), F.any_value("bitmap").alias("bitmap"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,43 +140,80 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("common", common).where(NEAR[1] * F.col("common") >= NEAR[0] * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def near_links(docs: DataFrame, base: DataFrame, size: int = 5) -> DataFrame:
-    """Confirmed links between classes of equal sets: (a, b) of set hashes, enough to connect every component."""
+def near_classes(docs: DataFrame, base: DataFrame, size: int = 5) -> DataFrame:
+    """(node, root) of set hashes: the classes of equal sets that are linked, and one class for each component."""
     classes = materialize(
         base.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "classes"
     )
     rows = classes.select("set_hash", F.explode("bands").alias("key"))
-    # The least member leads its bucket; buckets of one member are gone after this.
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set_hash").alias("lead")).where("n > 1").drop("n")
-    members = materialize(rows.join(buckets, "key"), "members")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = materialize(rows.join(buckets, "key", "left_semi"), "members")
+    ends = members.select("set_hash").distinct().join(classes.select("set_hash", "doc_id"), "set_hash")
+    sets = materialize(_sets(docs, ends, size), "sets")
     signed = classes.select("set_hash", "n", "sig")
     side = lambda name: signed.select(F.col("set_hash").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     fits = NEAR[1] * F.least("n_a", "n_b") >= NEAR[0] * F.greatest("n_a", "n_b")
     alike = fits & (estimate(F.col("sig_a"), F.col("sig_b")) >= ESTIMATE)
-    stars = members.where("set_hash <> lead").select(F.col("lead").alias("a"), F.col("set_hash").alias("b")).distinct()
-    stars = materialize(stars.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b"), "stars")
-
-    ends = members.select("set_hash").distinct().join(classes.select("set_hash", "doc_id"), "set_hash")
-    sets = materialize(_sets(docs, ends, size), "sets")
-    links = materialize(_confirm(stars, sets), "links")
 
-    # Members that the stars left apart: a label each (two steps along confirmed links), then the other pairs of mixed buckets.
-    step = links.select(F.col("b").alias("node"), F.col("a").alias("label")).union(links.select(F.col("a").alias("node"), F.col("a").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-    step = materialize(step, "labels")
-    two = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select(F.col("node").alias("set_hash"), F.coalesce("next", "label").alias("label"))
-    labelled = members.join(two, "set_hash", "left").withColumn("label", F.coalesce("label", "set_hash"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").where("set_hash <> lead").join(signed, "set_hash"), "rest")
-    left = rest.select("key", F.col("set_hash").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    right = rest.select("key", F.col("set_hash").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b").distinct()
-    return links.union(_confirm(materialize(more, "more"), sets))
+    def stars(few: DataFrame, leads: DataFrame, label: str) -> DataFrame:
+        """Confirmed links of the rows (key, set_hash) of ``few`` with the leaders (key, leads) of their buckets."""
+        own = few.join(leads, "key").groupBy("set_hash").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+        met = own.select(F.col("set_hash").alias("x"), F.explode("leads").alias("y")).where("x <> y")
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = materialize(pairs.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b"), "stars")
+        return materialize(_confirm(pairs, sets), label)
+
+    first = Window.partitionBy("key").orderBy("set_hash")
+    leads = members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS).groupBy("key").agg(F.collect_list("set_hash").alias("leads"))
+    roots = components(stars(members, leads, "links"))
+
+    # In each mixed bucket the largest group is its core; the others meet some of its members, and other ones
+    # in the next round, for as long as that joins many of them.
+    mixed, before = _mixed(members, roots), None
+    for again in range(CORE_ROUNDS):
+        core = mixed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("core")).select("key", "core.label")
+        others = materialize(mixed.join(core, ["key", "label"], "left_anti").select("key", "set_hash"), "others")
+        now = others.select("set_hash").distinct().count()
+        if not now or (before is not None and now > 0.7 * before):
+            break
+        before = now
+        some = Window.partitionBy("key").orderBy(F.xxhash64("set_hash", F.lit(again)))
+        leads = mixed.join(core, ["key", "label"]).withColumn("k", F.row_number().over(some)).where(F.col("k") <= CORE_LEADERS).groupBy("key").agg(F.collect_list("set_hash").alias("leads"))
+        roots = _merged(roots, stars(others, leads, "links"))
+        mixed = _mixed(members, roots)
+
+    rest = materialize(mixed.join(signed, "set_hash").join(sets.select("set_hash", "bitmap"), "set_hash"), "rest")
+    left = rest.select("key", F.col("set_hash").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"), F.col("bitmap").alias("bits_a"))
+    right = rest.select("key", F.col("set_hash").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("bitmap").alias("bits_b"))
+    most = _overlap_bound(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))
+    possible = NEAR[1] * most >= NEAR[0] * (F.col("n_a") + F.col("n_b") - most)
+    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike & possible).select("a", "b").distinct()
+    return _merged(roots, _confirm(materialize(more, "more"), sets))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after some more links: only the links' own roots are joined up, not all links again."""
+    links = materialize(links, "more-links")
+    ends = links.select(F.col("a").alias("node"), F.col("a").alias("root")).union(links.select("b", "b"))
+    known = materialize(roots.union(ends).groupBy("node").agg(F.min("root").alias("root")), "roots")
+    rooted = links.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    up = components(rooted.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(known.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, set_hash, label) of the members in buckets that hold more than one component so far."""
+    roots = roots.select(F.col("node").alias("set_hash"), F.col("root").alias("label"))
+    labelled = materialize(members.join(roots, "set_hash", "left").withColumn("label", F.coalesce("label", "set_hash")), "labelled")
+    torn = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return materialize(labelled.join(torn, "key", "left_semi"), "mixed")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), for every row."""
+    bound_batches(docs.sparkSession)
     base = materialize(signatures(docs, size), "signatures")
-    roots = materialize(components(near_links(docs, base, size)).select(F.col("node").alias("set_hash"), "root"), "roots")
+    roots = near_classes(docs, base, size).select(F.col("node").alias("set_hash"), "root")
     classes = base.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     known = classes.join(roots, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     known = materialize(known.where((F.col("copies") > 1) | F.col("root").isNotNull()).select("set_hash", "root", "least"), "class-roots")
@@ -171,6 +225,11 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a smaller doc_id; documents without words stay."""
-    gone = near_duplicates(docs, size).where(~F.col("kept") & F.col("component_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """``docs`` without the documents that are near copies of one with a smaller doc_id.
+
+    Documents without words and rows without a doc_id stay; of rows that repeat doc_id and text, one stays.
+    """
+    found = near_duplicates(docs, size)
+    out = without(docs, found.where(~F.col("kept")))
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
