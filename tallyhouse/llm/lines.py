@@ -4,12 +4,14 @@ A line is its set of distinct 5-word shingles (A-Z lower-cased; fewer words: the
 A line goes if an earlier line of the corpus, in the order of (doc_id, line number), has a similarity
 (Jaccard) of 0.75 or more; equal sets have similarity 1. Lines without words always stay.
 
-1. A count sketch of fixed size over all shingles gives every shingle its rarity.
-2. Equal sets become one row with their first place; its prefix holds the rarest shingles, of which two
-   near lines share at least one. A bitmap of fixed size drops prefix shingles that nothing shares.
-3. Each shingle's list is compared with its earliest line only (length filter, positional filter, exact
-   verification). What this removes needs no more comparisons; this settles large groups of near copies.
-4. Lines that are left are compared with all earlier lines of their lists, by the same filters.
+1. One pass reads the words and stores every line's set of 32-bit shingle hashes in the shared folder, with a
+   count sketch of fixed size that gives every shingle its rarity. All further steps read that table.
+2. Equal sets count as one, at their first place. The prefix of a set holds its rarest shingles, of which
+   two near lines share at least one. A bitmap of fixed size drops prefix shingles that nothing shares.
+3. Each shingle's list is compared with its earliest line only (length, positional and bitmap filters,
+   exact verification). What this removes needs no more comparisons; this settles large groups of near copies.
+4. Lines that are left are compared with some more of the earliest lines of long lists, and what then is
+   still left with all other lines of its lists, by the same filters.
 5. The surviving first places meet their documents, and all other lines with words are removed.
 
 Defined results: a null text stays null; an empty text stays empty and has one empty line; rows that
@@ -22,17 +24,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import in_bitmap, key_bitmap, materialize
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, release, tidy
 
 #: Least similarity as a fraction of integers.
 NEAR = (75, 100)
 SKETCH_BITS = 18
+#: Lists of more lines than this first compare what is left with so many of their earliest lines.
+LONG_LIST, LEADERS = 32, 12
+#: Words of the bitmap that long lists use besides.
+WIDE_WORDS = 8
 
 
 class Lines:
@@ -56,23 +63,39 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def rarity(docs: DataFrame, size: int) -> np.ndarray:
-    """Count sketch of all shingles: 2**SKETCH_BITS counters summed over the corpus.
+def _stored(keyed: DataFrame, size: int) -> DataFrame:
+    """Every line with words: set_hash, n, doc_id, row, line, place_hash, tokens; and one row a task that carries only its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        names = ["set_hash", "n", "doc_id", "row", "line", "place_hash", "tokens", "sketch"]
+        for part, text in W.chunks(batches):
+            found = Lines(text, size)
+            token = (found.hashes >> np.uint64(32)).astype(np.uint32)
+            sketch += np.bincount(token >> np.uint32(32 - SKETCH_BITS), minlength=len(sketch)).astype(np.uint32)
+            full = np.flatnonzero(found.n)
+            at = pa.array(found.text[full])
+            row = part.column(2).take(at)
+            place = W.mix(np.asarray(row).view(np.uint64) + found.number[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            offsets = np.concatenate([[0], 4 * np.cumsum(found.n[full])]).astype(np.int32)
+            tokens = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(token))])
+            columns = [_longs(found.set_hash[full]), pa.array(found.n[full].astype(np.int32)), part.column(1).take(at), row, pa.array(found.number[full].astype(np.int32)), _longs(place), tokens]
+            yield pa.record_batch([*columns, pa.nulls(len(full), pa.binary())], names)
+        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+        yield pa.record_batch([*empty, pa.array([sketch.tobytes()], pa.binary())], names)
+
+    schema = "set_hash long, n int, doc_id long, row long, line int, place_hash long, tokens binary, sketch binary"
+    return materialize(keyed.select("text", "doc_id", "row").mapInArrow(run, schema), "lines", "none")  # hashes do not compress
+
+
+def rarity(stored: DataFrame) -> np.ndarray:
+    """Count sketch of all shingles: 2**SKETCH_BITS counters, summed over all tasks in a tree.
 
     Counters that do not stand out of the noise of their neighbours become 0, so the order by
     (counter, hash) puts frequent shingles last and is the same total order everywhere.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, text in W.chunks(batches):
-            total += np.bincount((Lines(text, size).hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        slot = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    parts = stored.where("sketch is not null").select("sketch").rdd.map(lambda r: np.frombuffer(r[0], np.uint32).astype(np.int64))
+    sketch = parts.treeAggregate(np.zeros(1 << SKETCH_BITS, np.int64), lambda a, b: a + b, lambda a, b: a + b, 3)
     usual = float(np.median(sketch))
     return np.where(sketch > usual + 8 * np.sqrt(usual) + 8, sketch, 0)
 
@@ -81,113 +104,201 @@ def _near(a: Column, b: Column, common: Column) -> Column:
     return NEAR[1] * common >= NEAR[0] * (a + b - common)
 
 
-def _possible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
-    """Length filter and positional filter of a pair that shares the shingle at these places of its prefixes."""
-    return (NEAR[1] * F.least(n_a, n_b) >= NEAR[0] * F.greatest(n_a, n_b)) & _near(n_a, n_b, F.least(pos_a, pos_b) + F.least(n_a - pos_a, n_b - pos_b))
+def _possible(a: str, b: str) -> Column:
+    """Length, positional and bitmap filter of a pair that shares a shingle; ``a`` and ``b`` prefix the columns n, pos, b0, b1.
 
+    Sets whose bitmaps differ in h bits differ in h members at least, so they share (n_a + n_b - h) / 2 at most.
+    """
+    x, y = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
+    by_length = NEAR[1] * F.least(x("n"), y("n")) >= NEAR[0] * F.greatest(x("n"), y("n"))
+    by_place = _near(x("n"), y("n"), F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1)
+    differ = F.bit_count(x("b0").bitwiseXOR(y("b0"))) + F.bit_count(x("b1").bitwiseXOR(y("b1")))
+    by_bitmap = _near(x("n"), y("n"), F.floor((x("n") + y("n") - differ) / 2))
+    return by_length & by_place & by_bitmap
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat uint32 tokens and their number in each row of a binary column."""
+    if not len(packed):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint32) if data is not None else np.zeros(0, np.uint32)
+    return flat, np.diff(offsets).astype(np.int64) // 4
+
+
+class Prefixes:
+    """The prefixes of a batch of stored lines: row index, token and place in the prefix, all flat."""
+
+    def __init__(self, lists: pa.Array, sketch: np.ndarray):
+        token, sizes = _unpacked(lists)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        frequency = sketch[token >> np.uint32(32 - SKETCH_BITS)]
+        heavy = np.zeros(len(sizes), bool)
+        heavy[row[frequency > 0]] = True
+        if heavy.any():  # stored tokens are in hash order; only these rows change theirs
+            at = np.flatnonzero(heavy[row])
+            order = np.lexsort((token[at], frequency[at], row[at]))
+            token = token.copy()
+            token[at] = token[at][order]
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ok = pos < np.repeat(sizes - (NEAR[0] * sizes + NEAR[1] - 1) // NEAR[1] + 1, sizes)
+        self.row, self.token, self.pos = row[ok], token[ok], pos[ok]
+        # A bitmap of 128 bits of each whole set; every stored set has a token.
+        bit = (token * np.uint32(0x9E3779B1)) >> np.uint32(25)
+        one = np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        self.bitmap = [np.bitwise_or.reduceat(np.where((bit >> np.uint32(6)) == half, one, np.uint64(0)), starts) if len(token) else one for half in (0, 1)]
+
+
+def _wide(token: np.ndarray) -> np.ndarray:
+    return W.mix(token.astype(np.uint64) + np.uint64(1))
+
+
+def _postings(stored: DataFrame, places: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(token, set_hash, n, pos, doc_id, b0, b1) for prefix shingles that more than one set may share."""
+    sc = stored.sparkSession.sparkContext
+    first, order = sc.broadcast(key_bitmap(places, "place_hash", 26)), sc.broadcast(sketch)
+    lines = stored.where("sketch is null")
+
+    def firsts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows that may be the first place of their set; the few others only make lists longer."""
+        return batch.filter(pa.array(in_bitmap(first.value, np.asarray(batch.column(1)).view(np.uint64))))
 
-def _prefixed(keyed: DataFrame, size: int) -> DataFrame:
-    """One row a distinct set: set_hash, n, place (its first), prefix (its rarest shingles in order)."""
-    sketch = keyed.sparkSession.sparkContext.broadcast(rarity(keyed, size))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, n = np.unique(_wide(Prefixes(firsts(batch).column(0), order.value).token), return_counts=True)
+            yield pa.record_batch([_longs(token), pa.array(n.astype(np.int32))], ["token", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, text in W.chunks(batches):
-            found = Lines(text, size)
-            hashes = found.hashes
-            frequency = sketch.value[hashes >> np.uint64(64 - SKETCH_BITS)]
-            if frequency.any():
-                hashes = hashes[np.lexsort((hashes, frequency, found.of))]
-            full = np.flatnonzero(found.n)
-            n = found.n[full]
-            prefix = n - (NEAR[0] * n + NEAR[1] - 1) // NEAR[1] + 1
-            offsets = np.concatenate([[0], np.cumsum(prefix)])
-            index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], prefix) + np.repeat(found.at[full], prefix)
-            doc, row = part.column(1).take(pa.array(found.text[full])), part.column(2).take(pa.array(found.text[full]))
-            yield pa.record_batch(
-                [_longs(found.set_hash[full]), pa.array(n.astype(np.int32)), doc, row, pa.array(found.number[full].astype(np.int32)), W.list_array(hashes[index], offsets)],
-                ["set_hash", "n", "doc_id", "row", "line", "prefix"],
-            )
-
-    lines = keyed.select("text", "doc_id", "row").mapInArrow(run, "set_hash long, n int, doc_id long, row long, line int, prefix array<long>")
-    place = F.struct("doc_id", "row", "line")
-    return lines.groupBy("set_hash").agg(F.any_value("n").alias("n"), F.min(place).alias("place"), F.any_value("prefix").alias("prefix"))
-
-
-def _postings(distinct: DataFrame) -> DataFrame:
-    """(token, set_hash, n, pos, place) for prefix shingles that more than one set may share."""
-    shared = distinct.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    bitmap = distinct.sparkSession.sparkContext.broadcast(key_bitmap(shared, "token", 26))
+    counted = lines.select("tokens", "place_hash").mapInArrow(count, "token long, n int")
+    shared = sc.broadcast(key_bitmap(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "token", 26))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            sizes = np.diff(np.asarray(lists.offsets))
-            token = np.asarray(lists.flatten())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            ok = np.flatnonzero(in_bitmap(bitmap.value, token.view(np.uint64)))
-            at = pa.array(row[ok])
-            yield pa.record_batch([pa.array(token[ok]), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[ok].astype(np.int32)), batch.column(2).take(at)], ["token", "set_hash", "n", "pos", "place"])
+            batch = firsts(batch)
+            found = Prefixes(batch.column(0), order.value)
+            token = _wide(found.token)
+            ok = np.flatnonzero(in_bitmap(shared.value, token))
+            at = pa.array(found.row[ok])
+            bitmaps = [_longs(found.bitmap[half][found.row[ok]]) for half in (0, 1)]
+            yield pa.record_batch([_longs(token[ok]), batch.column(2).take(at), batch.column(3).take(at), pa.array(found.pos[ok].astype(np.int32)), batch.column(4).take(at), *bitmaps], ["token", "set_hash", "n", "pos", "doc_id", "b0", "b1"])
 
-    schema = "token long, set_hash long, n int, pos int, place struct<doc_id:long,row:long,line:int>"
-    return distinct.select("set_hash", "n", "place", "prefix").mapInArrow(run, schema)
+    return lines.select("tokens", "place_hash", "set_hash", "n", "doc_id").mapInArrow(post, "token long, set_hash long, n int, pos int, doc_id long, b0 long, b1 long")
 
 
-def _full_sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_hash, shingles) of the wanted sets, one row each."""
-    bitmap = keyed.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "set_hash", 26))
+def _full_sets(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_hash, tokens, bitmap) of the wanted sets, one row each."""
+    bitmap = stored.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "set_hash", 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, text in W.chunks(batches):
-            found = Lines(text, size)
-            ok = np.flatnonzero((found.n > 0) & in_bitmap(bitmap.value, found.set_hash))
-            _, once = np.unique(found.set_hash[ok], return_index=True)
-            ok = ok[once]
-            offsets = np.concatenate([[0], np.cumsum(found.n[ok])]).astype(np.int64)
-            index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], found.n[ok]) + np.repeat(found.at[ok], found.n[ok])
-            yield pa.record_batch([_longs(found.set_hash[ok]), W.list_array(found.hashes[index], offsets)], ["set_hash", "shingles"])
+        for batch in batches:
+            key = np.asarray(batch.column(0))
+            ok = np.flatnonzero(in_bitmap(bitmap.value, key.view(np.uint64)))
+            once = batch.take(pa.array(ok[np.unique(key[ok], return_index=True)[1]]))
+            token, sizes = _unpacked(once.column(1))
+            place = (token * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int64) % (64 * WIDE_WORDS)
+            wide = np.zeros(len(sizes) * WIDE_WORDS, np.uint64)
+            np.bitwise_or.at(wide, np.repeat(np.arange(len(sizes)), sizes) * WIDE_WORDS + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+            yield pa.record_batch([*once.columns, W.list_array(wide, np.arange(len(sizes) + 1) * WIDE_WORDS)], ["set_hash", "tokens", "bitmap"])
+
+    sets = stored.where("sketch is null").select("set_hash", "tokens").mapInArrow(run, "set_hash long, tokens binary, bitmap array<long>")
+    return sets.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("tokens").alias("tokens"), F.any_value("bitmap").alias("bitmap"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, places: DataFrame) -> DataFrame:
+    """The later set (column ``set_hash``) of each pair (a, b) that is near."""
+    known = sets.select("set_hash", "tokens").join(places.select("set_hash", "place"), "set_hash")
+    one = known.select(F.col("set_hash").alias("a"), F.col("tokens").alias("ta"), F.col("place").alias("pa"))
+    two = known.select(F.col("set_hash").alias("b"), F.col("tokens").alias("tb"), F.col("place").alias("pb"))
+    both = pairs.join(one, "a").join(two, "b").select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("set_hash"), "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            (a, na), (b, nb) = _unpacked(batch.column(1)), _unpacked(batch.column(2))
+            # A token of a pair that both sets hold comes twice in the sorted union of (pair, token).
+            keys = np.concatenate([np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)]).astype(np.uint64) << np.uint64(32) | np.concatenate([a, b])
+            keys.sort()
+            common = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n)
+            yield batch.select([0]).filter(pa.array(NEAR[1] * common >= NEAR[0] * (na + nb - common)))
+
+    return both.mapInArrow(run, "set_hash long").distinct()
 
-    sets = keyed.select("text").mapInArrow(run, "set_hash long, shingles array<long>")
-    return sets.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("shingles").alias("shingles"))
 
+def _by_wide_bitmap(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
+    """The bitmap filter with 512 bits."""
+    differ = F.lit(0)
+    for k in range(WIDE_WORDS):
+        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return _near(n_a, n_b, F.floor((n_a + n_b - differ) / 2))
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The later sets (column ``set_hash``) of the pairs (early, late) that are near."""
-    late = pairs.join(sets.select(F.col("set_hash").alias("late"), F.col("shingles").alias("sl")), "late")
-    both = late.join(sets.select(F.col("set_hash").alias("early"), F.col("shingles").alias("se")), "early")
-    common = both.select("late", F.size("sl").alias("a"), F.size("se").alias("b"), F.size(F.array_intersect("sl", "se")).alias("common"))
-    return common.where(_near(F.col("a"), F.col("b"), F.col("common"))).select(F.col("late").alias("set_hash")).distinct()
+
+def _pairs(rows: DataFrame, gone: DataFrame, test: Column) -> DataFrame:
+    """(a, b): the rows that are left, each with all rows of its lists that the filters let through."""
+    mates = rows.select("token", *[F.col(c).alias("mate" if c == "set_hash" else f"mate_{c}") for c in rows.columns if c != "token"])
+    met = rows.join(gone, "set_hash", "left_anti").join(mates, "token").where((F.col("mate") != F.col("set_hash")) & _possible("", "mate_") & test)
+    return met.select(F.least("set_hash", "mate").alias("a"), F.greatest("set_hash", "mate").alias("b"))
 
 
 def kept_lines(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(row, line): the places of all lines with words that stay; ``row`` is xxhash64(doc_id, text)."""
+    """(row, lines, loses): the numbers of all lines with words that stay, and whether others go; ``row`` is xxhash64(doc_id, text)."""
+    bound_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    distinct = materialize(_prefixed(keyed, size), "line-sets")
-    postings = materialize(_postings(distinct), "postings")
-    lists = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("place", "set_hash", "n", "pos")).alias("lead")).where("c > 1").drop("c")
-    members = materialize(postings.join(lists, "token").where(F.col("set_hash") != F.col("lead.set_hash")), "line-members")
-    fits = _possible(F.col("n"), F.col("pos") + 1, F.col("lead.n"), F.col("lead.pos") + 1)
-    stars = materialize(members.where(fits).select(F.col("lead.set_hash").alias("early"), F.col("set_hash").alias("late")).distinct(), "line-stars")
-
-    left = members.select("token", "set_hash", "n", "pos", "place")
-    mates = left.select("token", F.col("set_hash").alias("early"), F.col("n").alias("n_early"), F.col("pos").alias("pos_early"), F.col("place").alias("place_early"))
-    wanted = materialize(members.select("set_hash").union(members.select("lead.set_hash")).distinct(), "wanted-sets")
-    sets = materialize(_full_sets(keyed, wanted, size), "full-sets")
-    gone = materialize(_verified(stars, sets), "gone-first")
-
-    open_ = left.join(gone, "set_hash", "left_anti")
-    again = open_.join(mates, "token").where((F.col("place_early") < F.col("place")) & _possible(F.col("n"), F.col("pos") + 1, F.col("n_early"), F.col("pos_early") + 1))
-    more = _verified(materialize(again.select("early", F.col("set_hash").alias("late")).distinct(), "line-pairs"), sets)
-    stay = distinct.join(gone.union(more), "set_hash", "left_anti")
-    return stay.select("place.row", "place.line")
+    stored = _stored(keyed, size)
+    lines = stored.where("sketch is null")
+    places = lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "row", "line", "place_hash")).alias("place"))
+    places = materialize(places.select("set_hash", F.struct("place.doc_id", "place.row", "place.line").alias("place"), "place.place_hash"), "places")
+    postings = materialize(_postings(stored, places, rarity(stored)), "postings")
+    tidy(docs.sparkSession)
+    lists = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.min(F.struct("doc_id", "set_hash", "n", "pos", "b0", "b1")).alias("lead")).where("lo <> hi")
+    members = materialize(postings.join(lists.select("token", "lead", "c"), "token"), "line-members")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = members.where(_possible("", "lead.") & (F.col("set_hash") != F.col("lead.set_hash"))).select(*pair(F.col("lead.set_hash"), F.col("set_hash"))).distinct()
+    stars = materialize(stars, "line-stars")
+
+    sets = materialize(_full_sets(stored, members.select("set_hash").distinct()), "full-sets")
+    totals = materialize(lines.groupBy("row").agg(F.count_distinct("line").alias("n_lines")), "line-totals")
+    release(docs.sparkSession, [stored.scratch_path, postings.scratch_path])
+    gone = materialize(_verified(stars, sets, places), "gone-first")
+
+    tidy(docs.sparkSession)
+    # In long lists, what is left meets some more of the earliest lines before it meets all.
+    long = members.where(F.col("c") > LONG_LIST)
+    first = Window.partitionBy("token").orderBy("doc_id", "set_hash")
+    leads = long.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS).groupBy("token").agg(F.collect_list("set_hash").alias("leads"))
+    met = long.join(gone, "set_hash", "left_anti").join(leads, "token").groupBy("set_hash").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+    known = members.groupBy("set_hash").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1")]).withColumn("pos", F.lit(0))
+    side = lambda key, name: known.select(F.col("set_hash").alias(key), *[F.col(c).alias(f"{name}{c}") for c in ("n", "pos", "b0", "b1")])
+    more = met.select("set_hash", F.explode("leads").alias("mate")).where("set_hash <> mate").join(side("mate", "mate_"), "mate").join(side("set_hash", ""), "set_hash")
+    more = materialize(more.where(_possible("", "mate_")).select(*pair(F.col("set_hash"), F.col("mate"))).distinct(), "line-stars")
+    gone = materialize(gone.union(_verified(more, sets, places)).distinct(), "gone-more")
+
+    rows = members.where(F.col("set_hash") != F.col("lead.set_hash")).select("token", "set_hash", "n", "pos", "b0", "b1", "c")
+    short, long = rows.where(F.col("c") <= LONG_LIST), rows.where(F.col("c") > LONG_LIST).join(sets.select("set_hash", "bitmap"), "set_hash")
+    pairs = _pairs(short, gone, F.lit(True)).union(_pairs(long, gone, _by_wide_bitmap(F.col("n"), F.col("bitmap"), F.col("mate_n"), F.col("mate_bitmap")))).distinct()
+    more = _verified(materialize(pairs, "line-pairs"), sets, places)
+    stay = places.join(gone.union(more), "set_hash", "left_anti").select("place.row", "place.line")
+    kept = totals.join(stay.groupBy("row").agg(F.collect_list("line").alias("lines")), "row", "left")
+    return kept.select("row", "lines", (F.col("n_lines") > F.coalesce(F.size("lines"), F.lit(0))).alias("loses"))
 
 
 def deduplicate_lines(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``docs`` with later near copies of lines removed from ``text``, and columns ``n_lines`` and ``n_lines_removed``."""
-    kept = materialize(kept_lines(docs, size).groupBy("row").agg(F.collect_list("line").alias("__lines")), "kept-lines")
+    """``docs`` with later near copies of lines removed from ``text``, and columns ``n_lines`` and ``n_lines_removed``.
+
+    Only documents that lose lines (and a few that a bitmap of fixed size takes for such) are moved.
+    """
+    kept = materialize(kept_lines(docs, size), "kept-lines").where("loses").select(F.col("row").alias("__row"), F.coalesce("lines", F.lit([]).cast("array<int>")).alias("__lines"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(kept, "__row", 24))
+
+    @F.pandas_udf("boolean")
+    def may_lose(row: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap.value, row.to_numpy().view(np.uint64)))
+
     columns = docs.columns
-    joined = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("row", "__row"), "__row", "left")
-    joined = joined.select(*columns, "__lines")
+    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text")).withColumn("__may", may_lose("__row"))
+    breaks = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    whole = marked.where(~F.col("__may")).select(*columns, F.when(F.col("text").isNull(), 0).otherwise(breaks).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_lines_removed"))
+    joined = marked.where("__may").join(kept, "__row", "left").select(*columns, "__lines")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +306,7 @@ def deduplicate_lines(docs: DataFrame, size: int = 5) -> DataFrame:
             texts, lines_in, lines_gone = [], [], []
             for one, null, keep in zip(text.to_pylist(), part.column(at).is_null().to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
                 lines, stay = one.split("\n"), set(keep or ())
-                out = [x for k, x in enumerate(lines) if k in stay or not x.strip(" \t\n\v\f\r")]
+                out = lines if keep is None else [x for k, x in enumerate(lines) if k in stay or not x.strip(" \t\n\v\f\r")]
                 texts.append(None if null else "\n".join(out))
                 lines_in.append(0 if null else len(lines))
                 lines_gone.append(0 if null else len(lines) - len(out))
@@ -205,4 +316,4 @@ def deduplicate_lines(docs: DataFrame, size: int = 5) -> DataFrame:
     schema = docs.select(*columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_lines_removed")).schema
     for field in schema:
         field.nullable = True
-    return joined.mapInArrow(run, schema)
+    return whole.union(joined.mapInArrow(run, schema))
