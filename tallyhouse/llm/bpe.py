@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a transducer lexicon of the corpus's frequent words.
 
 1. Count the words of the whole corpus (partial counts in each task, one sum per word).
-2. Merge the ``lexicon_words`` most frequent ones on the driver, and compile them with their ids into a
+2. Merge the most frequent ones (``lexicon_words`` at most, down to a count that a histogram gives) on the driver, and compile them with their ids into a
    minimal acyclic transducer (``lexicon.py``): a table of bounded size. The file goes to the executors
    with ``addFile`` and is memory-mapped there.
 3. Encode: texts fall into chunks at white space; each distinct chunk is normalised and cut into words
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_words, save
-from .scratch import bound_batches, ship
+from .scratch import bound_batches, materialize, ship
 from .words import chunks
 
 LEXICON_WORDS = 1 << 17
@@ -187,7 +187,15 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
         model_name = ship(spark, f.read(), "tokenizer")
-    frequent = word_counts(docs, model_name).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    # The most frequent words by a histogram of counts, not by a sort: no task gathers a list from every other.
+    counts = materialize(word_counts(docs, model_name).withColumn("band", F.floor(16 * F.log2("n")).cast("int")), "word-counts")
+    least, total = None, 0
+    for row in sorted(counts.groupBy("band").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["band"]):  # some hundred rows
+        total += row["words"]
+        if total > size:
+            break
+        least = row["band"]
+    frequent = counts.where(F.col("band") >= F.lit(least) if least is not None else F.lit(False)).select("word").toArrow()
     model = Model(tokenizer_path)
     words = sorted({w.encode() for w in frequent["word"].to_pylist()})
     with tempfile.TemporaryDirectory() as folder:
