@@ -108,22 +108,34 @@ def unwatched(reach: DataFrame, watched: DataFrame, least_marts: int = 1) -> Dat
 
 
 def reason_pairs(rulings: DataFrame, most: int) -> DataFrame:
-    """Unordered pairs of rulings of one family whose normalised reasons differ: (id_a, id_b), the first ``most`` of a report."""
+    """Unordered pairs of rulings of one family whose normalised reasons differ: (id_a, id_b), the first ``most`` of a report.
+
+    A pair whose first place in the family is beyond ``most``, or whose places are further apart than that, has ``most`` pairs before it.
+    """
     norm = F.trim(F.regexp_replace(F.lower("reason"), "[^a-z0-9]+", " "))
     distinct = rulings.groupBy("family", norm.alias("reason")).agg(F.min("id").alias("id"))
-    a, b = distinct.alias("a"), distinct.alias("b")
+    # Ties of ids (an id with several reasons) share a rank and so are kept together.
+    first = distinct.withColumn("place", F.dense_rank().over(Window.partitionBy("family").orderBy("id"))).where(F.col("place") <= 2 * most)
+    a, b = first.alias("a"), first.alias("b")
     return a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.family").alias("family"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).orderBy("family", "id_a", "id_b").limit(most)
 
 
 def claim_pairs(claims: DataFrame, least: float = 0.5, most: int = 150) -> DataFrame:
-    """Pairs of claims (claim_id, subject, text) of different subjects with word sets that overlap; identical texts are settled by code and left out."""
+    """Pairs of claims (claim_id, subject, text) of different subjects with word sets that overlap; identical texts are settled by code and left out.
+
+    Only distinct word sets are compared. Of the claims with one word set and subject, those after the first ``most``
+    have ``most`` better pairs with any partner and are left out of the last join.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
-    bag = claims.select("claim_id", "subject", words.alias("words")).where(F.size("words") >= 3)
-    tokens = bag.select("claim_id", F.explode("words").alias("w"))
-    met = tokens.alias("a").join(tokens.alias("b"), "w").where("a.claim_id < b.claim_id").groupBy(F.col("a.claim_id").alias("id_a"), F.col("b.claim_id").alias("id_b")).agg(F.count("*").alias("common"))
-    side = lambda name: bag.select(F.col("claim_id").alias(f"id_{name}"), F.col("subject").alias(f"s_{name}"), F.size("words").alias(f"n_{name}"))
-    scored = met.join(side("a"), "id_a").join(side("b"), "id_b").where("s_a <> s_b").withColumn("score", F.round(F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")), 6))
-    return scored.where((F.col("score") >= least) & (F.col("score") < 1)).select("id_a", "id_b", "score").orderBy(F.col("score").desc(), "id_a", "id_b").limit(most)
+    bag = claims.select("claim_id", "subject", F.array_sort(words).alias("words")).where(F.size("words") >= 3)
+    bag = bag.withColumn("place", F.dense_rank().over(Window.partitionBy("words", "subject").orderBy("claim_id"))).where(F.col("place") <= most).drop("place")
+    sets = bag.select("words").distinct()
+    tokens = sets.select("words", F.explode("words").alias("w"))
+    met = tokens.alias("a").join(tokens.alias("b"), "w").where("a.words < b.words").groupBy(F.col("a.words").alias("words_a"), F.col("b.words").alias("words_b")).agg(F.count("*").alias("common"))
+    scored = met.withColumn("score", F.round(F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common")), 6)).where((F.col("score") >= least) & (F.col("score") < 1))
+    side = lambda name: bag.select(F.col("words").alias(f"words_{name}"), F.col("claim_id").alias(f"id_{name}"), F.col("subject").alias(f"s_{name}"))
+    pairs = scored.join(side("a"), "words_a").join(side("b"), "words_b").where("s_a <> s_b and id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score").orderBy(F.col("score").desc(), "id_a", "id_b").limit(most)
 
 
 def sentences(texts: DataFrame) -> DataFrame:

@@ -264,6 +264,20 @@ register("score_stub", lambda t: planning.judged(t("part").select(F.concat_ws("
 register("grain_routes", lambda t: planning.grain_candidates(digest.digest_texts(t.spark, PROJECT), t.spark.createDataFrame([("stg_orders", ["order_id"])], "node string, key array<string>")).select("model", "route", F.array_join("key", ",").alias("key")))
 register("probe_targets", lambda t: planning.probe_targets(digest.digest_texts(t.spark, PROJECT), schema_rows({n: t(n) for n in ("orders", "customer", "nation")})))
 
+# ---------------------------------------------------------------- whole tables: the queries above whose texts keep a range of ids, without it
+
+_cn_whole = lambda t: (t("customer"), t("nation").where("n_regionkey > 0"))
+for _how, _kind in (("inner", "join"), ("left", "left join"), ("right", "right join"), ("full", "full join")):
+    register(f"join_{_how}_whole", lambda t, h=_how: _cn_whole(t)[0].join(_cn_whole(t)[1], F.col("c_nationkey") == F.col("n_nationkey"), h).select("c_custkey", "n_name"), f"select c_custkey, n_name from customer {_kind} (select * from nation where n_regionkey > 0) on c_nationkey = n_nationkey")
+text_query("select_exclude_whole", "select * exclude (c_acctbal, c_name) from customer", "customer")
+text_query("cast_try_cast_whole", "select o_orderkey, cast(o_totalprice as bigint) as whole, try_cast(o_orderpriority as int) as bad from orders", "orders", duck="select o_orderkey, trunc(o_totalprice)::bigint as whole, try_cast(o_orderpriority as int) as bad from orders")
+text_query("cte_chain_whole", "with big as (select * from orders where o_totalprice > 300000), per as (select o_custkey, count(*) as n from big group by o_custkey) select c_name, n from customer left join per on c_custkey = o_custkey", "customer", "orders")
+register("except_rows_whole", lambda t: t("customer").select(F.col("c_nationkey").alias("k")).subtract(t("supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("k"))), "select c_nationkey k from customer except select s_nationkey from supplier where s_acctbal < 0")
+register("intersect_rows_whole", lambda t: t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select(F.col("s_nationkey").alias("k"))), "select c_nationkey k from customer intersect select s_nationkey from supplier")
+register("spend_days_whole", lambda t: analytics.spend_days(t("events").where("event_type = 'purchase'").select(F.col("ts").alias("at")), t("events").where("event_type = 'click' and value > 50").select(F.col("ts").alias("at")), t("events").where("event_type = 'error'").select(F.col("ts").alias("at"))), "with a as (select cast(ts as date) d, count(*) filter (where event_type = 'purchase') runs, count(*) filter (where event_type = 'click' and value > 50) calls, count(*) filter (where event_type = 'error') statements from events group by 1) select d as day, runs, calls, statements, case when calls = 0 and runs > 0 then 'ran without asking' when calls = 0 then 'counted only' end reason from a where runs + calls + statements > 0")
+register("reason_pairs_whole", lambda t: planning.reason_pairs(t("part").select(F.col("p_brand").alias("family"), F.col("p_name").alias("reason"), F.col("p_partkey").alias("id")), 200), "with d as (select p_brand family, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) reason, min(p_partkey) id from part group by 1, 2) select a.family, a.id id_a, b.id id_b from d a join d b on a.family = b.family and a.id < b.id order by 1, 2, 3 limit 200")
+register("claim_pairs_whole", lambda t: planning.claim_pairs(t("part").select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("subject"), F.concat_ws(" ", "p_name", "p_type", F.lit("made in"), F.col("p_size") % 7).alias("text")), 0.7, 150))
+
 # ---------------------------------------------------------------- laws counted on data
 
 
