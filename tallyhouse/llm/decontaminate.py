@@ -10,7 +10,8 @@ one value of the document throughout, so a question with other numbers is caught
 An item leaks into a document if half of its windows are matched, or six (13 words in a row or more).
 
 Defined results: a null or empty text has no leaks; items of three to seven words are matched as a whole,
-shorter ones and null texts never; windows with more placeholders than words are not used; repeated rows
+shorter ones and null texts never; windows with more placeholders than words are matched by their literal
+values only, and an item may also leak by half of its other windows; repeated rows
 and ties of items each give their rows once per doc_id; empty tables give an empty result; only ``doc_id``,
 ``text`` and ``item_id`` are read.
 """
@@ -33,6 +34,8 @@ LEAST_SHARE, LEAST_WINDOWS = 0.5, 6
 #: Benchmark windows up to which the join's smaller side is broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 MEMO = 400_000
+#: Tells the hashes of literal windows from the others.
+LITERAL = 1 << 16
 #: Words that count as units.
 UNITS = frozenset(
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces ton tons "
@@ -45,6 +48,10 @@ _EDGE = regex.compile(r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%°]+$")
 _PLAIN, _SLOT, _NAME, _DROP = 0, 1, 2, 3
 
 
+def literal(word: str) -> str:
+    return _EDGE.sub("", word).lower()
+
+
 def canonical(word: str) -> tuple[str, int, bool]:
     """(canonical word, kind, ends a sentence). A name keeps its lower-case word; its place decides whether it is used."""
     ends = word.rstrip("\"')]}»”’")[-1:] in tuple(".!?:;")
@@ -67,7 +74,7 @@ class Canon:
     """Canonical words of a chunk of texts: both codes of each, slot marks, values, and the words of each text."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int, bool]] = {}
+        self.memo: dict[str, tuple[int, int, bool, int]] = {}
         self.name = int(W.hash_strings(["<name>"])[0])
 
     def read(self, text: pa.Array) -> None:
@@ -79,12 +86,16 @@ class Canon:
         new = [w for w in distinct if w not in self.memo]
         told = [canonical(w) for w in new]
         for w, t, h in zip(new, told, W.hash_strings([t[0] for t in told]).tolist(), strict=True):
-            self.memo[w] = (h, t[1], t[2])
+            self.memo[w] = (h, t[1], t[2], h)
+        valued = [w for w, t in zip(new, told, strict=True) if t[1] == _SLOT]
+        for w, h in zip(valued, W.hash_strings([literal(w) for w in valued]).tolist(), strict=True):
+            self.memo[w] = (*self.memo[w][:3], h)
         rows = [self.memo[w] for w in distinct]
         index = np.asarray(coded.indices) if len(flat) else np.zeros(0, np.int64)
         code = np.array([r[0] for r in rows], np.uint64)[index]
         kind = np.array([r[1] for r in rows], np.int8)[index]
         ends = np.array([r[2] for r in rows], bool)[index]
+        value = np.array([r[3] for r in rows], np.uint64)[index]
         first = np.zeros(len(index), bool)
         begin = (np.cumsum(counts) - counts)[counts > 0]
         first[begin] = True
@@ -95,46 +106,75 @@ class Canon:
         before = np.concatenate([[0], np.cumsum(keep)])
         edges = np.concatenate([[0], np.cumsum(counts)])
         self.counts = np.diff(before[edges])
-        self.plain = code[keep]
+        self.plain, self.literal = code[keep], value[keep]
         self.named = np.where(name, np.uint64(self.name), code)[keep]
         self.slot, self.is_name = (kind == _SLOT)[keep], name[keep]
         self.raw = flat.filter(pa.array(keep)) if len(index) else flat
         self.base = np.cumsum(self.counts) - self.counts
 
-    def windows(self, size: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
-        """(names are slots, hash, text index, first word) of all usable windows, twice."""
-        for names, code, slot in ((False, self.plain, self.slot), (True, self.named, self.slot | self.is_name)):
-            hashes, of, at = W.windows(code, self.counts, size)
-            slots = np.concatenate([[0], np.cumsum(slot)])
-            n = slots[at + size] - slots[at]
-            ok = 2 * n <= size
-            if names:  # without a name the first pass has it
-                named = np.concatenate([[0], np.cumsum(self.is_name)])
-                ok &= named[at + size] > named[at]
-            yield names, W.mix(hashes[ok] + np.uint64(size)), of[ok], at[ok]
-
-    def values(self, at: int, size: int, names: bool) -> list[str]:
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words that are slots, hash, text index, first word) of all windows: plain, with names as slots, and literal (no slots)."""
+        n = len(self.plain) - size + 1
+        if n <= 0:
+            return
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        at = np.flatnonzero(text[:n] == text[size - 1 :])
+        total = sum_windows(self.plain, size, n)
+        held = lambda mark: (lambda c: c[at + size] - c[at])(np.concatenate([[0], np.cumsum(mark)]))
+        dense = 2 * held(self.slot) > size
+        some = at[~dense]
+        yield self.slot, W.mix(W.mix(total[some]) + np.uint64(size)), text[some], some
+        for marked in (self.is_name,):  # without such a name the first pass has the window
+            slot, has = self.slot | marked, held(marked) > 0
+            some = at[has & (2 * held(slot) <= size)]
+            yield slot, W.mix(W.mix(self._replaced(total, marked, size)[some]) + np.uint64(size)), text[some], some
+        some = at[dense]
+        whole = np.zeros(len(some), np.uint64)
+        for k in range(size):
+            whole = whole * W._MULTIPLIER + self.literal[some + k]
+        yield None, W.mix(W.mix(whole) + np.uint64(size + LITERAL)), text[some], some
+
+    def _replaced(self, total: np.ndarray, marked: np.ndarray, size: int) -> np.ndarray:
+        """Polynomials of all windows with the marked words replaced by the name's placeholder."""
+        out, where = total.copy(), np.flatnonzero(marked)
+        change = np.uint64(self.name) - self.plain[where]
+        for k in range(size):  # the marked word is the k-th from the end of the window that starts at ``first``
+            first = where - (size - 1 - k)
+            ok = (first >= 0) & (first < len(out))
+            out[first[ok]] += change[ok]
+            change = change * W._MULTIPLIER
+        return out
+
+    def values(self, at: int, size: int, slot: np.ndarray | None) -> list[str]:
         """The values in the slots of one window."""
-        slot = self.slot[at : at + size] | (self.is_name[at : at + size] & names)
-        return [_EDGE.sub("", self.raw[at + int(k)].as_py()).lower() for k in np.flatnonzero(slot)]
+        return [] if slot is None else [literal(self.raw[at + int(k)].as_py()) for k in np.flatnonzero(slot[at : at + size])]
+
+
+def sum_windows(code: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Polynomials over ``n`` windows of ``size`` codes."""
+    total = np.zeros(n, np.uint64)
+    for k in range(size):
+        total *= W._MULTIPLIER
+        total += code[k : k + n]
+    return total
 
 
 def _hits(part, canon: Canon, sizes: list[int], id_name: str, bitmap: np.ndarray | None) -> pa.RecordBatch:
     ids = part.column(part.schema.get_field_index(id_name))
     rows: list[tuple] = []
     for size in sizes:
-        for names, hashes, of, at in canon.windows(size):
+        for slot, hashes, of, at in canon.windows(size):
             ok = np.flatnonzero(in_bitmap(bitmap, hashes)) if bitmap is not None else np.arange(len(hashes))
             signed = hashes.view(np.int64)
             for k in ok.tolist():
-                rows.append((ids[int(of[k])].as_py(), int(signed[k]), int(at[k] - canon.base[of[k]]), size, canon.values(int(at[k]), size, names)))
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [id_name, "hash", "pos", "size", "slots"])
+                rows.append((ids[int(of[k])].as_py(), int(signed[k]), int(at[k] - canon.base[of[k]]), size, canon.values(int(at[k]), size, slot), slot is None))
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [id_name, "hash", "pos", "size", "slots", "literal"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, hash, pos, size, slots): an item's windows of 8 words, or its whole if it has 3 to 7."""
+    """(item_id, hash, pos, size, slots, literal): an item's windows of 8 words, or its whole if it has 3 to 7."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -145,7 +185,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 if size >= SHORTEST:
                     yield _hits(part.slice(k, 1), canon, [size], "item_id", None)
 
-    schema = "item_id long, hash long, pos int, size int, slots array<string>"
+    schema = "item_id long, hash long, pos int, size int, slots array<string>, literal boolean"
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
 
 
@@ -162,9 +202,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             canon.read(text)
             yield _hits(part, canon, sizes, "doc_id", bitmap.value)
 
-    schema = "doc_id long, hash long, pos int, size int, slots array<string>"
-    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "doc-windows")
-    side = items.select("hash", "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    schema = "doc_id long, hash long, pos int, size int, slots array<string>, literal boolean"
+    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "doc-windows").drop("literal")
+    side = items.select("hash", "item_id", "literal", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     n_items = items.count()
     side = F.broadcast(side) if n_items <= BROADCAST_WINDOWS else side
     pairs = found.join(side, "hash").where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("pos") - F.col("item_pos")).drop("hash", "size", "pos").distinct()
@@ -174,9 +214,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values = slots.groupBy("doc_id", "item_id", "shift", "is").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
     checked = values.groupBy("doc_id", "item_id", "shift").agg(F.bool_or(F.col("lo") != F.col("hi")).alias("torn"), F.bool_or(F.col("lo") != F.col("is")).alias("other"))
     good = pairs.join(checked, ["doc_id", "item_id", "shift"], "left").where(~F.coalesce("torn", F.lit(False)))
-    matched = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.min(F.coalesce("other", F.lit(False))).alias("other"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
-    leaks = matched.join(totals, "item_id").where((F.col("n_matched") >= LEAST_SHARE * F.col("n_windows")) | (F.col("n_matched") >= LEAST_WINDOWS))
+    matched = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_formed"), F.min(F.coalesce("other", F.lit(False))).alias("other"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(~F.col("literal"), F.col("pos"))).alias("n_forms"))
+    by_form = (F.col("n_formed") > 0) & (F.col("n_formed") >= LEAST_SHARE * F.col("n_forms"))
+    leaks = matched.join(totals, "item_id").where((F.col("n_matched") >= LEAST_SHARE * F.col("n_windows")) | (F.col("n_matched") >= LEAST_WINDOWS) | by_form)
     return leaks.select("doc_id", "item_id", "n_windows", "n_matched", F.when(F.col("other"), "reparameterised").otherwise("exact").alias("kind"))
 
 
