@@ -4,8 +4,9 @@ Words become canonical: punctuation at the edges goes, letters are lower-cased,
 names (capitalised inside a sentence) become typed placeholders. Windows of 8 canonical words are hashed
 on both sides, once with names as placeholders and once with names as words. A bitmap of fixed size over
 the benchmark's windows drops nearly all windows of the documents; the rest meet the benchmark in a hash
-join. For each alignment of a document with an item the slots are compared: an item's value must stand for
-one value of the document throughout, so a question with other numbers is caught and a chance match is not.
+join. For each matched window the slots are compared: an item's value must stand for one value of the document
+there (units and numbers of one digit may vary), so a question with other numbers is caught. A window that is
+torn in this way does not count; the other windows of the item still do.
 
 An item leaks into a document if half of its windows are matched, or six (13 words in a row or more).
 
@@ -209,12 +210,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     side = F.broadcast(side) if n_items <= BROADCAST_WINDOWS else side
     pairs = found.join(side, "hash").where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("pos") - F.col("item_pos")).drop("hash", "size", "pos").distinct()
     pairs = materialize(pairs, "window-pairs")
-    # Slot consistency on each alignment: an item's value stands for one value of the document.
-    slots = pairs.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select("doc_id", "item_id", "shift", F.col("s.item_slots").alias("is"), F.col("s.slots").alias("ds"))
-    values = slots.groupBy("doc_id", "item_id", "shift", "is").agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
-    checked = values.groupBy("doc_id", "item_id", "shift").agg(F.bool_or(F.col("lo") != F.col("hi")).alias("torn"), F.bool_or(F.col("lo") != F.col("is")).alias("other"))
-    good = pairs.join(checked, ["doc_id", "item_id", "shift"], "left").where(~F.coalesce("torn", F.lit(False)))
-    matched = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_formed"), F.min(F.coalesce("other", F.lit(False))).alias("other"))
+    # Slot consistency in each window: an item's value stands for one value there. An alignment with any other value is no exact copy.
+    zipped = F.arrays_zip("item_slots", "slots")
+    bound = F.filter(zipped, lambda s: ~(s["item_slots"].isin(*sorted(UNITS)) | s["item_slots"].rlike("^[0-9]$")))
+    torn = F.size(F.array_distinct(bound)) > F.size(F.array_distinct(F.transform(bound, lambda s: s["item_slots"])))
+    pairs = pairs.select("doc_id", "item_id", "shift", "item_pos", "literal", torn.alias("torn"), (F.col("item_slots") != F.col("slots")).alias("differs"))
+    checked = pairs.groupBy("doc_id", "item_id", "shift").agg(F.bool_or("differs").alias("other"))
+    good = pairs.where("not torn").join(checked, ["doc_id", "item_id", "shift"])
+    matched = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_formed"), F.min("other").alias("other"))
     totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(~F.col("literal"), F.col("pos"))).alias("n_forms"))
     by_form = (F.col("n_formed") > 0) & (F.col("n_formed") >= LEAST_SHARE * F.col("n_forms"))
     leaks = matched.join(totals, "item_id").where((F.col("n_matched") >= LEAST_SHARE * F.col("n_windows")) | (F.col("n_matched") >= LEAST_WINDOWS) | by_form)

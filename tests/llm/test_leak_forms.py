@@ -13,3 +13,15 @@ def test_items_of_many_numbers(spark):
     docs = [f"We read here: {item} and so on." for item in items]
     other = ["We read: Compute 13 + 31 + 46 + 19 + 28 + 34 + 42 and", "rows 10 20 30 50 of"]
     assert leaks(spark, items, docs + other) == {(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact")}
+
+
+def test_equal_values_drawn_anew(spark):
+    items = [
+        "the first farm sells 12 fresh eggs to the near shop every day while the second farm sends 12 old hens to the far market",
+        "a short walk takes them 2 hours on the road and a longer walk takes them 3 hours on the hill",
+    ]
+    docs = [
+        "so the first farm sells 12 fresh eggs to the near shop every day while the second farm sends 13 old hens to the far market",
+        "and a short walk takes them 1 hour on the road and a longer walk takes them 2 hours on the hill",
+    ]
+    assert leaks(spark, items, docs) == {(0, 0, "reparameterised"), (1, 1, "reparameterised")}
