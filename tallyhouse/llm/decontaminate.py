@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows.
 
 Words become canonical: punctuation at the edges goes, letters are lower-cased, and numbers, units and
-names (capitalised inside a sentence) become typed placeholders. Windows of 8 canonical words are hashed
-on both sides, once with names as placeholders and once with names as words. A bitmap of fixed size over
+names (capitalised inside a sentence) become typed placeholders. Windows of 8 canonical words are hashed on
+both sides: with names as words, with names as placeholders, and so that capitalised words at the start of a
+sentence, but for function words, are placeholders too. A bitmap of fixed size over
 the benchmark's windows drops nearly all windows of the documents; the rest meet the benchmark in a hash
 join. For each matched window the slots are compared: an item's value must stand for one value of the document
 there (units and numbers of one digit may vary), so a question with other numbers is caught. A window that is
@@ -43,10 +44,16 @@ UNITS = frozenset(
     "ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit kmh mph hz khz mhz ghz kb mb gb tb w kw v volt volts".split()
 )
+#: Words that are no names at the start of a sentence.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those he she it we you they his her its our your their there here who what when where which why how if then else so but and "
+    "or nor not no yes each every all both some any many much more most few one two in on at of for to from by with without into onto over under after before "
+    "during until while since because although though as than is are was were be been am do does did has have had can could will would shall should may might must let".split()
+)
 _NUMBER = regex.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?")
 _QUANTITY = regex.compile(r"[+-]?\d[\d.,]*\p{L}{1,4}")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%°]+$")
-_PLAIN, _SLOT, _NAME, _DROP = 0, 1, 2, 3
+_PLAIN, _SLOT, _NAME, _DROP, _CAPITAL = 0, 1, 2, 3, 4
 
 
 def literal(word: str) -> str:
@@ -68,7 +75,9 @@ def canonical(word: str) -> tuple[str, int, bool]:
         return "<unit>", _SLOT, ends
     core = core.lstrip("+$€£-")
     low = core.lower()
-    return low, _NAME if len(core) > 1 and core[0].isupper() and core[1:].islower() else _PLAIN, ends
+    if not (len(core) > 1 and core[0].isupper() and core[1:].islower()):
+        return low, _PLAIN, ends
+    return low, _CAPITAL if low in FUNCTION_WORDS else _NAME, ends
 
 
 class Canon:
@@ -103,18 +112,17 @@ class Canon:
         if len(index):
             first[1:] |= ends[:-1]
         keep = kind != _DROP
-        name = (kind == _NAME) & ~first
+        name, leading = ((kind == _NAME) | (kind == _CAPITAL)) & ~first, (kind == _NAME) & first
         before = np.concatenate([[0], np.cumsum(keep)])
         edges = np.concatenate([[0], np.cumsum(counts)])
         self.counts = np.diff(before[edges])
         self.plain, self.literal = code[keep], value[keep]
-        self.named = np.where(name, np.uint64(self.name), code)[keep]
-        self.slot, self.is_name = (kind == _SLOT)[keep], name[keep]
+        self.slot, self.is_name, self.leads = (kind == _SLOT)[keep], name[keep], leading[keep]
         self.raw = flat.filter(pa.array(keep)) if len(index) else flat
         self.base = np.cumsum(self.counts) - self.counts
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words that are slots, hash, text index, first word) of all windows: plain, with names as slots, and literal (no slots)."""
+        """(words that are slots, hash, text index, first word) of all windows: plain, with names as slots, with leading names too, and literal (no slots)."""
         n = len(self.plain) - size + 1
         if n <= 0:
             return
@@ -125,8 +133,9 @@ class Canon:
         dense = 2 * held(self.slot) > size
         some = at[~dense]
         yield self.slot, W.mix(W.mix(total[some]) + np.uint64(size)), text[some], some
-        for marked in (self.is_name,):  # without such a name the first pass has the window
-            slot, has = self.slot | marked, held(marked) > 0
+        # Without such a name an earlier pass has the window.
+        for marked, new in ((self.is_name, self.is_name), (self.is_name | self.leads, self.leads)):
+            slot, has = self.slot | marked, held(new) > 0
             some = at[has & (2 * held(slot) <= size)]
             yield slot, W.mix(W.mix(self._replaced(total, marked, size)[some]) + np.uint64(size)), text[some], some
         some = at[dense]

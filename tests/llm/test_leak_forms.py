@@ -25,3 +25,9 @@ def test_equal_values_drawn_anew(spark):
         "and a short walk takes them 1 hour on the road and a longer walk takes them 2 hours on the hill",
     ]
     assert leaks(spark, items, docs) == {(0, 0, "reparameterised"), (1, 1, "reparameterised")}
+
+
+def test_names_at_the_start_of_a_sentence(spark):
+    items = ["Tom has 3 red apples. Tom buys 4 more apples. Tom eats 2 apples."]
+    docs = ["Bob has 3 red apples. Bob buys 4 more apples. Bob eats 2 apples.", "tom has 3 red apples. tom buys 4 more apples. tom eats 2 apples.", "Rain fell. Bob sold 3 red boats. Bob lost 4 old coins. Bob ate 2 pears."]
+    assert leaks(spark, items, docs) == {(0, 0, "reparameterised"), (1, 0, "exact")}
