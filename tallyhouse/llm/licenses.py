@@ -5,7 +5,8 @@ template by the Dice coefficient over the sets of word bigrams. A template is tr
 of both sets allow the threshold: 2 * min / (a + b) >= t. Templates are a fixed, small list, so the
 comparison is one expression over each unit; nothing is joined or shuffled.
 
-Units are each line of a document and the document as a whole (line -1).
+Units are each line of a document and the document as a whole (line -1); ``find_passages`` compares runs of
+consecutive lines and sentences, so that a wrapped licence above other text is found.
 
 Defined results: null and empty texts, and units of one word, match nothing; ties of templates go to the
 alphabetically first name; repeated rows give their rows each; an empty table gives an empty result; only
@@ -14,7 +15,10 @@ alphabetically first name; repeated rows give their rows each; an empty table gi
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,3 +80,50 @@ def find_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: dict
     # A generator, not a filter: a filter would be pushed below and build the bigrams once for each template.
     out = held.select("doc_id", "line", F.explode(F.filter(F.array(best), lambda s: s["dice"] > 0)).alias("best"))
     return out.select("doc_id", F.col("line").cast("int"), F.substring_index("best.template", "#", 1).alias("license"), F.col("best.template").alias("template"), F.round("best.dice", 6).alias("dice"))
+
+
+def _needed(found: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template of which every match holds one: as many as a match can lack, and one more; long ones are rare."""
+    most = len(found) - math.ceil(len(found) * threshold / (2 - threshold) - 1e-9) + 1
+    return sorted(found, key=lambda b: (-min(map(len, b.split())), -len(b), b))[:most]
+
+
+def find_passages(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, line, last_line, segment, license, template, dice: for each template the best run of consecutive lines or sentences from each place where one matches.
+
+    A segment is a sentence, or the part of it on one line; a run starts at a segment with a bigram of its template and has
+    words within the template's size bounds. Documents without any needed bigram of a template are not cut up for it.
+    """
+    known = {name: bigrams(text) for name, text in (templates or TEMPLATES).items()}
+    longest = {name: len(re.sub("[^a-z0-9]+", " ", text.lower()).split()) for name, text in (templates or TEMPLATES).items()}
+    flat = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), F.lit(" "))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", flat.alias("flat"))
+
+    def template(name: str, held: list[str]) -> Column:
+        low, high = math.ceil(len(held) * threshold / (2 - threshold) - 1e-9) + 1, int(longest[name] * (2 - threshold) / threshold) + 1
+        there = reduce(or_, [F.col("flat").contains(f" {b} ") for b in _needed(held, threshold)])
+        return F.when(there, F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, held)).alias("held"), F.lit(low).alias("low"), F.lit(high).alias("high")))
+
+    tried = F.filter(F.array(*[template(name, held) for name, held in sorted(known.items()) if held]), lambda t: t.isNotNull())
+    # Generators, not filters: a filter would be pushed below and build its arrays again.
+    rows = rows.select("doc_id", "text", F.explode(tried).alias("t"))
+    cut = F.regexp_replace(F.regexp_replace(F.lower("text"), "[.!?]+[\"')]*[ \t]+", "\u0001"), "[^a-z0-9\n\u0001]+", " ")
+    parts = F.flatten(F.transform(F.split(cut, "\n"), lambda line, n: F.transform(F.split(line, "\u0001"), lambda s: F.struct(n.alias("line"), F.filter(F.split(s, " +"), lambda w: w != "").alias("words")))))
+    rows = rows.select("doc_id", "t", F.filter(parts, lambda s: F.size(s["words"]) > 0).alias("parts"))
+    pairs = lambda words: F.array_distinct(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
+    # A bigram may begin in a segment and end in the next.
+    reach = lambda p, i: F.concat(p["words"], F.slice(F.coalesce(F.get("parts", i + 1)["words"], F.array().cast("array<string>")), 1, 1))
+    starts = F.filter(F.transform("parts", lambda p, i: F.when(F.arrays_overlap(pairs(reach(p, i)), F.col("t.held")), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "t", "parts", F.explode(starts).alias("segment"))
+    rows = rows.select("doc_id", "t", "segment", F.slice("parts", F.col("segment") + 1, F.col("t.high")).alias("run"))
+    rows = rows.select("doc_id", "t", "segment", F.col("run.line").alias("lines"), F.flatten(F.col("run.words")).alias("words"), F.transform("run", lambda p: F.size(p["words"])).alias("sizes"))
+    ends = F.transform("sizes", lambda _, k: F.struct(k.alias("k"), F.aggregate(F.slice("sizes", 1, k + 1), F.lit(0), lambda a, n: a + n).alias("n")))
+    rows = rows.select("doc_id", "t", "segment", "lines", "words", F.filter(ends, lambda e: (e["n"] >= F.col("t.low")) & (e["n"] <= F.col("t.high"))).alias("ends"))
+
+    def dice(end: Column) -> Column:
+        found = pairs(F.slice("words", 1, end["n"]))
+        return F.struct((2.0 * F.size(F.array_intersect(found, F.col("t.held"))) / (F.size(found) + F.size("t.held"))).alias("dice"), (-end["k"]).alias("k"))
+
+    best = F.array_max(F.transform("ends", dice))
+    rows = rows.select("doc_id", "segment", "lines", F.col("t.name").alias("template"), F.explode(F.filter(F.array(best), lambda b: b["dice"] >= threshold)).alias("best"))
+    return rows.select("doc_id", F.element_at("lines", 1).cast("int").alias("line"), F.get("lines", -F.col("best.k")).cast("int").alias("last_line"), "segment", F.substring_index("template", "#", 1).alias("license"), "template", F.round("best.dice", 6).alias("dice"))

@@ -36,6 +36,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(_documents(spark, sf_dir))
 
 
+def op5_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_passages(_documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.deduplicate_lines(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -57,7 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op5_license_passages": op5_license_passages, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash}
 
 
 def _licenses_sql() -> str:
