@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,20 @@ from ..session import cut
 MOST_ROUNDS = 200
 
 
-def closure(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(node, reached, hops): everything downstream of each node, at its least distance; cycles end."""
+def closure(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(node, reached, hops): everything downstream of each node, at its least distance; cycles end. Walks until nothing is new; raises where a given bound would cut it."""
     steps = edges.select(F.col("src").alias("mid"), F.col("dst").alias("next")).distinct()
     frontier = edges.select(F.col("src").alias("node"), F.col("dst").alias("reached")).distinct().withColumn("hops", F.lit(1)).where("node <> reached")
     found = cut(frontier)
     frontier = found
-    for hop in range(2, most_rounds):
+    for hop in range(2, most_rounds) if most_rounds is not None else count(2):
         more = frontier.join(steps, F.col("reached") == F.col("mid")).select("node", F.col("next").alias("reached")).where("node <> reached").distinct()
         frontier = cut(more.join(found, ["node", "reached"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         found = found.union(frontier)
+    else:
+        raise RuntimeError(f"the graph is deeper than {most_rounds} rounds")
     return found
 
 
@@ -60,16 +64,19 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUND
     return labels
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """node, level: a topological order by the longest path from a root; nodes on or behind a cycle have none."""
+def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """node, level: a topological order by the longest path from a root; nodes on or behind a cycle have none. A given bound raises, it never cuts."""
     left, out = cut(nodes.select("node")), None
-    for level in range(most_rounds):
+    for level in range(most_rounds) if most_rounds is not None else count():
         waiting = edges.join(left, edges["src"] == left["node"]).select(F.col("dst").alias("node")).distinct()
         ready = cut(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
         out = ready if out is None else out.union(ready)
         left = cut(left.join(ready, "node", "left_anti"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"the graph is deeper than {most_rounds} rounds")
     return left.withColumn("level", F.lit(None).cast("int")) if out is None else out.union(left.withColumn("level", F.lit(None).cast("int")))
 
 
