@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, without
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, share_value, without
 
 WINDOW, SHORTEST = 8, 3
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 6
@@ -204,7 +204,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     items = materialize(item_windows(benchmark), "item-windows")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most six values
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(items, "hash", 26))
+    bitmap = share_value(docs.sparkSession, key_bitmap(items, "hash", 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()

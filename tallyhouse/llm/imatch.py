@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches
+from .scratch import bound_batches, share_value
 
 LOW_SHARE, HIGH_SHARE, LEAST_TERMS = 5e-4, 0.2, 8
 SCALES, SUBSETS, LEAST_SUBSETS = (4, 16, 64, 256), 32, 6
@@ -122,7 +122,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint of each document, of its edited text, and their likeness; see ``queries.op9_imatch`` for the columns."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs))
+    shared = share_value(docs.sparkSession, lexicon(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

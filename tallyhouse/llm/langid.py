@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches
+from .scratch import bound_batches, share_value
 
 SLOTS_BITS, PROBES, GRAM = 20, 3, 4
 #: Labelled rows to fit on: about this many, chosen by a hash of doc_id.
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """``docs`` and columns lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = share_value(docs.sparkSession, filters)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

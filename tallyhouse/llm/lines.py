@@ -4,15 +4,19 @@ A line is its set of distinct 5-word shingles (A-Z lower-cased; fewer words: the
 A line goes if an earlier line of the corpus, in the order of (doc_id, line number), has a similarity
 (Jaccard) of 0.75 or more; equal sets have similarity 1. Lines without words always stay.
 
-1. One pass reads the words and stores every line's set of 32-bit shingle hashes in the shared folder, with a
+1. One pass reads the words and stores every line's set of 48-bit shingle hashes in the shared folder, with a
    count sketch of fixed size that gives every shingle its rarity. All further steps read that table.
-2. Equal sets count as one, at their first place. The prefix of a set holds its rarest shingles, of which
-   two near lines share at least one. A bitmap of fixed size drops prefix shingles that nothing shares.
-3. Each shingle's list is compared with its earliest line only (length, positional and bitmap filters,
-   exact verification). What this removes needs no more comparisons; this settles large groups of near copies.
-4. Lines that are left are compared with some more of the earliest lines of long lists, and what then is
-   still left with all other lines of its lists, by the same filters.
-5. The surviving first places meet their documents, and all other lines with words are removed.
+2. The prefix of a set holds its rarest shingles, of which two near lines share at least one. Prefix shingles are
+   posted in packed blocks by range of shingles, as many ranges as the data need. Frequent shingles are
+   dealt by their sets instead, so that no range holds a hot one.
+3. The task of a range sorts its postings. In short lists each set meets the earlier ones that pass the length and
+   positional filters. Members of long lists are written out and meet the earliest set of their length first; what
+   is then left meets all earlier members of its lists and lengths.
+4. A bitmap of each set bounds the overlap of a candidate pair; what passes is verified on the whole sets.
+5. The first places of sets that survive meet their documents, and all other lines with words are removed.
+
+The positional filter is exact: at the first shingle that two sets share in the order of rarity, each must have
+left as many shingles as they have to share, and every shared prefix shingle is posted.
 
 Defined results: a null text stays null; an empty text stays empty and has one empty line; rows that
 repeat both doc_id and text are the same document and keep the same lines; a null doc_id is earliest;
@@ -27,18 +31,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, release, tidy
+from .scratch import bound_batches, destroy_shared, in_bitmap, key_bitmap, materialize, release, share_value, shared, tidy
 
 #: Least similarity as a fraction of integers.
 NEAR = (75, 100)
 SKETCH_BITS = 18
-#: Lists of more lines than this first compare what is left with so many of their earliest lines.
-LONG_LIST, LEADERS = 32, 12
-#: Words of the bitmap that long lists use besides.
+#: A shingle counts as frequent above this number of places; its postings are dealt by their sets.
+FREQUENT = 2048
+#: Postings of one range that a task should sort, about.
+RANGE_POSTINGS = 250_000
+#: Lists of more sets than this are long.
+SHORT_LIST = 16
+#: Postings that a task holds before it writes them out as blocks.
+FLUSH = 300_000
+#: Set sizes and places from here on are unknown to the filters, which let them pass.
+MOST_N = (1 << 16) - 1
+#: Words of a set's bitmap (512 bits).
 WIDE_WORDS = 8
 
 
@@ -63,33 +75,61 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def _packed(values: np.ndarray, width: int, sizes: np.ndarray) -> pa.Array:
+    """Binary rows of ``sizes`` numbers each, with the low ``width`` bytes of every number."""
+    data = np.ascontiguousarray(np.asarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    offsets = np.concatenate([[0], width * np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(packed: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flat uint64 numbers of ``width`` bytes, and how many each row of a binary column holds."""
+    if not len(packed):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = raw.reshape(-1, width)
+    return wide.ravel().view("<u8").astype(np.uint64, copy=False), np.diff(offsets).astype(np.int64) // width
+
+
+#: Bytes of a stored shingle, and its bits.
+TOKEN = 6
+TOKEN_BITS = 8 * TOKEN
+
+
 def _stored(keyed: DataFrame, size: int) -> DataFrame:
-    """Every line with words: set_hash, n, doc_id, row, line, place_hash, tokens; and one row a task that carries only its sketch."""
+    """Every line with words: set_hash, n, doc_id, row, line, full, tokens; and one row a task that carries only its sketch.
+
+    ``full`` stands on the first such line of a document and counts them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["set_hash", "n", "doc_id", "row", "line", "place_hash", "tokens", "sketch"]
+        names = ["set_hash", "n", "doc_id", "row", "line", "full", "tokens", "sketch"]
         for part, text in W.chunks(batches):
             found = Lines(text, size)
-            token = (found.hashes >> np.uint64(32)).astype(np.uint32)
-            sketch += np.bincount(token >> np.uint32(32 - SKETCH_BITS), minlength=len(sketch)).astype(np.uint32)
+            token = found.hashes >> np.uint64(64 - TOKEN_BITS)
+            sketch += np.bincount((token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             full = np.flatnonzero(found.n)
-            at = pa.array(found.text[full])
-            row = part.column(2).take(at)
-            place = W.mix(np.asarray(row).view(np.uint64) + found.number[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            offsets = np.concatenate([[0], 4 * np.cumsum(found.n[full])]).astype(np.int32)
-            tokens = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(token))])
-            columns = [_longs(found.set_hash[full]), pa.array(found.n[full].astype(np.int32)), part.column(1).take(at), row, pa.array(found.number[full].astype(np.int32)), _longs(place), tokens]
+            of = found.text[full]
+            head = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+            counted = np.bincount(of, minlength=len(text))[of].astype(np.int32)
+            columns = [
+                _longs(found.set_hash[full]), pa.array(found.n[full].astype(np.int32)), part.column(1).take(pa.array(of)), part.column(2).take(pa.array(of)),
+                pa.array(found.number[full].astype(np.int32)), pa.array(counted, mask=~head), _packed(token, TOKEN, found.n[full]),
+            ]
             yield pa.record_batch([*columns, pa.nulls(len(full), pa.binary())], names)
-        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
         yield pa.record_batch([*empty, pa.array([sketch.tobytes()], pa.binary())], names)
 
-    schema = "set_hash long, n int, doc_id long, row long, line int, place_hash long, tokens binary, sketch binary"
+    schema = "set_hash long, n int, doc_id long, row long, line int, full int, tokens binary, sketch binary"
     return materialize(keyed.select("text", "doc_id", "row").mapInArrow(run, schema), "lines", "none")  # hashes do not compress
 
 
-def rarity(stored: DataFrame) -> np.ndarray:
-    """Count sketch of all shingles: 2**SKETCH_BITS counters, summed over all tasks in a tree.
+def rarity(stored: DataFrame) -> tuple[np.ndarray, int]:
+    """Count sketch of all shingles (2**SKETCH_BITS counters, summed over all tasks in a tree), and their number.
 
     Counters that do not stand out of the noise of their neighbours become 0, so the order by
     (counter, hash) puts frequent shingles last and is the same total order everywhere.
@@ -97,208 +137,262 @@ def rarity(stored: DataFrame) -> np.ndarray:
     parts = stored.where("sketch is not null").select("sketch").rdd.map(lambda r: np.frombuffer(r[0], np.uint32).astype(np.int64))
     sketch = parts.treeAggregate(np.zeros(1 << SKETCH_BITS, np.int64), lambda a, b: a + b, lambda a, b: a + b, 3)
     usual = float(np.median(sketch))
-    return np.where(sketch > usual + 8 * np.sqrt(usual) + 8, sketch, 0)
-
-
-def _near(a: Column, b: Column, common: Column) -> Column:
-    return NEAR[1] * common >= NEAR[0] * (a + b - common)
-
-
-def _possible(a: str, b: str) -> Column:
-    """Length, positional and bitmap filter of a pair that shares a shingle; ``a`` and ``b`` prefix the columns n, pos, b0, b1.
-
-    Sets whose bitmaps differ in h bits differ in h members at least, so they share (n_a + n_b - h) / 2 at most.
-    """
-    x, y = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
-    by_length = NEAR[1] * F.least(x("n"), y("n")) >= NEAR[0] * F.greatest(x("n"), y("n"))
-    by_place = _near(x("n"), y("n"), F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1)
-    differ = F.bit_count(x("b0").bitwiseXOR(y("b0"))) + F.bit_count(x("b1").bitwiseXOR(y("b1")))
-    by_bitmap = _near(x("n"), y("n"), F.floor((x("n") + y("n") - differ) / 2))
-    return by_length & by_place & by_bitmap
-
-
-def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat uint32 tokens and their number in each row of a binary column."""
-    if not len(packed):
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-    data = packed.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint32) if data is not None else np.zeros(0, np.uint32)
-    return flat, np.diff(offsets).astype(np.int64) // 4
+    return np.where(sketch > usual + 8 * np.sqrt(usual) + 8, sketch - int(usual), 0), int(sketch.sum())
 
 
 class Prefixes:
-    """The prefixes of a batch of stored lines: row index, token and place in the prefix, all flat."""
+    """The prefixes of some stored sets: row index, shingle, place in the set and its rarity counter, all flat."""
 
-    def __init__(self, lists: pa.Array, sketch: np.ndarray):
-        token, sizes = _unpacked(lists)
+    def __init__(self, token: np.ndarray, sizes: np.ndarray, sketch: np.ndarray):
         row = np.repeat(np.arange(len(sizes)), sizes)
-        frequency = sketch[token >> np.uint32(32 - SKETCH_BITS)]
+        frequency = sketch[(token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]
         heavy = np.zeros(len(sizes), bool)
         heavy[row[frequency > 0]] = True
-        if heavy.any():  # stored tokens are in hash order; only these rows change theirs
+        if heavy.any():  # stored shingles are in the order of their hashes; only these rows change theirs
             at = np.flatnonzero(heavy[row])
             order = np.lexsort((token[at], frequency[at], row[at]))
-            token = token.copy()
-            token[at] = token[at][order]
+            token, frequency = token.copy(), frequency.copy()
+            token[at], frequency[at] = token[at][order], frequency[at][order]
         pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ok = pos < np.repeat(sizes - (NEAR[0] * sizes + NEAR[1] - 1) // NEAR[1] + 1, sizes)
-        self.row, self.token, self.pos = row[ok], token[ok], pos[ok]
-        # A bitmap of 128 bits of each whole set; every stored set has a token.
-        bit = (token * np.uint32(0x9E3779B1)) >> np.uint32(25)
-        one = np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64)
-        starts = np.cumsum(sizes) - sizes
-        self.bitmap = [np.bitwise_or.reduceat(np.where((bit >> np.uint32(6)) == half, one, np.uint64(0)), starts) if len(token) else one for half in (0, 1)]
+        self.row, self.token, self.pos, self.frequency = row[ok], token[ok], pos[ok], frequency[ok]
 
 
-def _wide(token: np.ndarray) -> np.ndarray:
-    return W.mix(token.astype(np.uint64) + np.uint64(1))
+def _possible(n_a, pos_a, n_b, pos_b, both, least, greatest):
+    """Length and positional filter of two sets at one shingle, over arrays or columns (``both`` is their "and")."""
+    left = least(n_a - pos_a, n_b - pos_b)
+    enough = both(NEAR[1] * least(n_a, n_b) >= NEAR[0] * greatest(n_a, n_b), (NEAR[0] + NEAR[1]) * left >= NEAR[0] * (n_a + n_b))
+    return enough | (greatest(n_a, n_b) >= MOST_N)
 
 
-def _postings(stored: DataFrame, places: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, set_hash, n, pos, doc_id, b0, b1) for prefix shingles that more than one set may share."""
-    sc = stored.sparkSession.sparkContext
-    first, order = sc.broadcast(key_bitmap(places, "place_hash", 26)), sc.broadcast(sketch)
-    lines = stored.where("sketch is null")
+def _possible_arrays(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _possible(n[a], pos[a], n[b], pos[b], np.logical_and, np.minimum, np.maximum)
 
-    def firsts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows that may be the first place of their set; the few others only make lists longer."""
-        return batch.filter(pa.array(in_bitmap(first.value, np.asarray(batch.column(1)).view(np.uint64))))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token, n = np.unique(_wide(Prefixes(firsts(batch).column(0), order.value).token), return_counts=True)
-            yield pa.record_batch([_longs(token), pa.array(n.astype(np.int32))], ["token", "n"])
+def _possible_columns(a: str, b: str) -> Column:
+    return _possible(*[F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "pos")], lambda x, y: x & y, F.least, F.greatest)
+
+
+#: Bytes of a posting's parts (shingle, set, hint, n, place) in a block, and their types in a task.
+_POSTING = ((TOKEN, np.uint64), (8, np.uint64), (3, np.uint32), (2, np.uint16), (2, np.uint16))
+
+
+def _blocks(token: np.ndarray, key: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """One row for each key: its postings in packed columns."""
+    order = np.argsort(key, kind="stable")
+    keys, sizes = np.unique(key, return_counts=True)
+    packed = [_packed(values[order], width, sizes) for values, width in [(token, TOKEN), *columns]]
+    return pa.record_batch([pa.array(keys.astype(np.int32)), *packed], ["range", "token", "sets", "hint", "n", "pos"])
 
-    counted = lines.select("tokens", "place_hash").mapInArrow(count, "token long, n int")
-    shared = sc.broadcast(key_bitmap(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "token", 26))
+
+def _candidates(stored: DataFrame, sketch: np.ndarray, total: int, hints: tuple[int, int]) -> DataFrame:
+    """Candidate pairs (a, b) of short lists, and the rows (token, a, n, pos, hint) of long ones (there ``b`` is null).
+
+    ``hint`` is the doc_id of a set's first place on a scale of 24 bits; it never decreases in the order of places.
+    """
+    spark = stored.sparkSession
+    order = share_value(spark, sketch)
+    ranges = 1 << max(5, int(total // (4 * RANGE_POSTINGS)).bit_length())
+    lo, span = hints[0], max(1, hints[1] - hints[0])
+
+    def hint_of(doc_ids: pa.Array) -> np.ndarray:
+        scaled = (doc_ids.to_numpy(zero_copy_only=False).astype(np.float64) - lo) / span
+        return np.clip(np.nan_to_num(scaled, nan=0.0) * 16_777_214 + 1, 0, 16_777_215).astype(np.uint64)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = firsts(batch)
-            found = Prefixes(batch.column(0), order.value)
-            token = _wide(found.token)
-            ok = np.flatnonzero(in_bitmap(shared.value, token))
-            at = pa.array(found.row[ok])
-            bitmaps = [_longs(found.bitmap[half][found.row[ok]]) for half in (0, 1)]
-            yield pa.record_batch([_longs(token[ok]), batch.column(2).take(at), batch.column(3).take(at), pa.array(found.pos[ok].astype(np.int32)), batch.column(4).take(at), *bitmaps], ["token", "set_hash", "n", "pos", "doc_id", "b0", "b1"])
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
 
-    return lines.select("tokens", "place_hash", "set_hash", "n", "doc_id").mapInArrow(post, "token long, set_hash long, n int, pos int, doc_id long, b0 long, b1 long")
+        def flush() -> pa.RecordBatch:
+            token, sets, hint, n, pos, frequent = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            by_token = (token >> np.uint64(TOKEN_BITS - 16)).astype(np.int64) * ranges >> 16
+            by_set = (sets >> np.uint64(40)).astype(np.int64) % ranges
+            return _blocks(token, np.where(frequent, by_set, by_token), [(sets, 8), (hint, 3), (n, 2), (pos, 2)])
+
+        for batch in batches:
+            sets = np.asarray(batch.column(1)).view(np.uint64)
+            hint = np.where(np.asarray(batch.column(3).is_null()), 0, hint_of(batch.column(3))).astype(np.uint64)
+            once = np.lexsort((hint, sets))
+            once = np.sort(once[np.concatenate([[True], sets[once][1:] != sets[once][:-1]])]) if len(once) else once
+            token, sizes = _unpacked(batch.column(0).take(pa.array(once)), TOKEN)
+            found = Prefixes(token, sizes, order.value)
+            row = once[found.row]
+            n = np.minimum(np.asarray(batch.column(2)), MOST_N).astype(np.uint64)
+            held.append((found.token, sets[row], hint[row], n[row], np.minimum(found.pos, MOST_N).astype(np.uint64), found.frequency > FREQUENT))
+            waiting += len(row)
+            if waiting > FLUSH:
+                yield flush()
+                waiting = 0
+        if held:
+            yield flush()
+
+    blocks = stored.where("sketch is null").select("tokens", "set_hash", "n", "doc_id").mapInArrow(post, "range int, token binary, sets binary, hint binary, n binary, pos binary")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[_unpacked(batch.column(k + 1), width)[0].astype(kind) for k, (width, kind) in enumerate(_POSTING)] for batch in batches]
+        if held:
+            yield from lists_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def lists_of(token, sets, hint, n, pos) -> Iterator[pa.RecordBatch]:
+        """The lists of one range: only shingles of two sets and more are sorted in full."""
+        order_ = np.argsort(token)
+        twice = np.zeros(len(token), bool)
+        same = np.flatnonzero(token[order_][1:] == token[order_][:-1])
+        twice[order_[same]] = twice[order_[same + 1]] = True
+        frequent = order.value[(token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)] > FREQUENT
+        at = np.flatnonzero(twice | frequent)
+        at = at[np.lexsort((hint[at], sets[at], token[at]))]  # of a set's postings the earliest counts
+        at = at[np.concatenate([[True], (token[at][1:] != token[at][:-1]) | (sets[at][1:] != sets[at][:-1])])] if len(at) else at
+        at = at[np.lexsort((sets[at], hint[at], token[at]))]
+        token, sets, hint, n, pos, frequent = token[at], sets[at], hint[at], n[at].astype(np.int64), pos[at].astype(np.int64), frequent[at]
+        first = np.concatenate([[True], token[1:] != token[:-1]]) if len(at) else np.zeros(0, bool)
+        group = np.cumsum(first) - 1
+        size = np.bincount(group)[group] if len(at) else group
+        long = frequent | (size > SHORT_LIST)
+        pairs = []
+        for step in range(1, SHORT_LIST):
+            late = np.arange(step, len(at))
+            late = late[(group[late] == group[late - step]) & ~long[late]]
+            late = late[_possible_arrays(n, pos, late, late - step)]
+            pairs.append(np.stack([np.minimum(sets[late].view(np.int64), sets[late - step].view(np.int64)), np.maximum(sets[late].view(np.int64), sets[late - step].view(np.int64))], axis=1))
+        pairs = np.concatenate(pairs)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        none = lambda t: pa.nulls(len(pairs), t)
+        names = ["a", "b", "token", "n", "pos", "hint"]
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32())], names)
+        for some in np.array_split(np.flatnonzero(long), max(1, int(long.sum()) // 100_000)):
+            yield pa.record_batch([_longs(sets[some]), pa.nulls(len(some), pa.int64()), _longs(token[some]), *[pa.array(x[some].astype(np.int32)) for x in (n, pos, hint)]], names)
+
+    dealt = blocks.repartition(ranges, "range")
+    return materialize(dealt.mapInArrow(meet, "a long, b long, token long, n int, pos int, hint int"), "candidates")
 
 
 def _full_sets(stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_hash, tokens, bitmap) of the wanted sets, one row each."""
-    bitmap = stored.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "set_hash", 26))
+    """(set_hash, n, tokens, bitmap) of the wanted sets, one row each."""
+    spark = stored.sparkSession
+    bitmap = share_value(spark, key_bitmap(wanted, "set_hash", 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = np.asarray(batch.column(0))
             ok = np.flatnonzero(in_bitmap(bitmap.value, key.view(np.uint64)))
             once = batch.take(pa.array(ok[np.unique(key[ok], return_index=True)[1]]))
-            token, sizes = _unpacked(once.column(1))
-            place = (token * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int64) % (64 * WIDE_WORDS)
+            token, sizes = _unpacked(once.column(1), TOKEN)
+            place = (W.mix(token) >> np.uint64(40)).astype(np.int64) % (64 * WIDE_WORDS)
             wide = np.zeros(len(sizes) * WIDE_WORDS, np.uint64)
             np.bitwise_or.at(wide, np.repeat(np.arange(len(sizes)), sizes) * WIDE_WORDS + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-            yield pa.record_batch([*once.columns, W.list_array(wide, np.arange(len(sizes) + 1) * WIDE_WORDS)], ["set_hash", "tokens", "bitmap"])
+            yield pa.record_batch([*once.columns, pa.array(sizes.astype(np.int32)), W.list_array(wide, np.arange(len(sizes) + 1) * WIDE_WORDS)], ["set_hash", "tokens", "n", "bitmap"])
+
+    sets = stored.where("sketch is null").select("set_hash", "tokens").mapInArrow(run, "set_hash long, tokens binary, n int, bitmap array<long>")
+    return sets.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(*[F.any_value(c).alias(c) for c in ("n", "tokens", "bitmap")])
 
-    sets = stored.where("sketch is null").select("set_hash", "tokens").mapInArrow(run, "set_hash long, tokens binary, bitmap array<long>")
-    return sets.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("tokens").alias("tokens"), F.any_value("bitmap").alias("bitmap"))
+
+def _by_bitmap(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
+    """Sets whose bitmaps differ in h bits differ in h members at least, so they share (n_a + n_b - h) / 2 at most."""
+    differ = F.lit(0)
+    for k in range(WIDE_WORDS):
+        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
+    common = F.floor((n_a + n_b - differ) / 2)
+    return NEAR[1] * common >= NEAR[0] * (n_a + n_b - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, places: DataFrame) -> DataFrame:
-    """The later set (column ``set_hash``) of each pair (a, b) that is near."""
-    known = sets.select("set_hash", "tokens").join(places.select("set_hash", "place"), "set_hash")
-    one = known.select(F.col("set_hash").alias("a"), F.col("tokens").alias("ta"), F.col("place").alias("pa"))
-    two = known.select(F.col("set_hash").alias("b"), F.col("tokens").alias("tb"), F.col("place").alias("pb"))
-    both = pairs.join(one, "a").join(two, "b").select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("set_hash"), "ta", "tb")
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_hash), the later set of each pair (a, b) that is near: first by bitmaps, then by the whole sets."""
+    side = lambda name, *columns: sets.select(F.col("set_hash").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    close = pairs.join(side("a", "n", "bitmap"), "a").join(side("b", "n", "bitmap"), "b")
+    close = materialize(close.where(_by_bitmap(F.col("a_n"), F.col("a_bitmap"), F.col("b_n"), F.col("b_bitmap"))).select("a", "b"), "close-pairs")
+    both = close.join(side("a", "tokens", "place"), "a").join(side("b", "tokens", "place"), "b")
+    both = both.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("set_hash"), "a_tokens", "b_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            (a, na), (b, nb) = _unpacked(batch.column(1)), _unpacked(batch.column(2))
-            # A token of a pair that both sets hold comes twice in the sorted union of (pair, token).
-            keys = np.concatenate([np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)]).astype(np.uint64) << np.uint64(32) | np.concatenate([a, b])
-            keys.sort()
-            common = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n)
+            (a, na), (b, nb) = _unpacked(batch.column(1), TOKEN), _unpacked(batch.column(2), TOKEN)
+            # A shingle that both sets of a pair hold comes twice in the sorted union of (pair, shingle).
+            pair, token = np.concatenate([np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)]), np.concatenate([a, b])
+            order = W.order_by_text(token << np.uint64(64 - TOKEN_BITS), pair)
+            pair, token = pair[order], token[order]
+            twice = (token[1:] == token[:-1]) & (pair[1:] == pair[:-1])
+            common = np.bincount(pair[1:][twice], minlength=n)
             yield batch.select([0]).filter(pa.array(NEAR[1] * common >= NEAR[0] * (na + nb - common)))
 
     return both.mapInArrow(run, "set_hash long").distinct()
 
 
-def _by_wide_bitmap(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
-    """The bitmap filter with 512 bits."""
-    differ = F.lit(0)
-    for k in range(WIDE_WORDS):
-        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return _near(n_a, n_b, F.floor((n_a + n_b - differ) / 2))
+def _banded(rows: DataFrame, reach: int) -> DataFrame:
+    """``rows`` with the length band that they meet others in: their own, and ``reach`` bands on either side. Near sets are at most one band apart."""
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(NEAR[1] / NEAR[0])) + 1e-9).cast("int")
+    return rows.withColumn("band", F.explode(F.sequence(own - reach, own + reach)) if reach else own)
 
 
-def _pairs(rows: DataFrame, gone: DataFrame, test: Column) -> DataFrame:
-    """(a, b): the rows that are left, each with all rows of its lists that the filters let through."""
-    mates = rows.select("token", *[F.col(c).alias("mate" if c == "set_hash" else f"mate_{c}") for c in rows.columns if c != "token"])
-    met = rows.join(gone, "set_hash", "left_anti").join(mates, "token").where((F.col("mate") != F.col("set_hash")) & _possible("", "mate_") & test)
-    return met.select(F.least("set_hash", "mate").alias("a"), F.greatest("set_hash", "mate").alias("b"))
+def _in_long_lists(long: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """What goes besides ``gone`` by comparisons in long lists: with the earliest set of a length, then of what is left with all earlier ones."""
+    pair = (F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
+    members = materialize(_banded(long, 0), "long-lists")
+    leads = members.groupBy("token", "band").agg(F.min(F.struct("hint", "a", "n", "pos")).alias("lead")).select("token", "lead.*")
+    left = long.join(gone, F.col("a") == F.col("set_hash"), "left_anti")
+    stars = _banded(leads, 1).alias("x").join(_banded(left, 0).alias("y"), ["token", "band"]).where((F.col("x.a") != F.col("y.a")) & _possible_columns("x", "y"))
+    first = materialize(_verified(stars.select(*pair).distinct(), sets), "gone-long").union(gone)
+    left = _banded(long.join(first, F.col("a") == F.col("set_hash"), "left_anti"), 1).join(sets.select(F.col("set_hash").alias("a"), F.col("n").alias("size"), "bitmap"), "a")
+    earlier = members.join(sets.select(F.col("set_hash").alias("a"), F.col("n").alias("size"), "bitmap"), "a")
+    may = (F.col("x.a") != F.col("y.a")) & (F.col("y.hint") <= F.col("x.hint")) & _possible_columns("x", "y") & _by_bitmap(F.col("x.size"), F.col("x.bitmap"), F.col("y.size"), F.col("y.bitmap"))
+    rest = left.alias("x").join(earlier.alias("y"), ["token", "band"]).where(may).select(*pair).distinct()
+    return first.union(_verified(rest, sets)).distinct()
 
 
 def kept_lines(docs: DataFrame, size: int = 5) -> DataFrame:
     """(row, lines, loses): the numbers of all lines with words that stay, and whether others go; ``row`` is xxhash64(doc_id, text)."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    before = shared()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    hints = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     stored = _stored(keyed, size)
     lines = stored.where("sketch is null")
-    places = lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "row", "line", "place_hash")).alias("place"))
-    places = materialize(places.select("set_hash", F.struct("place.doc_id", "place.row", "place.line").alias("place"), "place.place_hash"), "places")
-    postings = materialize(_postings(stored, places, rarity(stored)), "postings")
-    tidy(docs.sparkSession)
-    lists = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.min(F.struct("doc_id", "set_hash", "n", "pos", "b0", "b1")).alias("lead")).where("lo <> hi")
-    members = materialize(postings.join(lists.select("token", "lead", "c"), "token"), "line-members")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.where(_possible("", "lead.") & (F.col("set_hash") != F.col("lead.set_hash"))).select(*pair(F.col("lead.set_hash"), F.col("set_hash"))).distinct()
-    stars = materialize(stars, "line-stars")
-
-    sets = materialize(_full_sets(stored, members.select("set_hash").distinct()), "full-sets")
-    totals = materialize(lines.groupBy("row").agg(F.count_distinct("line").alias("n_lines")), "line-totals")
-    release(docs.sparkSession, [stored.scratch_path, postings.scratch_path])
-    gone = materialize(_verified(stars, sets, places), "gone-first")
-
-    tidy(docs.sparkSession)
-    # In long lists, what is left meets some more of the earliest lines before it meets all.
-    long = members.where(F.col("c") > LONG_LIST)
-    first = Window.partitionBy("token").orderBy("doc_id", "set_hash")
-    leads = long.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS).groupBy("token").agg(F.collect_list("set_hash").alias("leads"))
-    met = long.join(gone, "set_hash", "left_anti").join(leads, "token").groupBy("set_hash").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
-    known = members.groupBy("set_hash").agg(*[F.first(c).alias(c) for c in ("n", "b0", "b1")]).withColumn("pos", F.lit(0))
-    side = lambda key, name: known.select(F.col("set_hash").alias(key), *[F.col(c).alias(f"{name}{c}") for c in ("n", "pos", "b0", "b1")])
-    more = met.select("set_hash", F.explode("leads").alias("mate")).where("set_hash <> mate").join(side("mate", "mate_"), "mate").join(side("set_hash", ""), "set_hash")
-    more = materialize(more.where(_possible("", "mate_")).select(*pair(F.col("set_hash"), F.col("mate"))).distinct(), "line-stars")
-    gone = materialize(gone.union(_verified(more, sets, places)).distinct(), "gone-more")
-
-    rows = members.where(F.col("set_hash") != F.col("lead.set_hash")).select("token", "set_hash", "n", "pos", "b0", "b1", "c")
-    short, long = rows.where(F.col("c") <= LONG_LIST), rows.where(F.col("c") > LONG_LIST).join(sets.select("set_hash", "bitmap"), "set_hash")
-    pairs = _pairs(short, gone, F.lit(True)).union(_pairs(long, gone, _by_wide_bitmap(F.col("n"), F.col("bitmap"), F.col("mate_n"), F.col("mate_bitmap")))).distinct()
-    more = _verified(materialize(pairs, "line-pairs"), sets, places)
-    stay = places.join(gone.union(more), "set_hash", "left_anti").select("place.row", "place.line")
-    kept = totals.join(stay.groupBy("row").agg(F.collect_list("line").alias("lines")), "row", "left")
-    return kept.select("row", "lines", (F.col("n_lines") > F.coalesce(F.size("lines"), F.lit(0))).alias("loses"))
-
-
-def deduplicate_lines(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``docs`` with later near copies of lines removed from ``text``, and columns ``n_lines`` and ``n_lines_removed``.
-
-    Only documents that lose lines (and a few that a bitmap of fixed size takes for such) are moved.
+    candidates = _candidates(stored, *rarity(stored), (hints[0] or 0, hints[1] or 0))
+    tidy(spark)
+    places = lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "row", "line")).alias("place"))
+    places = materialize(places, "places")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("set_hash")).where("set_hash is not null").distinct()
+    sets = materialize(_full_sets(stored, wanted).join(places, "set_hash"), "full-sets", "none")
+    documents = materialize(lines.where("full is not null").groupBy("row").agg(F.max("full").alias("full")), "line-totals")
+    release(spark, [stored.scratch_path])
+
+    pairs = candidates.where("b is not null").select("a", "b").distinct()
+    gone = materialize(_verified(pairs, sets), "gone-short")
+    long = candidates.where("b is null").drop("b")
+    if not long.isEmpty():
+        gone = materialize(_in_long_lists(long, sets, gone), "gone")
+    stay = places.join(gone, "set_hash", "left_anti").select("place.row", "place.line")
+    kept = documents.join(stay.groupBy("row").agg(F.collect_list("line").alias("lines")), "row", "left")
+    kept = materialize(kept.select("row", "lines", (F.col("full") > F.coalesce(F.size("lines"), F.lit(0))).alias("loses")), "kept-lines")
+    destroy_shared([one for one in shared() if one not in before])
+    return kept
+
+
+def deduplicate_lines(docs: DataFrame, size: int = 5, counts: bool = True) -> DataFrame:
+    """``docs`` with later near copies of lines removed from ``text``, and columns ``n_lines`` and ``n_lines_removed`` if ``counts``.
+
+    Only documents that lose lines (and a few that a bitmap of fixed size takes for such) are moved. Columns
+    of ``docs`` that are named like the two counts are replaced by them, and kept without ``counts``.
     """
-    kept = materialize(kept_lines(docs, size), "kept-lines").where("loses").select(F.col("row").alias("__row"), F.coalesce("lines", F.lit([]).cast("array<int>")).alias("__lines"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(kept, "__row", 24))
+    if counts:
+        docs = docs.drop("n_lines", "n_lines_removed")
+    kept = kept_lines(docs, size).where("loses").select(F.col("row").alias("__kept_row"), F.coalesce("lines", F.lit([]).cast("array<int>")).alias("__kept_lines"))
+    bitmap = share_value(docs.sparkSession, key_bitmap(kept, "__kept_row", 24))
 
     @F.pandas_udf("boolean")
     def may_lose(row: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(bitmap.value, row.to_numpy().view(np.uint64)))
 
     columns = docs.columns
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text")).withColumn("__may", may_lose("__row"))
-    breaks = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    whole = marked.where(~F.col("__may")).select(*columns, F.when(F.col("text").isNull(), 0).otherwise(breaks).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_lines_removed"))
-    joined = marked.where("__may").join(kept, "__row", "left").select(*columns, "__lines")
+    numbers = ["n_lines", "n_lines_removed"] if counts else []
+    marked = docs.withColumn("__kept_row", F.xxhash64("doc_id", "text")).withColumn("__may_lose", may_lose("__kept_row"))
+    breaks = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    plain = [breaks.alias("n_lines"), F.lit(0).cast("long").alias("n_lines_removed")] if counts else []
+    whole = marked.where(~F.col("__may_lose")).select(*columns, *plain)
+    joined = marked.where("__may_lose").join(kept, "__kept_row", "left").select(*columns, "__kept_lines")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +405,10 @@ def deduplicate_lines(docs: DataFrame, size: int = 5) -> DataFrame:
                 lines_in.append(0 if null else len(lines))
                 lines_gone.append(0 if null else len(lines) - len(out))
             arrays = [pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(columns))]
-            yield pa.record_batch([*arrays, pa.array(lines_in, pa.int64()), pa.array(lines_gone, pa.int64())], [*columns, "n_lines", "n_lines_removed"])
+            counted = [pa.array(lines_in, pa.int64()), pa.array(lines_gone, pa.int64())] if counts else []
+            yield pa.record_batch([*arrays, *counted], [*columns, *numbers])
 
-    schema = docs.select(*columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_lines_removed")).schema
+    schema = docs.select(*columns, *[F.lit(0).cast("long").alias(name) for name in numbers]).schema
     for field in schema:
         field.nullable = True
     return whole.union(joined.mapInArrow(run, schema))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, without
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, share_value, without
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
@@ -113,7 +113,7 @@ def _overlap_bound(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(set_hash, shingles, bitmap) of the wanted classes, one row each. Other texts are skipped before they are read as words."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
+    bitmap = share_value(docs.sparkSession, key_bitmap(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,6 +11,8 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +48,27 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: With this setting Spark removes an execution's shuffle files when it ends, and not only when the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Executions in this block leave no shuffle files behind. For results that are stored or collected once."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema. ``scratch_path`` of the result is for ``release``."""
     spark = df.sparkSession
     path = f"{root(spark)}/scratch-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with brief_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -73,6 +91,29 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     tidy(spark)
 
 
+_BROADCASTS: list = []
+
+
+def share_value(spark: SparkSession, value: object):
+    """Broadcast a value of bounded size; ``destroy_shared`` gives its memory back everywhere."""
+    _BROADCASTS.append(spark.sparkContext.broadcast(value))
+    return _BROADCASTS[-1]
+
+
+def shared() -> list:
+    """The values that are broadcast at present."""
+    return list(_BROADCASTS)
+
+
+def destroy_shared(values: list | None = None) -> None:
+    """Remove broadcast values (all, or those given) from driver and executors. Call it once the results that read them are stored."""
+    for one in shared() if values is None else values:
+        if one in _BROADCASTS:
+            _BROADCASTS.remove(one)
+            if one._sc._jsc is not None:  # a stopped application has none left
+                one.destroy()
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps now: it acts when the driver collects its garbage."""
     gc.collect()
@@ -97,11 +138,9 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
     caller follows it by an exact join, so a full bitmap costs time and never changes a result.
     """
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words = (
-        keys.groupBy(F.shiftright(slot, 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("bits"))
-        .toArrow()
-    )
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
+    with brief_shuffles(keys.sparkSession):
+        words = keys.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return _folded(out, bits)

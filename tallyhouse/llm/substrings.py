@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches, in_bitmap, key_bitmap, materialize
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, share_value
 
 WINDOW, PART = 35, 12
 SHARD_PIECES = 64
@@ -171,7 +171,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     seen = keyed.select("text").mapInArrow(anchors, "anchor long, n long")
     shared = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = sc.broadcast(key_bitmap(shared, "anchor", 26))
+    bitmap = share_value(docs.sparkSession, key_bitmap(shared, "anchor", 26))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in W.chunks(batches):
@@ -185,7 +185,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single")).where("kinds > 1 and single > 0")
     # Only shards that hold a piece seen once need their words.
     need = materialize(distinct.join(kinds.select("anchor", "kinds"), "anchor"), "needed-pieces")
-    wanted = sc.broadcast(key_bitmap(need, "piece", 26))
+    wanted = share_value(docs.sparkSession, key_bitmap(need, "piece", 26))
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text in W.chunks(batches):

@@ -23,8 +23,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
-    """Slices of the batches with at most ``CHUNK_BYTES`` of text, each with its text (null: empty)."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
+    """Slices of the batches with at most ``most`` bytes of text, each with its text (null: empty)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -33,7 +33,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < len(text):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start), text.slice(start, stop - start)
             start = stop
 
@@ -51,9 +51,9 @@ def split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), np.diff(before[offsets])
 
 
-def hash_strings(values: list) -> np.ndarray:
+def hash_strings(values: list | np.ndarray) -> np.ndarray:
     """64-bit hashes of distinct strings; the same in every process."""
-    return pd.util.hash_array(np.array(values, dtype=object), categorize=False) if len(values) else np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.asarray(values, dtype=object), categorize=False) if len(values) else np.zeros(0, np.uint64)
 
 
 def codes(flat: pa.Array) -> np.ndarray:
@@ -61,7 +61,17 @@ def codes(flat: pa.Array) -> np.ndarray:
     if not len(flat):
         return np.zeros(0, np.uint64)
     coded = flat.dictionary_encode()
-    return hash_strings(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+    return hash_strings(coded.dictionary.to_numpy(zero_copy_only=False))[np.asarray(coded.indices)]
+
+
+def order_by_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The order by (text, hash): one sort of packed keys, and a full sort only where 40 bits of two hashes of a text agree."""
+    if len(text) and int(text.max()) < 1 << 24:
+        order = np.argsort(text.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
+        h, t = hashes[order], text[order]
+        if not ((h[1:] < h[:-1]) & (t[1:] == t[:-1])).any():
+            return order
+    return np.lexsort((hashes, text))
 
 
 def windows(code: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +127,7 @@ def shingles(code: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.nd
             there = counts[short] > k
             whole[there] = mix(whole[there] * _MULTIPLIER + code[first[there] + k] + np.uint64(k))
         hashes, text = np.concatenate([hashes, whole]), np.concatenate([text, short])
-    order = np.lexsort((hashes, text))
+    order = order_by_text(hashes, text)
     hashes, text = hashes[order], text[order]
     if len(hashes):
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])
