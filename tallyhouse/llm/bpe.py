@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_words, save
-from .scratch import bound_batches, materialize, ship
+from .scratch import bound_batches, materialize, release, ship
 from .words import chunks
 
 LEXICON_WORDS = 1 << 17
-#: Distinct chunks or words that a task remembers at once.
-MEMO = 400_000
+#: Distinct chunks that a task counts or remembers at once (some tens of megabytes).
+MEMO = 120_000
+#: Text bytes that are encoded at once.
+CHUNK = 2 << 20
 #: Ids are below 2**SHIFT.
 SHIFT = 20
 MASK, NEVER = (1 << SHIFT) - 1, 1 << 62
@@ -87,6 +89,8 @@ class Model:
 
     def words(self, chunk: str) -> list[str | int]:
         """The words of a text without white space; a special token stands as its id."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         if "<|" not in chunk:
             return self.pattern.findall(self.normalise(chunk))
         out: list[str | int] = []
@@ -171,10 +175,10 @@ def word_counts(docs: DataFrame, model_name: str) -> DataFrame:
             seen.clear()
             return pa.record_batch({"word": pa.array(total.keys(), pa.string()), "n": pa.array(total.values(), pa.int64())})
 
-        for _, text in chunks(batches):
+        for _, text in chunks(batches, most=CHUNK):
             for one in text.to_pylist():
                 seen.update(split_chunks(one))
-            if len(seen) > MEMO:
+            if len(seen) > 2 * MEMO:
                 yield flush()
         yield flush()
 
@@ -196,6 +200,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
             break
         least = row["band"]
     frequent = counts.where(F.col("band") >= F.lit(least) if least is not None else F.lit(False)).select("word").toArrow()
+    release(spark, [counts.scratch_path])
     model = Model(tokenizer_path)
     words = sorted({w.encode() for w in frequent["word"].to_pylist()})
     with tempfile.TemporaryDirectory() as folder:
@@ -206,13 +211,13 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
 
 
 class Encoder:
-    """Encodes texts in one task; remembers distinct chunks."""
+    """Encodes texts in one task; remembers distinct chunks in two generations, so that frequent ones stay known."""
 
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
-        self.words: dict[str | int, tuple[bytes, str]] = {}
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
 
     def _entry(self, ids) -> tuple[bytes, str]:
         return array("I", ids).tobytes(), " ".join(map(self.model.tokens.__getitem__, ids))
@@ -220,28 +225,33 @@ class Encoder:
     def learn(self, parts: set[str]) -> None:
         """Make every chunk of ``parts`` known."""
         if len(self.ids) > MEMO:
-            self.ids.clear()
-            self.text.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
-        new = [p for p in parts if p not in self.ids]
+            self.older, self.ids, self.text = (self.ids, self.text), {}, {}
+        ids, text, (old_ids, old_text) = self.ids, self.text, self.older
+        new = []
+        for p in parts:
+            if p not in ids:
+                if p in old_ids:
+                    ids[p], text[p] = old_ids[p], old_text[p]
+                else:
+                    new.append(p)
         cut = [self.model.words(p) for p in new]
-        unknown = list({w for ws in cut for w in ws if w not in self.words})
+        unknown = list({w for ws in cut for w in ws})
         plain = [w.encode() for w in unknown if isinstance(w, str)]
         looked_up = iter(self.lexicon.ids_of_all(self.lexicon.ranks(plain)))
         encoded = iter(plain)
+        words: dict[str | int, tuple[bytes, str]] = {}
         for w in unknown:
             if isinstance(w, int):
-                self.words[w] = self._entry([w])
+                words[w] = self._entry([w])
                 continue
-            ids, raw = next(looked_up), next(encoded)
-            self.words[w] = self._entry(self.model.merge(raw) if ids is None else ids)
+            found, raw = next(looked_up), next(encoded)
+            words[w] = self._entry(self.model.merge(raw) if found is None else found)
         for p, ws in zip(new, cut, strict=True):
             if len(ws) == 1:
-                self.ids[p], self.text[p] = self.words[ws[0]]
+                ids[p], text[p] = words[ws[0]]
             else:
-                self.ids[p] = b"".join([self.words[w][0] for w in ws])
-                self.text[p] = " ".join([self.words[w][1] for w in ws])
+                ids[p] = b"".join([words[w][0] for w in ws])
+                text[p] = " ".join([words[w][1] for w in ws])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS, keep: str = "digest") -> DataFrame:
@@ -255,7 +265,7 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(_opened(Model, model_name), _opened(Lexicon, lexicon_name))
-        for part, text in chunks(batches):
+        for part, text in chunks(batches, most=CHUNK):
             split = [split_chunks(t) for t in text.to_pylist()]
             coder.learn({c for cs in split for c in cs})
             raw = [b"".join(map(coder.ids.__getitem__, cs)) for cs in split]

@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 An n-gram is four consecutive bytes of the lower-cased UTF-8 text with a space at either end. Fitting
-counts n-grams by language over a bounded, hash-chosen sample of the labelled rows (``fit_docs``); a
+counts n-grams by language over a bounded, hash-chosen sample of each language's labelled rows (``fit_docs``); a
 language contains an n-gram if it is frequent there and not much more frequent elsewhere. One table of
 2**20 slots holds a bit for each language, so the AND of three slots returns all languages containing an
 n-gram at once. Predicting adds up each language's bits over all n-grams of a whole text, takes off the
@@ -12,7 +12,7 @@ never inputs of a prediction.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where nothing could be
 learned; ties go to the alphabetically first language; repeated rows each get their result; an empty table
-gives an empty result; further columns are not read.
+gives an empty result; further columns are not read by ``identify`` and kept by ``predict``.
 """
 
 from __future__ import annotations
@@ -26,11 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches, share_value
+from .scratch import BROADCAST_IDS, bound_batches, materialize, share_value
 
 SLOTS_BITS, PROBES, GRAM = 20, 3, 4
-#: Labelled rows to fit on: about this many, chosen by a hash of doc_id.
+#: Labelled rows to fit on: about this many of all languages together, in equal parts, chosen by a hash of doc_id.
 FIT_DOCS = 6000
+#: A part is never less than this many rows of a language.
+LEAST_FIT_DOCS = 100
+#: Text bytes that are predicted at once.
+CHUNK = 1 << 20
 #: An n-gram belongs to a language if it makes up this share of its n-grams ...
 LEAST_SHARE = 2e-5
 #: ... and this part of the share it has where it is most frequent.
@@ -100,8 +104,12 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     """Filters of all languages found in the labelled rows that are not held out."""
     bound_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
-    total = rows.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, fit_docs / max(1, total)) * (1 << 20)) + 1)
+    # One row for each language: how many rows to draw of how many, so that rare languages are learned at every size.
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    langs = sizes.count()
+    part = F.lit(max(LEAST_FIT_DOCS, fit_docs / max(1, langs)))
+    rate = sizes.select("lang", F.least(F.lit(1 << 20), F.ceil(part / F.col("rows") * (1 << 20))).alias("rate"))
+    drawn = rows.join(F.broadcast(rate) if langs <= BROADCAST_IDS else rate, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("rate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in W.chunks(batches):
@@ -113,7 +121,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
                 yield pa.record_batch([pa.array([lang] * len(value), pa.string()), pa.array(value.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     # The sample bounds these counts, so they fit the driver.
-    counted = rows.where(share).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_pandas()
+    counted = drawn.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_pandas()
     langs = sorted(set(counted["lang"]))
     if not langs:
         return Filters([], [])
@@ -124,15 +132,16 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     return Filters(langs, [gram[member[:, k]] for k in range(len(langs))])
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` and columns lang_pred, score."""
+def predict(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` and two columns, named ``names``: the language and its score. Columns of ``docs`` of these names are replaced."""
+    docs = docs.drop(*names)
     shared = share_value(docs.sparkSession, filters)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Filters = shared.value
-        names = np.array([*model.langs, "und"], dtype=object)
-        for part, text in W.chunks(batches):
+        labels = np.array([*model.langs, "und"], dtype=object)
+        for part, text in W.chunks(batches, most=CHUNK):
             texts = text.to_pylist()
             best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
             if model.langs:
@@ -141,9 +150,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 letters = np.array([_LETTER.search(t) is not None for t in texts])
                 best = np.where(letters, count.argmax(axis=1), best)
                 score = np.where(letters, np.clip(count.max(axis=1) / np.maximum(np.diff(offsets), 1), 0, 1), 0.0)
-            yield pa.record_batch([*part.columns, pa.array(names[best], pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+            yield pa.record_batch([*part.columns, pa.array(labels[best], pa.string()), pa.array(score)], [*columns, *names])
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
     for field in schema:
         field.nullable = True
     return docs.mapInArrow(run, schema)

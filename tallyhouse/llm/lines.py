@@ -40,6 +40,8 @@ from .scratch import bound_batches, destroy_shared, in_bitmap, key_bitmap, mater
 #: Least similarity as a fraction of integers.
 NEAR = (75, 100)
 SKETCH_BITS = 18
+#: Sketches that one task adds up, and that reach the driver (2 MB each).
+SKETCHES = 8
 #: A shingle counts as frequent above this number of places; its postings are dealt by their sets.
 FREQUENT = 2048
 #: Postings of one range that a task should sort, about.
@@ -134,8 +136,20 @@ def rarity(stored: DataFrame) -> tuple[np.ndarray, int]:
     Counters that do not stand out of the noise of their neighbours become 0, so the order by
     (counter, hash) puts frequent shingles last and is the same total order everywhere.
     """
-    parts = stored.where("sketch is not null").select("sketch").rdd.map(lambda r: np.frombuffer(r[0], np.uint32).astype(np.int64))
-    sketch = parts.treeAggregate(np.zeros(1 << SKETCH_BITS, np.int64), lambda a, b: a + b, lambda a, b: a + b, 3)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for one in batch.column(0):
+                total += np.frombuffer(one.as_buffer(), np.uint32 if len(one.as_buffer()) == 4 << SKETCH_BITS else np.int64)
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sketch"])
+
+    parts = stored.where("sketch is not null").select("sketch")
+    n = parts.count()  # one for each task
+    while n > SKETCHES:
+        n = -(-n // SKETCHES)
+        parts = materialize(parts.repartition(n).mapInArrow(add, "sketch binary"), "sketches")
+    sketch = sum((np.frombuffer(one.as_buffer(), np.int64) for one in parts.coalesce(SKETCHES).mapInArrow(add, "sketch binary").toArrow()["sketch"]), np.zeros(1 << SKETCH_BITS, np.int64))
     usual = float(np.median(sketch))
     return np.where(sketch > usual + 8 * np.sqrt(usual) + 8, sketch - int(usual), 0), int(sketch.sum())
 
