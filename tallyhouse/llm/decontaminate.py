@@ -6,7 +6,7 @@ both sides: with names as words, with names as placeholders, and so that capital
 sentence, but for function words, are placeholders too. A bitmap of fixed size over
 the benchmark's windows drops nearly all windows of the documents; the rest meet the benchmark in a hash
 join. For each matched window the slots are compared: an item's value must stand for one value of the document
-there (units and numbers of one digit may vary), so a question with other numbers is caught. A window that is
+there, and the other way round (units and numbers of one digit may vary), so a question with other numbers is caught. A window that is
 torn in this way does not count; the other windows of the item still do.
 
 An item leaks into a document if half of its windows are matched, or six (13 words in a row or more).
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, share_value, without
+from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, row_key, share_value, without
 
 WINDOW, SHORTEST = 8, 3
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 6
 #: Benchmark windows up to which the join's smaller side is broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
-MEMO = 400_000
+MEMO = 250_000
 #: Tells the hashes of literal windows from the others.
 LITERAL = 1 << 16
 #: Words that count as units.
@@ -90,7 +90,7 @@ class Canon:
     def read(self, text: pa.Array) -> None:
         flat, counts = W.split(text)
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = [w for w in distinct if w not in self.memo]
@@ -219,10 +219,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     side = F.broadcast(side) if n_items <= BROADCAST_WINDOWS else side
     pairs = found.join(side, "hash").where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("pos") - F.col("item_pos")).drop("hash", "size", "pos").distinct()
     pairs = materialize(pairs, "window-pairs")
-    # Slot consistency in each window: an item's value stands for one value there. An alignment with any other value is no exact copy.
+    # Slot consistency in each window: an item's value and a value of the document stand for each other there. An alignment with any other value is no exact copy.
     zipped = F.arrays_zip("item_slots", "slots")
     bound = F.filter(zipped, lambda s: ~(s["item_slots"].isin(*sorted(UNITS)) | s["item_slots"].rlike("^[0-9]$")))
-    torn = F.size(F.array_distinct(bound)) > F.size(F.array_distinct(F.transform(bound, lambda s: s["item_slots"])))
+    kinds = lambda side: F.size(F.array_distinct(F.transform(bound, lambda s: s[side])))
+    torn = F.size(F.array_distinct(bound)) > F.least(kinds("item_slots"), kinds("slots"))
     pairs = pairs.select("doc_id", "item_id", "shift", "item_pos", "literal", torn.alias("torn"), (F.col("item_slots") != F.col("slots")).alias("differs"))
     checked = pairs.groupBy("doc_id", "item_id", "shift").agg(F.bool_or("differs").alias("other"))
     good = pairs.where("not torn").join(checked, ["doc_id", "item_id", "shift"])
@@ -234,5 +235,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a leaked item."""
-    return without(docs, find_leaks(docs, benchmark))
+    """``docs`` without the rows whose text holds a leaked item; other rows of the same doc_id stay."""
+    return without(docs, find_leaks(docs.select(row_key().alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("row")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import bound_batches, in_bitmap, key_bitmap, materialize, share_value, without
+from .scratch import bound_batches, destroy_shared, in_bitmap, key_bitmap, materialize, row_key, share_value, shared, without
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
@@ -53,7 +53,7 @@ def _shingled(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_hash, sig (8 packed longs), bands (32 longs); the arrays are empty for the empty set."""
+    """doc_id, row, n_shingles, set_hash, sig (8 packed longs), bands (32 longs); the arrays are empty for the empty set. ``row`` is ``row_key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations()
@@ -73,21 +73,22 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
             for k in range(ROWS):
                 bands = W.mix(bands * np.uint64(0x9E3779B97F4A7C15) + wide[k::ROWS])
             bands = W.mix(bands + np.arange(BANDS, dtype=np.uint64)[:, None])
-            low = (wide & np.uint64((1 << BITS) - 1)).T.reshape(len(filled), -1, 64 // BITS)
+            low = (wide & np.uint64((1 << BITS) - 1)).T.reshape(len(filled), MINIMA * BITS // 64, 64 // BITS)
             sig = np.bitwise_or.reduce(low << shift, axis=2) if len(filled) else np.zeros((0, MINIMA * BITS // 64), np.uint64)
             there = np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
             yield pa.record_batch(
                 [
-                    part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
+                    part.column(0).cast(pa.int64()),
+                    part.column(2),
                     pa.array(np.diff(at).astype(np.int64)),
                     pa.array(W.set_hash(hashes, of, n).view(np.int64)),
                     W.list_array(np.ascontiguousarray(sig).ravel(), there * sig.shape[1]),
                     W.list_array(np.ascontiguousarray(bands.T).ravel(), there * BANDS),
                 ],
-                ["doc_id", "n_shingles", "set_hash", "sig", "bands"],
+                ["doc_id", "row", "n_shingles", "set_hash", "sig", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sig array<long>, bands array<long>")
+    return docs.select("doc_id", "text", row_key().alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, set_hash long, sig array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -209,27 +210,35 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(labelled.join(torn, "key", "left_semi"), "mixed")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), for every row."""
+def _labelled(docs: DataFrame, size: int) -> DataFrame:
+    """``near_duplicates`` with each row's ``row_key`` besides."""
     bound_batches(docs.sparkSession)
+    before = shared()
     base = materialize(signatures(docs, size), "signatures")
     roots = near_classes(docs, base, size).select(F.col("node").alias("set_hash"), "root")
     classes = base.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     known = classes.join(roots, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     known = materialize(known.where((F.col("copies") > 1) | F.col("root").isNotNull()).select("set_hash", "root", "least"), "class-roots")
+    destroy_shared([one for one in shared() if one not in before])
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = known.join(least, "root").select("set_hash", "component_id")
-    out = base.select("doc_id", "n_shingles", "set_hash").join(by_class, "set_hash", "left")
+    out = base.select("doc_id", "row", "n_shingles", "set_hash").join(by_class, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), for every row."""
+    return _labelled(docs, size).drop("row")
 
 
 def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a smaller doc_id.
+    """``docs`` without the rows that are near copies of one with a smaller doc_id.
 
-    Documents without words and rows without a doc_id stay; of rows that repeat doc_id and text, one stays.
+    Rows are told apart by doc_id and text: a text of its own stays though its doc_id has near copies too. Documents
+    without words and rows without a doc_id stay; of rows that repeat doc_id and text, one stays.
     """
-    found = near_duplicates(docs, size)
-    out = without(docs, found.where(~F.col("kept")))
+    found = _labelled(docs, size)
+    out = without(docs, found.where(~F.col("kept") & F.col("doc_id").isNotNull()))
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

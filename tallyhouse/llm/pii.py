@@ -1,12 +1,12 @@
 """Personal data in text: patterns propose, checksums confirm, context scores (DataFrame functions only).
 
 A pattern's matches come from ``regexp_extract_all`` and the text between them from ``split``; the
-running lengths of both give each match's offsets in code points. The patterns are written with
+running lengths of both, block by block, give each match's offsets in code points. The patterns are written with
 possessive quantifiers and look-behinds, so that the time is linear in the length of a text; they
 match exactly what the plain patterns of the same kind match.
 
 Defined results: a null text is empty and has no spans; repeated rows each get their result; an empty
-table gives an empty result; further columns are kept.
+table gives an empty result; further columns are kept. The time grows in proportion to a text's length and matches.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PATTERNS = {
 #: A character that every match of the kind holds: a text without it is not searched.
 _MUST_HOLD = {"email": "@", "phone": "+"}
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: Words that raise a span's score when they stand within ``CONTEXT`` code points before it.
+#: Words that raise a span's score when they stand within ``CONTEXT`` code points of it.
 CONTEXT_WORDS = {
     "email": "mail|contact|write",
     "ip": r"\bip\b|address|host|server",
@@ -35,6 +35,8 @@ CONTEXT_WORDS = {
     "iban": "iban|bank|account|transfer",
 }
 CONTEXT = 40
+#: Proposals whose spans are put in line at once; blocks are joined after.
+BLOCK = 256
 BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9}
 
 
@@ -66,57 +68,89 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, rank: int, text: Column) -> Column:
-    """array<struct<start, rank, kind, end, score>> of the kind's confirmed spans."""
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # Pairs (text before, match) folded into spans by running lengths.
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("value")))
-    empty = F.lit([]).cast("array<struct<start:int,end:int,value:string,near:string>>")
-    folded = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["gap"]) + F.length(p["value"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(F.struct((a["at"] + F.length(p["gap"])).alias("start"), (a["at"] + F.length(p["gap"]) + F.length(p["value"])).alias("end"), p["value"].alias("value"), F.lower(F.right(p["gap"], F.lit(CONTEXT))).alias("near"))),
-            ).alias("out"),
-        ),
-    )["out"]
-    confirmed = F.filter(folded, lambda s: _valid(kind, s["value"]))
-    score = lambda s: F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(s["near"].rlike(CONTEXT_WORDS[kind]), F.lit(0.2)).otherwise(F.lit(0.0)))
-    spans = F.transform(confirmed, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), score(s).alias("score")))
-    none = F.lit([]).cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
+def _proposals(kind: str, text: Column) -> tuple[Column, Column]:
+    """The kind's matches in a text, and the texts between them (one more)."""
     must = text.contains(_MUST_HOLD[kind]) if kind in _MUST_HOLD else text.rlike("[0-9]")
-    return F.when(must, spans).otherwise(none)
+    none = F.lit([]).cast("array<string>")
+    return F.when(must, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none), F.when(must, F.split(text, PATTERNS[kind], -1)).otherwise(none)
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` and column ``pii``: array<struct<start, rank, kind, end, score>> by start, then kind.
+def _judged(kind: str, pairs: Column) -> Column:
+    """array<struct<skip, size, ok, score>> of pairs (gap, value, after): lengths, the check's result and the score by context.
 
-    Offsets are code points, the end exclusive. Matches that fail their check are dropped and not retried.
+    Context is ``CONTEXT`` code points on either side, read from the gaps and over one neighbouring match.
     """
+
+    def one(p: Column, i: Column) -> Column:
+        past, coming = F.get(pairs, i - 1), F.get(pairs, i + 1)
+        tail, head = (lambda x: F.right(x, F.lit(CONTEXT))), (lambda x: F.left(x, F.lit(CONTEXT)))
+        before = tail(F.concat_ws("", tail(past["gap"]), tail(past["value"]), tail(p["gap"])))
+        behind = head(F.concat_ws("", head(p["after"]), head(coming["value"]), head(coming["after"])))
+        near = F.lower(F.concat(before, F.lit("\n"), behind)).rlike(CONTEXT_WORDS[kind])
+        ok = _valid(kind, p["value"])
+        score = F.when(ok, F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(near, F.lit(0.2)).otherwise(F.lit(0.0))))
+        return F.struct(F.length(p["gap"]).alias("skip"), F.length(p["value"]).alias("size"), ok.alias("ok"), score.alias("score"))
+
+    return F.transform(pairs, one)
+
+
+def _blocks_of(judged: Column) -> Column:
+    """array<struct<at, out>>: the length of each block of ``BLOCK`` proposals, and its confirmed spans from the block's begin."""
+    empty = F.lit([]).cast("array<struct<start:int,end:int,score:double>>")
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + p["skip"]
+        span = F.struct(start.alias("start"), (start + p["size"]).alias("end"), p["score"].alias("score"))
+        return F.struct((start + p["size"]).alias("at"), F.when(p["ok"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    return F.when(F.size(judged) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(judged) - 1) / BLOCK).cast("int")), lambda g: F.aggregate(F.slice(judged, g * BLOCK + 1, BLOCK), first, step)))
+
+
+def _joined(kind: str, rank: int, blocks: Column) -> Column:
+    """array<struct<start, rank, kind, end, score>> of all blocks of a text."""
+    begins = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<int>").alias("all")), lambda a, g: F.struct((a["at"] + g["at"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+    moved = F.zip_with(blocks, begins, lambda g, at: F.transform(g["out"], lambda s: F.struct((s["start"] + at).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (s["end"] + at).alias("end"), s["score"].alias("score"))))
+    none = F.lit([]).cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
+    return F.coalesce(F.flatten(moved), none)
+
+
+def find_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """``docs`` and column ``name``: array<struct<start, rank, kind, end, score>> by start, then kind.
+
+    Offsets are code points, the end exclusive. Matches that fail their check are dropped and not retried. A column of
+    ``docs`` of that name is replaced. The steps are separate projections, so that no array is made twice.
+    """
+    docs = docs.drop(name)
+    kept = [F.col(c) for c in docs.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    per_kind = docs.select("*", *[_spans(kind, rank, text).alias(f"__{kind}") for rank, kind in enumerate(PATTERNS)])
-    joined = F.array_sort(F.concat(*[F.col(f"__{kind}") for kind in PATTERNS]))
-    return per_kind.withColumn("pii", joined).drop(*[f"__{kind}" for kind in PATTERNS])
+    column = lambda step, kind: f"__pii_{step}_{kind}"
+    now = docs.select(*kept, *[x.alias(column(step, kind)) for kind in PATTERNS for step, x in zip(("found", "between"), _proposals(kind, text), strict=True)])
+
+    def paired(kind: str) -> Column:
+        found, between = F.col(column("found", kind)), F.col(column("between", kind))
+        gaps = F.zip_with(F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found)), lambda x, y: F.struct(x.alias("gap"), y.alias("after")))
+        return F.zip_with(gaps, found, lambda g, m: F.struct(g["gap"].alias("gap"), g["after"].alias("after"), m.alias("value")))
+
+    steps = (("pairs", paired), ("judged", lambda kind: _judged(kind, F.col(column("pairs", kind)))), ("blocks", lambda kind: _blocks_of(F.col(column("judged", kind)))))
+    for step, made in steps:
+        now = now.select(*kept, *[made(kind).alias(column(step, kind)) for kind in PATTERNS])
+    return now.select(*kept, F.array_sort(F.concat(*[_joined(kind, rank, F.col(column("blocks", kind))) for rank, kind in enumerate(PATTERNS)])).alias(name))
 
 
 def redact(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """``docs`` with every span of at least ``least_score`` replaced by ``<KIND>``; overlapping spans yield to the first."""
-    found = find_spans(docs)
+    found = find_spans(docs, "__pii_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = lambda a, b: F.substring(text, a + 1, b - a)
     folded = F.aggregate(
-        F.filter("pii", lambda s: s["score"] >= least_score),
+        F.filter("__pii_spans", lambda s: s["score"] >= least_score),
         start,
         lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], cut(a["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))).otherwise(a),
     )
     done = found.withColumn("__r", folded)
-    return done.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(F.concat("__r.out", F.substring(text, F.col("__r.at") + 1, F.length(text))))).drop("__r", "pii")
+    return done.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(F.concat("__r.out", F.substring(text, F.col("__r.at") + 1, F.length(text))))).drop("__r", "__pii_spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

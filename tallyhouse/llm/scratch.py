@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -29,6 +29,8 @@ def root(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder
@@ -124,10 +126,16 @@ def tidy(spark: SparkSession) -> None:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``. The ids are counted before they are broadcast."""
-    gone = materialize(ids.select("doc_id").distinct(), "gone-ids")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+def row_key() -> Column:
+    """A row's identity: doc_id and text. Rows may share a doc_id."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``rows.row``. The keys are counted before they are broadcast."""
+    gone = materialize(rows.select(F.col("row").alias("__gone_row")).distinct(), "gone-rows")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.withColumn("__gone_row", row_key()).join(side, "__gone_row", "left_anti").select(*docs.columns)
 
 
 def key_bitmap(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
