@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once; bounds a worker's memory whatever the batch (one longer document is handled alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: The published splitmix64 finaliser.
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
