@@ -270,28 +270,55 @@ register("claim_pairs", lambda t: planning.claim_pairs(t("part").select(F.col("p
 # ---------------------------------------------------------------- laws counted on data
 
 
-def _rule(name: str, build: Build, premise: bool = True, conclusion: bool = True, rule: str | None = None) -> None:
-    register(f"rule_{name}", build, f"select '{rule or name}' as rule, {premise} premise, {conclusion} conclusion, {premise and not conclusion} violated")
+def _repeated(table: str, *keys: str) -> str:
+    """SQL: how many defined keys more than one row holds."""
+    held = " and ".join(f"{k} is not null" for k in keys)
+    return f"(select count(*) from (select 1 from {table} q where {held} group by {', '.join(keys)} having count(*) > 1))"
 
 
+def _nulls(table: str, *columns: str) -> str:
+    return f"(select count(*) from {table} q where {' or '.join(f'{c} is null' for c in columns)})"
+
+
+def _rows(table: str) -> str:
+    return f"(select count(*) from {table} q)"
+
+
+def _rule(name: str, build: Build, premise: str, conclusion: str, rule: str | None = None) -> None:
+    """``premise`` and ``conclusion`` are SQL counts of exceptions."""
+    register(f"rule_{name}", build, f"with e as (select {premise} p, {conclusion} c) select '{rule or name}' as rule, p = 0 as premise, c = 0 as conclusion, p = 0 and c <> 0 as violated from e")
+
+
+_INNER, _LEFT = ("(select * from orders {} join customer on o_custkey = c_custkey)".format(how) for how in ("", "left"))
+_FANNED, _FANNED_LEFT = ("(select * from customer {} join orders on c_custkey = o_custkey)".format(how) for how in ("", "left"))
+_DEAR = "(select * from orders where o_totalprice > 1000)"
+_GRAIN = f"{_repeated('orders', 'o_orderkey')} + {_nulls('orders', 'o_orderkey')} + {_repeated('customer', 'c_custkey')}"
 _OC = [("o_custkey", "c_custkey")]
-_rule("inner_join_no_fanout", lambda t: rules.inner_join_no_fanout(t("orders"), t("customer"), _OC))
-_rule("inner_join_fans_out", lambda t: rules.inner_join_no_fanout(t("customer"), t("orders"), [("c_custkey", "o_custkey")]), False, False, "inner_join_no_fanout")
-_rule("left_join_preserves_rows", lambda t: rules.left_join_preserves_rows(t("orders"), t("customer"), _OC))
-_rule("grain_through_inner_join", lambda t: rules.grain_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"]))
-_rule("grain_through_left_join", lambda t: rules.grain_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"], "left"))
-_rule("not_null_through_inner_join", lambda t: rules.not_null_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"]))
-_rule("not_null_through_left_join", lambda t: rules.not_null_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"], "left"))
-_rule("filter_preserves_unique", lambda t: rules.filter_preserves_unique(t("orders"), ["o_orderkey"], F.col("o_totalprice") > 1000))
-_rule("not_null_through_filter", lambda t: rules.not_null_through_filter(t("orders"), ["o_orderkey"], F.col("o_totalprice") > 1000))
-_rule("group_by_unique", lambda t: rules.group_by_unique(t("lineitem"), ["l_orderkey", "l_partkey"]))
-_rule("not_null_through_group_by", lambda t: rules.not_null_through_group_by(t("lineitem"), ["l_orderkey"]))
-_rule("pick_unique", lambda t: rules.pick_unique(t("orders"), ["o_custkey"], ["o_orderdate desc", "o_orderkey"]))
-_rule("not_null_through_pick", lambda t: rules.not_null_through_pick(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_custkey", "o_orderkey"]))
-_rule("pick_is_order_independent", lambda t: rules.pick_is_order_independent(t("orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"]))
-_rule("join_onto_grouped", lambda t: rules.join_onto_grouped(t("orders"), t("lineitem"), [("o_orderkey", "l_orderkey")]))
-_rule("join_onto_picked", lambda t: rules.join_onto_picked(t("orders"), t("lineitem"), [("o_orderkey", "l_orderkey")], ["l_linenumber", "l_partkey"]))
-_rule("incremental_equals_full_refresh", lambda t: rules.incremental_equals_full_refresh(t("orders").where("o_orderkey % 3 > 0").select("o_orderkey", "o_orderstatus"), t("orders").where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"]))
+_rule("inner_join_no_fanout", lambda t: rules.inner_join_no_fanout(t("orders"), t("customer"), _OC), _repeated('customer', 'c_custkey'), f"greatest({_rows(_INNER)} - {_rows('orders')}, 0)")
+_rule("inner_join_fans_out", lambda t: rules.inner_join_no_fanout(t("customer"), t("orders"), [("c_custkey", "o_custkey")]), _repeated('orders', 'o_custkey'), f"greatest({_rows(_FANNED)} - {_rows('customer')}, 0)", "inner_join_no_fanout")
+_rule("left_join_preserves_rows", lambda t: rules.left_join_preserves_rows(t("orders"), t("customer"), _OC), _repeated('customer', 'c_custkey'), f"abs({_rows(_LEFT)} - {_rows('orders')})")
+_rule("grain_through_inner_join", lambda t: rules.grain_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"]), _GRAIN, _repeated(_INNER, 'o_orderkey'))
+_rule("grain_through_left_join", lambda t: rules.grain_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"], "left"), _GRAIN, _repeated(_LEFT, 'o_orderkey'))
+_rule("not_null_through_inner_join", lambda t: rules.not_null_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"]), _nulls('orders', 'o_orderkey'), _nulls(_INNER, 'o_orderkey'))
+_rule("not_null_through_left_join", lambda t: rules.not_null_through_join(t("orders"), t("customer"), _OC, ["o_orderkey"], "left"), _nulls('orders', 'o_orderkey'), _nulls(_LEFT, 'o_orderkey'))
+_rule("filter_preserves_unique", lambda t: rules.filter_preserves_unique(t("orders"), ["o_orderkey"], F.col("o_totalprice") > 1000), _repeated('orders', 'o_orderkey'), _repeated(_DEAR, 'o_orderkey'))
+_rule("not_null_through_filter", lambda t: rules.not_null_through_filter(t("orders"), ["o_orderkey"], F.col("o_totalprice") > 1000), _nulls('orders', 'o_orderkey'), _nulls(_DEAR, 'o_orderkey'))
+_rule("group_by_unique", lambda t: rules.group_by_unique(t("lineitem"), ["l_orderkey", "l_partkey"]), "0", _repeated('(select l_orderkey, l_partkey, count(*) n from lineitem group by 1, 2)', 'l_orderkey', 'l_partkey'))
+_rule("not_null_through_group_by", lambda t: rules.not_null_through_group_by(t("lineitem"), ["l_orderkey"]), _nulls('lineitem', 'l_orderkey'), _nulls('(select l_orderkey, count(*) n from lineitem group by 1)', 'l_orderkey'))
+_rule("pick_unique", lambda t: rules.pick_unique(t("orders"), ["o_custkey"], ["o_orderdate desc", "o_orderkey"]), "0", _repeated('(select * from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) = 1)', 'o_custkey'))
+_rule("not_null_through_pick", lambda t: rules.not_null_through_pick(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_custkey", "o_orderkey"]), _nulls('orders', 'o_custkey', 'o_orderkey'), _nulls('(select * from orders qualify row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1)', 'o_custkey', 'o_orderkey'))
+_rule("pick_is_order_independent", lambda t: rules.pick_is_order_independent(t("orders").select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"]), _repeated('orders', 'o_custkey', 'o_orderdate', 'o_orderkey'), _repeated('(select distinct o_custkey, o_orderdate, o_orderkey from orders qualify rank() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1)', 'o_custkey'))
+_rule("join_onto_grouped", lambda t: rules.join_onto_grouped(t("orders"), t("lineitem"), [("o_orderkey", "l_orderkey")]), "0", f"greatest({_rows('(select * from orders join (select l_orderkey, count(*) n from lineitem group by 1) on o_orderkey = l_orderkey)')} - {_rows('orders')}, 0)")
+_rule("join_onto_picked", lambda t: rules.join_onto_picked(t("orders"), t("lineitem"), [("o_orderkey", "l_orderkey")], ["l_linenumber", "l_partkey"]), "0", f"greatest({_rows('(select * from orders join (select * from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) = 1) on o_orderkey = l_orderkey)')} - {_rows('orders')}, 0)")
+_FIRST, _BATCH = "(select o_orderkey, o_orderstatus from orders where o_orderkey % 3 > 0)", "(select o_orderkey, 'X' as o_orderstatus from orders where o_orderkey % 4 = 0)"
+_MERGED = f"select o_orderkey, o_orderstatus from {_BATCH} union all select o_orderkey, o_orderstatus from {_FIRST} f where not exists (select 1 from {_BATCH} b where b.o_orderkey = f.o_orderkey)"
+_REBUILT = f"select o_orderkey, o_orderstatus from (select *, 0 as b from {_FIRST} union all select *, 1 from {_BATCH}) qualify row_number() over (partition by o_orderkey order by b desc) = 1"
+_KEYED = " + ".join(f(x, "o_orderkey") for f in (_repeated, _nulls) for x in (_FIRST, _BATCH))
+_rule("incremental_equals_full_refresh", lambda t: rules.incremental_equals_full_refresh(t("orders").where("o_orderkey % 3 > 0").select("o_orderkey", "o_orderstatus"), t("orders").where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"]), _KEYED, f"{_rows(f'({_MERGED} except all ({_REBUILT}))')} + {_rows(f'(({_REBUILT}) except all ({_MERGED}))')}")
+# The same laws where a premise does not hold.
+_rule("left_join_multiplies_rows", lambda t: rules.left_join_preserves_rows(t("customer"), t("orders"), [("c_custkey", "o_custkey")]), _repeated("orders", "o_custkey"), f"abs({_rows(_FANNED_LEFT)} - {_rows('customer')})", "left_join_preserves_rows")
+_rule("grain_lost_in_a_join", lambda t: rules.grain_through_join(t("customer"), t("orders"), [("c_custkey", "o_custkey")], ["c_custkey"]), f"{_repeated('customer', 'c_custkey')} + {_nulls('customer', 'c_custkey')} + {_repeated('orders', 'o_custkey')}", _repeated(_FANNED, "c_custkey"), "grain_through_inner_join")
+_rule("filter_on_a_repeated_key", lambda t: rules.filter_preserves_unique(t("orders"), ["o_custkey"], F.col("o_totalprice") > 1000), _repeated("orders", "o_custkey"), _repeated(_DEAR, "o_custkey"), "filter_preserves_unique")
 
 # ---------------------------------------------------------------- digests, checks, samples and streams (rows only)
 
