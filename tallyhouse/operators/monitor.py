@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def latest_buckets(volumes: DataFrame) -> DataFrame:
     """relation, bucket, n out of re-recorded buckets (relation, bucket, n, updated_at): the newest record of each counts."""
@@ -66,10 +70,18 @@ def monitor_state(results: DataFrame, now, stale_days: int) -> DataFrame:
     return told.withColumn("state", F.when(F.col("runs") == 0, "never_run").when(old > stale_days, "abandoned").otherwise("live"))
 
 
-def coverage_closure(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
-    """node, covered: monitored or a seed, or all parents covered (and at least one parent). ``levels`` bounds the depth of the graph."""
-    covered = nodes.select("node", (F.col("monitored") | F.col("is_seed")).alias("covered"))
-    for _ in range(levels):
+def coverage_closure(nodes: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """node, covered: monitored or a seed, or all parents covered (and at least one parent).
+
+    Walks until nothing more is covered, with lineage cut at each level; raises where a given number of levels does not reach that.
+    """
+    covered = cut(nodes.select("node", (F.col("monitored") | F.col("is_seed")).alias("covered")))
+    n = covered.where("covered").count()
+    for level in count(1):
         by_parents = edges.join(covered, edges["src"] == covered["node"]).groupBy("dst").agg(F.bool_and("covered").alias("all_parents"))
-        covered = covered.join(by_parents, covered["node"] == by_parents["dst"], "left").select("node", (F.col("covered") | F.coalesce("all_parents", F.lit(False))).alias("covered"))
-    return covered
+        covered = cut(covered.join(by_parents, covered["node"] == by_parents["dst"], "left").select("node", (F.col("covered") | F.coalesce("all_parents", F.lit(False))).alias("covered")))
+        before, n = n, covered.where("covered").count()
+        if n == before:
+            return covered
+        if levels is not None and level > levels:
+            raise RuntimeError(f"the graph is deeper than {levels} levels")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import graph, quality, rules
 
 #: A value-loss count older than this is due again.
@@ -85,14 +87,22 @@ def grain_candidates(digests: DataFrame, declared: DataFrame) -> DataFrame:
     return met.select("model", route.alias("route"), F.when(route == "declared", F.col("declared")).when(route != "probe", F.col("unique_on")).alias("key"))
 
 
-def propagate_grain(candidates: DataFrame, drivers: DataFrame, levels: int = 12) -> DataFrame:
-    """Grain passed on from a single driving parent whose joins do not multiply: (model, parent, safe); parents first."""
-    known = candidates.select("model", "key", "route")
-    for _ in range(levels):
+def propagate_grain(candidates: DataFrame, drivers: DataFrame, levels: int | None = None) -> DataFrame:
+    """Grain passed on from a single driving parent whose joins do not multiply: (model, parent, safe); parents first.
+
+    Walks until no model gains a grain, with lineage cut at each level; raises where a given number of levels does not reach that.
+    """
+    known = cut(candidates.select("model", "key", "route"))
+    n = known.where("key is not null").count()
+    for level in count(1):
         up = known.where("key is not null").select(F.col("model").alias("parent"), F.col("key").alias("parent_key"))
         met = known.join(drivers.where("safe").select("model", "parent"), "model", "left").join(up, "parent", "left")
-        known = met.select("model", F.coalesce("key", "parent_key").alias("key"), F.when(F.col("key").isNull() & F.col("parent_key").isNotNull(), "inherited").otherwise(F.col("route")).alias("route"))
-    return known
+        known = cut(met.select("model", F.coalesce("key", "parent_key").alias("key"), F.when(F.col("key").isNull() & F.col("parent_key").isNotNull(), "inherited").otherwise(F.col("route")).alias("route")))
+        before, n = n, known.where("key is not null").count()
+        if n == before:
+            return known
+        if levels is not None and level > levels:
+            raise RuntimeError(f"the lineage is deeper than {levels} levels")
 
 
 def declared_keys(tests: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,9 +29,11 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder the session names; a private folder only where none is set."""
+    """Cut lineage by a reliable checkpoint in the folder the session names; a private folder only where none is set and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyhouse-"))
     return df.checkpoint()
 
