@@ -7,6 +7,7 @@ import pytest
 
 from tallyhouse.plans import compiler, digest
 from tallyhouse.plans.syntax import Outside, parse
+from tallyhouse.sources.tables import values
 
 #: Column types of the generated tables: parcels are sent from depots and scanned on their way.
 SHAPES = {
@@ -134,7 +135,7 @@ def test_drawn_statements(spark, seed):
 
 
 def test_whole_number_division(spark):
-    frames = {"odd": spark.createDataFrame([(13,)], "n bigint")}
+    frames = {"odd": values(spark, [(13,)], ["n"])}
     rows = compiler.run(spark, "select n / 2 as q, -n / 2 as n, n % 0 as z from odd", frames).collect()
     assert [tuple(r) for r in rows] == [(6, -6, None)]
 
