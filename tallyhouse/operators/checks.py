@@ -119,6 +119,14 @@ def no_description(p):
     return _finding(rows, "no_description", F.col("node"), F.col("kind"))
 
 
+def many_leaf_children(p, least: int = 3):
+    """Models of which ``least`` or more direct children are models that no model reads."""
+    models = p["nodes"].where("kind = 'model'")
+    within = p["edges"].select("src", "dst").distinct().join(models.select(F.col("node").alias("src")), "src", "left_semi").join(models.select(F.col("node").alias("dst")), "dst", "left_semi")
+    leaves = within.join(within.select(F.col("src").alias("dst")), "dst", "left_anti")
+    return _finding(leaves.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least), "model_has_many_leaf_children", F.col("src"), F.col("n"))
+
+
 def declared_twice(p):
     told = p["nodes"].where("kind = 'source'").groupBy("physical_name").agg(F.count("*").alias("n")).where("n > 1")
     return _finding(told, "source_declared_twice", F.col("physical_name"), F.col("n"))
@@ -227,6 +235,7 @@ CHECKS: dict[str, tuple[Callable[[dict[str, DataFrame]], DataFrame], tuple[str,
     "column_name_does_not_state_its_type": (name_states_type, ("columns",)), "description_promises_what_the_column_cannot_keep": (promises, ("columns", "digests")), "float_sum_is_not_reproducible": (float_sum, ("digests", "columns", "nodes")),
     "source_reaches_nothing": (lambda p: _no_children(p, "source", "source_reaches_nothing"), ("nodes", "edges")), "seed_reaches_nothing": (lambda p: _no_children(p, "seed", "seed_reaches_nothing"), ("nodes", "edges")),
     "source_only_a_test_reads": (only_a_test_reads, ("nodes", "edges")), "source_freshness_undeclared": (freshness_undeclared, ("nodes",)), "exposure_undeclared": (exposure_undeclared, ("nodes", "edges")), "no_description": (no_description, ("nodes",)),
+    "model_has_many_leaf_children": (many_leaf_children, ("nodes", "edges")),
     "source_declared_twice": (declared_twice, ("nodes",)), "reads_raw_source_outside_staging": (reads_raw_source, ("nodes", "edges")), "staging_reads_staging": (staging_reads_staging, ("nodes", "edges")), "staging_reads_downstream": (staging_reads_downstream, ("nodes", "edges")),
     "rejoins_an_upstream_concept": (rejoins_upstream, ("edges",)), "view_read_by_many_models": (many_views_read, ("nodes", "edges")), "source_read_directly_by_many_models": (source_fanout, ("nodes", "edges")), "long_chain_of_views": (long_chain, ("nodes", "edges")),
     "model_refs_nothing": (refs_nothing, ("nodes", "edges")), "hard_coded_reference": (hard_coded, ("digests", "nodes")), "too_many_joins": (many_joins, ("digests",)), "public_model_without_contract": (public_contract, ("nodes",)),

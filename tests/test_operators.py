@@ -170,3 +170,12 @@ def test_checks_over_facts(spark):
         ("microbatch_without_lookback", "c"), ("guarantee_does_not_hold", "p"), ("guarantee_lost", "p"),
     }
     assert "hop_multiplies_rows" in unchecked
+
+
+def test_many_leaf_children(spark):
+    nodes = spark.createDataFrame([("raw", "source"), ("hub", "model"), ("mid", "model"), ("tip", "model"), *[(f"leaf{k}", "model") for k in range(5)], ("seen", "test")], "node string, kind string")
+    edges = [("raw", f"leaf{k}") for k in range(5)] + [("hub", f"leaf{k}") for k in range(3)] + [("hub", "leaf0"), ("hub", "mid"), ("mid", "leaf3"), ("mid", "leaf4"), ("mid", "tip"), ("tip", "leaf4"), ("mid", "seen"), ("leaf0", "seen")]
+    project = {"nodes": nodes, "edges": spark.createDataFrame(edges, "src string, dst string")}
+    # hub: leaf0 to leaf2, counted once each; mid: leaf3 and leaf4 only, as tip is read by a model; a test does not count.
+    assert [(r["subject"], r["detail"]) for r in checks.many_leaf_children(project).collect()] == [("hub", "3")]
+    assert sorted((r["subject"], r["detail"]) for r in checks.many_leaf_children(project, 2).collect()) == [("hub", "3"), ("mid", "2")]
