@@ -80,7 +80,7 @@ def _needed(found: list[str], threshold: float) -> list[str]:
 def _constant(found: list[str]) -> Column:
     """Hashes of bigrams as one constant array: Spark's xxhash64 of two words is the hash of the second seeded by that of the first."""
     hashes = [xxhash.xxh64_intdigest(last, xxhash.xxh64_intdigest(first, 42)) for first, last in (b.split(" ") for b in found)]
-    return F.expr(f"array({', '.join(f'{h - (h >> 63 << 64)}L' for h in hashes if h != 1 << 63)})")
+    return F.expr(f"array({', '.join(f'{h - (h >> 63 << 64)}L' for h in hashes)})")
 
 
 def _pairs(words: Column) -> Column:
