@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, imatch, langid, licenses, lines, minhash, pii, sharding, substrings
+from . import bpe, countjoin, decontaminate, imatch, langid, licenses, lines, minhash, pii, sharding, substrings
 
 #: The public tokenizer file that op2 encodes with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,7 +61,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op5_license_passages": op5_license_passages, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash}
+def op11_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countjoin.join_near(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op5_license_passages": op5_license_passages, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash, "op11_count_vector_join": op11_count_vector_join}
 
 
 def _licenses_sql() -> str:
@@ -80,6 +84,20 @@ select doc_id, line, string_split(template, '#')[1] license, template, round(dic
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+def _components_sql(percent: int, kept: str) -> str:
+    """Components of documents by the Jaccard similarity of their sets of 5-word shingles."""
+    return f"""
+with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from d, unnest(range(1, greatest(len(w) - 3, 2))) r(i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+pairs as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {percent} * (x.n + y.n - c)),
+sym as (select a, b from links union select b as a, a as b from links),
+reach as (select doc_id, doc_id root from d union select r.doc_id, sym.b from reach r join sym on r.root = sym.a)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id{kept} from d left join n using (doc_id) join (select doc_id, min(root) component_id from reach group by 1) using (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_licenses": _licenses_sql(),
     "op7_substring_dedup": f"""
@@ -90,13 +108,6 @@ gone as (select distinct doc_id, i + k as place from s semi join twice using (se
 g as (select doc_id, list(place) gone from gone group by 1),
 k as (select d.doc_id, len(w) n, array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end, ' ') kept, coalesce(len(gone), 0) n_removed from d left join g using (doc_id))
 select doc_id, n n_words, n_removed, sha256(kept) kept_sha256 from k""",
-    "op10_minhash": f"""
-with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
-s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from d, unnest(range(1, greatest(len(w) - 3, 2))) r(i) where len(w) > 0),
-n as (select doc_id, count(*) n from s group by 1),
-pairs as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
-sym as (select a, b from links union select b as a, a as b from links),
-reach as (select doc_id, doc_id root from d union select r.doc_id, sym.b from reach r join sym on r.root = sym.a)
-select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id, d.doc_id = component_id kept from d left join n using (doc_id) join (select doc_id, min(root) component_id from reach group by 1) using (doc_id)""",
+    "op10_minhash": _components_sql(75, ", d.doc_id = component_id kept"),
+    "op11_count_vector_join": _components_sql(80, ""),
 }
