@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, countjoin, decontaminate, imatch, langid, licenses, lines, minhash, pii, sharding, substrings
+from . import bpe, countjoin, decontaminate, imatch, langid, licenses, lines, minhash, pii, prefixtrie, sharding, substrings, variants
 
 #: The public tokenizer file that op2 encodes with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -65,7 +65,16 @@ def op11_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countjoin.join_near(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op5_license_passages": op5_license_passages, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash, "op11_count_vector_join": op11_count_vector_join}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = variants.count_words(_documents(spark, sf_dir), slips=True)
+    return variants.group_variants(counted.where(F.col("n") >= variants.LEAST_COUNT))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), share=True)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op5_license_passages": op5_license_passages, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash, "op11_count_vector_join": op11_count_vector_join, "op12_spelling_variants": op12_spelling_variants, "op13_prefix_trie": op13_prefix_trie}
 
 
 def _licenses_sql() -> str:

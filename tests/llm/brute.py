@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
@@ -24,9 +25,9 @@ def shingle_set(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near(a, b):
+def near(a, b, percent=75):
     common = len(a & b)
-    return bool(a) and bool(b) and 100 * common >= 75 * (len(a) + len(b) - common)
+    return bool(a) and bool(b) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def repeats(rows, window=35):
@@ -45,7 +46,7 @@ def repeats(rows, window=35):
     return out
 
 
-def components(rows):
+def components(rows, percent=75):
     sets = {doc: shingle_set(text) for doc, text in rows}
     root = {doc: doc for doc in sets}
 
@@ -57,7 +58,7 @@ def components(rows):
     docs = sorted(sets)
     for i, a in enumerate(docs):
         for b in docs[i + 1 :]:
-            if near(sets[a], sets[b]):
+            if near(sets[a], sets[b], percent):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [(d, len(sets[d]), find(d), find(d) == d) for d in docs]
@@ -101,3 +102,62 @@ def base_spans(text):
             if kind == "email" or (kind == "ip" and all(int(p) <= 255 for p in value.split("."))) or (kind == "card" and 14 <= len(digits) <= 19 and luhn(digits)) or (kind == "phone" and 10 <= len(digits) <= 15):
                 found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(s for _, _, s in sorted(found))
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def variants(rows):
+    """word -> (form, root, n, n_near, form_n)"""
+    n = collections.Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 6 and k >= 5}
+    out = {}
+    for w in n:
+        close = [v for v in n if one_apart(w, v)]
+        best = min(close, key=lambda v: (-n[v], v), default=None)
+        form = best if best is not None and n[best] >= 5 * n[w] else None
+        out[w] = [form, None, n[w], len(close), n[form] if form else None]
+    for w in out:
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        out[w][1] = root
+    return {w: tuple(v) for w, v in out.items()}
+
+
+def trie(rows, share=True):
+    """Rows of nodes: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    convs = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            convs[conv].append((turn is not None, turn or 0, hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [t[3:] for t in sorted(v)] for c, v in convs.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = own.get(c - c % 5, [])[:h] + turns[h:] if share else turns
+    nodes = collections.defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            nodes[tuple(turns[:d])].append(c)
+    out = []
+    for path, members in nodes.items():
+        below = [p for p in nodes if p[: len(path)] == path]
+        saved = sum((len(nodes[p]) - 1) * len(p[-1][1].encode()) for p in below if p)
+        leaves = sum(not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in nodes) for p in below)
+        children = sum(len(p) == len(path) + 1 for p in below)
+        ends = ",".join(str(c) for c in sorted(members) if len(built[c]) == len(path))
+        out.append((min(members), len(path), min(nodes[path[:-1]]) if path else None, len(members), children, leaves, saved, sha(ends)))
+    return sorted(out)
