@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .similar import candidates
 
 #: Rounds after which a walk gives up; a lineage graph is far shallower.
 MOST_ROUNDS = 200
+#: Rows of a frontier up to which it is sent to the edges; a larger one is shuffled to them.
+BROADCAST_ROWS = 100_000
 
 
 def closure(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -30,6 +33,64 @@ def closure(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     return found
 
 
+def _steps(edges: DataFrame, stop: DataFrame | None) -> DataFrame:
+    """Edges (mid, next) that do not enter a node of ``stop``, dealt by ``mid`` once, so that a walk never shuffles them again."""
+    if stop is not None:
+        edges = edges.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti")
+    return cut(edges.select(F.col("src").alias("mid"), F.col("dst").alias("next")).distinct().repartition("mid"))
+
+
+def _next(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """``frontier`` (reached, ...) with ``next``. The frontier is counted before it is broadcast."""
+    side = F.broadcast(frontier) if frontier.count() <= BROADCAST_ROWS else frontier
+    return steps.join(side, F.col("mid") == F.col("reached"))
+
+
+def reach(seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(node, reached, hops): everything downstream of each seed (node), at its least distance, by paths that do not enter a node of ``stop``.
+
+    State and work are in the pairs that are found and one pass over the edges a round; cycles end, and a seed does not reach itself.
+    """
+    steps = _steps(edges, stop)
+    frontier, found = seeds.select("node", F.col("node").alias("reached"), F.lit(0).alias("hops")).distinct(), None
+    for hop in count(1):
+        more = _next(frontier, steps).select("node", F.col("next").alias("reached")).where("node <> reached").distinct()
+        if found is not None:
+            more = more.join(found, ["node", "reached"], "left_anti")
+        frontier = cut(more.withColumn("hops", F.lit(hop)))
+        found = frontier if found is None else found.union(frontier)
+        if frontier.isEmpty():
+            return found
+
+
+def reached_from(seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(node, hops): all nodes downstream of any of the seeds, seeds only where another one reaches them. One row a node, however many seeds."""
+    steps = _steps(edges, stop)
+    frontier, found = seeds.select(F.col("node").alias("reached")).distinct(), None
+    for hop in count(1):
+        more = _next(frontier, steps).select(F.col("next").alias("reached")).distinct()
+        if found is not None:
+            more = more.join(found.select("reached"), "reached", "left_anti")
+        frontier = cut(more.withColumn("hops", F.lit(hop)))
+        found = frontier if found is None else found.union(frontier)
+        if frontier.isEmpty():
+            return found.select(F.col("reached").alias("node"), "hops")
+
+
+def least_labels(seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(node, label): the least label of the seeds (node, label) that are or reach a node. Only labels that fell go on."""
+    steps = _steps(edges, stop)
+    labels = cut(seeds.groupBy(F.col("node").alias("reached")).agg(F.min("label").alias("label")))
+    frontier = labels
+    while True:
+        more = _next(frontier, steps).groupBy(F.col("next").alias("reached")).agg(F.min("label").alias("new"))
+        met = more.join(labels, "reached", "left").where("label is null or new < label").select("reached", F.col("new").alias("label"))
+        frontier = cut(met)
+        if frontier.isEmpty():
+            return labels.withColumnRenamed("reached", "node")
+        labels = cut(labels.join(frontier.select("reached"), "reached", "left_anti").union(frontier))
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -60,8 +121,8 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUND
         done = jumped.where("component <> was").isEmpty()
         labels = jumped.select("node", "component")
         if done:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
@@ -81,15 +142,14 @@ def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -
 
 
 def sources_behind(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, sources: all sources upstream."""
-    up = closure(reversed_edges(edges)).join(nodes.where("kind = 'source'").select(F.col("node").alias("reached")), "reached")
-    return up.groupBy("node").agg(F.sort_array(F.collect_set("reached")).alias("sources"))
+    """node, sources: all sources upstream. Walks from the sources, so work follows the answer."""
+    down = reach(nodes.where("kind = 'source'").select("node"), edges)
+    return down.groupBy(F.col("reached").alias("node")).agg(F.sort_array(F.collect_set("node")).alias("sources"))
 
 
 def reaches_until(start: DataFrame, edges: DataFrame, stop: DataFrame, goal: DataFrame) -> DataFrame:
     """node, goals: goal nodes reached from ``start`` by paths that do not enter a node of ``stop``."""
-    open_edges = edges.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-    met = closure(open_edges).join(start.select("node"), "node").join(goal.select(F.col("node").alias("reached")), "reached")
+    met = reach(start, edges, stop).join(goal.select(F.col("node").alias("reached")), "reached")
     return met.groupBy("node").agg(F.count("*").alias("goals"))
 
 
@@ -124,18 +184,20 @@ def column_trace(lineage: DataFrame, start: DataFrame, hops: int = 12) -> DataFr
     return out
 
 
-def relatedness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the token sets of two names."""
-    one, two = F.array_distinct(F.split(F.lower(a), "[^a-z0-9]+")), F.array_distinct(F.split(F.lower(b), "[^a-z0-9]+"))
-    return F.size(F.array_intersect(one, two)) / F.size(F.array_union(one, two))
+def _name_tokens(name: str) -> Column:
+    return F.array_distinct(F.split(F.lower(name), "[^a-z0-9]+"))
 
 
 def alignment_pairs(columns: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of differing names with related tokens, blocked by shared tokens: (model, name) -> name_a, name_b, score."""
-    names = columns.select("name").distinct()
-    tokens = names.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z0-9]+"))).alias("token")).where("token <> ''")
-    met = tokens.alias("a").join(tokens.alias("b"), "token").where("a.name < b.name").select(F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")).distinct()
-    return met.withColumn("score", F.round(relatedness(F.col("name_a"), F.col("name_b")), 6)).where(F.col("score") >= least)
+    """Pairs of differing names whose token sets have a Jaccard similarity of ``least`` or more and share a token: (model, name) -> name_a, name_b, score.
+
+    Joined on rare tokens only (``similar``), so a token that most names have makes no pairs.
+    """
+    names = columns.select(F.col("name").alias("key")).where("key is not null").distinct().withColumn("items", _name_tokens("key"))
+    both = F.array_intersect("items_a", "items_b")
+    score = F.round(F.size(both) / F.size(F.array_union("items_a", "items_b")), 6)
+    met = candidates(names, least).where(F.size(F.array_remove(both, "")) > 0)
+    return met.select(F.col("key_a").alias("name_a"), F.col("key_b").alias("name_b"), score.alias("score")).where(F.col("score") >= least)
 
 
 def meaning_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -161,9 +223,9 @@ def select_nodes(nodes: DataFrame, edges: DataFrame, select: str, exclude: str |
         found = nodes.where(tests[kind]).select("node")
         out = found
         if down:
-            out = out.union(closure(edges).join(found, "node").select(F.col("reached").alias("node")))
+            out = out.union(reached_from(found, edges).select("node"))
         if up:
-            out = out.union(closure(reversed_edges(edges)).join(found, "node").select(F.col("reached").alias("node")))
+            out = out.union(reached_from(found, reversed_edges(edges)).select("node"))
         return out.distinct()
 
     def many(text: str) -> DataFrame:

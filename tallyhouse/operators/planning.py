@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import graph, quality, rules
+from .similar import similar_sets
 
 #: A value-loss count older than this is due again.
 RECOUNT_DAYS = 7
@@ -139,10 +140,8 @@ def claim_pairs(claims: DataFrame, least: float = 0.5, most: int = 150) -> DataF
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
     bag = claims.select("claim_id", "subject", F.array_sort(words).alias("words")).where(F.size("words") >= 3)
     bag = bag.withColumn("place", F.dense_rank().over(Window.partitionBy("words", "subject").orderBy("claim_id"))).where(F.col("place") <= most).drop("place")
-    sets = bag.select("words").distinct()
-    tokens = sets.select("words", F.explode("words").alias("w"))
-    met = tokens.alias("a").join(tokens.alias("b"), "w").where("a.words < b.words").groupBy(F.col("a.words").alias("words_a"), F.col("b.words").alias("words_b")).agg(F.count("*").alias("common"))
-    scored = met.withColumn("score", F.round(F.col("common") / (F.size("words_a") + F.size("words_b") - F.col("common")), 6)).where((F.col("score") >= least) & (F.col("score") < 1))
+    sets = bag.select(F.col("words").alias("key"), F.col("words").alias("items")).distinct()
+    scored = similar_sets(sets, least).where(F.col("score") < 1).withColumnsRenamed({"key_a": "words_a", "key_b": "words_b"})
     side = lambda name: bag.select(F.col("words").alias(f"words_{name}"), F.col("claim_id").alias(f"id_{name}"), F.col("subject").alias(f"s_{name}"))
     pairs = scored.join(side("a"), "words_a").join(side("b"), "words_b").where("s_a <> s_b and id_a <> id_b")
     return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score").orderBy(F.col("score").desc(), "id_a", "id_b").limit(most)

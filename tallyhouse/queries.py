@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .operators import analytics, checks, graph, monitor, planning, quality, relops, rules
+from .operators import analytics, chains, checks, graph, monitor, planning, quality, relops, rules
 from .plans import compiler, digest
+from .session import shared_folder
 from .sources.tables import percentage_sample, schema_rows, stringify_batch, tables
+from .streaming import late, merge
 
 Build = Callable[[Callable[[str], DataFrame]], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,3 +357,92 @@ def _session_rows(t):
 
 
 register("stream_sessions", _session_rows, "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end new_ from events), s as (select *, sum(new_) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id as key, min(ts) started, count(*) n from s group by user_id, k")
+
+# ---------------------------------------------------------------- joins counted as a chain, with a hot key
+
+
+def _chain(t, hows: tuple[str, str, str]):
+    orders = t("orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(F.col("o_custkey"))).where("o_totalprice > 50000")
+    hops = [
+        chains.Hop("orders", orders, "customer", (("c_custkey", "o_custkey"),), hows[0]),
+        chains.Hop("lineitem", t("lineitem").where("l_quantity > 20"), "orders", (("o_orderkey", "l_orderkey"),), hows[1]),
+        chains.Hop("part", t("part").where("p_size > 10"), "lineitem", (("l_partkey", "p_partkey"),), hows[2]),
+        chains.Hop("nation", t("nation"), "customer", (("c_nationkey", "n_nationkey"),)),
+    ]
+    return chains.chain_sizes("customer", t("customer"), hops).withColumn("ratio", r(F.col("ratio"), 6))
+
+
+def _chain_sql(hows: tuple[str, str, str]) -> str:
+    joins = [
+        ("orders", f"{hows[0]} join o on c_custkey = k"), ("lineitem", f"{hows[1]} join l on o_orderkey = l_orderkey"),
+        ("part", f"{hows[2]} join p on l_partkey = p_partkey"), ("nation", "join nation on c_nationkey = n_nationkey"),
+    ]
+    steps = " union all ".join(f"select {k} step, '{([('customer', '')] + joins)[k][0]}' relation, count(*) n_after from customer {' '.join(j for _, j in joins[:k])}" for k in range(5))
+    return f"""
+with o as (select o_orderkey, case when o_orderkey % 3 = 0 then 1 else o_custkey end k from orders where o_totalprice > 50000),
+l as (select l_orderkey, l_partkey from lineitem where l_quantity > 20), p as (select p_partkey from part where p_size > 10),
+n as ({steps}), w as (select *, lag(n_after) over (order by step) n_before from n)
+select step, relation, n_before, n_after, round(n_after / n_before, 6) ratio, case when n_after > n_before then 'fans_out' when n_after < n_before then 'drops' else 'keeps' end verdict from w where step > 0"""
+
+
+for _name, _hows in (("inner", ("inner", "inner", "inner")), ("left", ("left", "left", "left")), ("mixed", ("left", "left", "inner"))):
+    register(f"chain_sizes_{_name}", lambda t, h=_hows: _chain(t, h), _chain_sql(_hows))
+
+# ---------------------------------------------------------------- streams with late and repeated rows, in four arrivals
+
+_SPANS = 4
+
+
+def _deliveries(t):
+    """Events that arrive up to two hours late, every seventh of them again half an hour later."""
+    events = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    first = events.withColumn("arrived_at", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") * 7919 % 7200 * 1000000))
+    return first.union(first.where("event_id % 7 = 0").withColumn("arrived_at", F.timestamp_micros(F.unix_micros("arrived_at") + 1800 * 1000000)))
+
+
+_DELIVERIES = f"""e as (select event_id, ts, user_id, event_type, value, ts + to_seconds(event_id * 7919 % 7200) arrived_at from events),
+d as (select * from e union all select * replace (arrived_at + interval 30 minutes as arrived_at) from e where event_id % 7 = 0),
+w as (select max(epoch_us(ts)) - 1000000 * (1 + max(epoch_us(arrived_at) // 1000000 - epoch_us(ts) // 1000000)) as mark, min(epoch_us(arrived_at)) lo, max(epoch_us(arrived_at)) hi from d),
+x as (select d.*, least({_SPANS - 1}, ((epoch_us(arrived_at) - lo) * {_SPANS} / (hi - lo + 1))::double // 1) span from d, w)"""
+
+
+def _closed(t):
+    rows, out = _deliveries(t), shared_folder(t.spark, "closed-buckets")
+    delay = late.measured_delay(rows, "ts", "arrived_at")
+    late.in_arrivals(rows, "arrived_at", _SPANS, lambda s: late.closed_buckets(late.without_redelivery(s, "ts", ["event_id"], delay), "ts", "event_type", "1 day"), lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    return t.spark.read.parquet(out).select("relation", "bucket", "n")
+
+
+register("stream_closed_buckets", _closed, f"""
+with {_DELIVERIES}
+select event_type relation, date_trunc('day', ts)::timestamp bucket, count(distinct event_id) n from d, w group by 1, 2, mark having epoch_us(date_trunc('day', ts)::timestamp + interval 1 day) <= mark""")
+
+
+def _punctual(t):
+    rows, out = _deliveries(t), shared_folder(t.spark, "punctuality")
+    delay = late.measured_delay(rows, "ts", "arrived_at")
+    with late.rocksdb_state(t.spark):
+        late.in_arrivals(rows, "arrived_at", _SPANS, lambda s: late.punctuality(s.withWatermark("ts", f"{delay} seconds"), "ts", "arrived_at", "event_type", 86400), lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    return t.spark.read.parquet(out).select("relation", "ends", "n", "n_late", "worst_seconds")
+
+
+register("stream_punctuality", _punctual, f"""
+with {_DELIVERIES}, b as (select event_type relation, (epoch_us(ts) // 86400000000 + 1) * 86400 as ends, epoch_us(arrived_at) // 1000000 arr, mark from d, w)
+select relation, ends, count(*) n, count(*) filter (where arr > ends) n_late, greatest(max(arr - ends), 0) worst_seconds from b where ends * 1000000 <= mark group by 1, 2""")
+
+
+def _merged_users(t):
+    out = shared_folder(t.spark, "last-events")
+    rows = _deliveries(t).select("user_id", "event_id", "event_type", "value", "arrived_at", F.col("event_id").alias("seq"))
+    late.in_arrivals(rows, "arrived_at", _SPANS, lambda s: s.drop("arrived_at"), merge.merge_sink(out, ["user_id"], "seq", 16))
+    return merge.read_merged(t.spark, out)
+
+
+register("stream_merged_users", _merged_users, f"with {_DELIVERIES} select user_id, event_id, event_type, value from x qualify row_number() over (partition by user_id order by span desc, event_id desc) = 1")
+
+# ---------------------------------------------------------------- walks from chosen nodes
+
+register("least_source", lambda t: graph.least_labels(_nodes(t).where("kind = 'source'").select("node", F.col("node").alias("label")), _edges(t), _nodes(t).where("node in ('n1', 'n7')").select("node")), """
+select 'r' || r_regionkey node, 'r' || r_regionkey as label from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation where n_nationkey not in (1, 7) union all select 's' || s_suppkey, 'r' || n_regionkey from supplier join nation on s_nationkey = n_nationkey where n_nationkey not in (1, 7)""")
+register("reached_from", lambda t: graph.reached_from(_nodes(t).where("node in ('r1', 'n3')").select("node"), _edges(t)), """
+with s as (select 'n' || n_nationkey node, 1 hops from nation where n_regionkey = 1 union all select 's' || s_suppkey, case when n_nationkey = 3 then 1 else 2 end from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1 or n_nationkey = 3) select node, min(hops)::int hops from s group by 1""")

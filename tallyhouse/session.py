@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: UTC times, and adaptive re-planning for skewed joins and small partitions.
+#: UTC times, adaptive re-planning for skewed joins and small partitions, and no checkpoint outlives its use.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,13 +30,26 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder the session names; a private folder only where none is set and all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate files that the session names; a private one only where none is set and all runs on one machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyhouse-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new name for a folder in ``shared_root``."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in ``shared_root``."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
