@@ -15,13 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+#: The countries of the published registry of account numbers (ISO 13616), each with the length of its numbers.
+ACCOUNT_LENGTHS = """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18
+FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20
+LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24
+SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30
+""".split()
+
+
+def _account_pattern() -> str:
+    """Account numbers by the length of their country, in one piece or in groups of four, in either case."""
+    forms = []
+    for size in sorted({int(one[2:]) for one in ACCOUNT_LENGTHS}):
+        codes = "|".join(one[:2] for one in ACCOUNT_LENGTHS if int(one[2:]) == size)
+        fours, rest = divmod(size - 4, 4)
+        grouped = rf"(?:\x20[A-Z0-9]{{4}}){{{fours}}}" + (rf"\x20[A-Z0-9]{{{rest}}}" if rest else "")
+        forms.append(rf"(?:{codes})[0-9]{{2}}(?:[A-Z0-9]{{{size - 4}}}|{grouped})")
+    return rf"(?<![A-Za-z0-9])(?i:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
 #: The pattern of each kind, in the order in which kinds sort at one place.
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _account_pattern(),
 }
 #: A character that every match of the kind holds: a text without it is not searched.
 _MUST_HOLD = {"email": "@", "phone": "+"}
@@ -64,7 +84,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(10, 15)
     if kind == "iban":
-        return mod97_ok(F.regexp_replace(value, " ", ""))
+        return mod97_ok(F.upper(F.regexp_replace(value, " ", "")))
     return F.lit(True)
 
 
