@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .graph import reach, reached_from
 from .relops import pick
 
 
@@ -240,3 +242,69 @@ def estimate_bytes(columns: DataFrame, widths: DataFrame) -> DataFrame:
     """relation, bytes out of (relation, column_name, type, row_count) and (type, width): NULL if any width is unknown."""
     met = columns.join(F.broadcast(widths), "type", "left")
     return met.groupBy("relation").agg(F.when(F.bool_and(F.col("width").isNotNull()), F.sum(F.col("width") * F.col("row_count"))).alias("bytes"))
+
+
+def build_coverage(models: DataFrame, tests: DataFrame, outcomes: DataFrame, edges: DataFrame, began, ended) -> DataFrame:
+    """One row: models, models_skipped, models_with_a_test_declared, models_an_assertion_ran_on, tests_declared, tests_that_ran, tests_that_did_not_run.
+
+    Of a unit's outcomes (unit, status, at) the last one in [began, ended] counts. A model that failed keeps all that lie behind
+    it from running, so what they or their tests left from before is no outcome of this build. ``models``: node; ``tests``: test,
+    attached (NULL: to no model). A test ran if its last outcome is pass, warn, fail or error; a skipped one did not.
+    """
+    last = Window.partitionBy("unit").orderBy(F.col("at").desc(), "status")
+    now = outcomes.where(F.col("at").between(began, ended)).withColumn("k", F.row_number().over(last)).where("k = 1").select("unit", "status")
+    failed = models.join(now.where(F.col("status").isin("fail", "error")), models["node"] == now["unit"]).select("node")
+    skipped = cut(reached_from(failed, edges).select("node").join(models, "node", "left_semi"))
+    state = models.join(skipped.withColumn("skipped", F.lit(True)), "node", "left")
+    ran = now.where(F.col("status").isin("pass", "warn", "fail", "error")).select(F.col("unit").alias("test"), F.lit(True).alias("ran"))
+    told = tests.join(ran, "test", "left").join(skipped.select(F.col("node").alias("attached"), F.lit(True).alias("behind")), "attached", "left")
+    told = told.withColumn("ran", F.coalesce("ran", F.lit(False)) & F.col("behind").isNull())
+    by_model = told.where("attached is not null").groupBy(F.col("attached").alias("node")).agg(F.max("ran").alias("asserted"))
+    of_models = state.join(by_model, "node", "left").agg(
+        F.count("*").alias("models"), F.count("skipped").alias("models_skipped"), F.count("asserted").alias("models_with_a_test_declared"), F.count(F.when(F.col("asserted"), 1)).alias("models_an_assertion_ran_on")
+    )
+    of_tests = told.agg(F.count("*").alias("tests_declared"), F.count(F.when(F.col("ran"), 1)).alias("tests_that_ran"), F.count(F.when(~F.col("ran"), 1)).alias("tests_that_did_not_run"))
+    both = of_models.withColumn("one", F.lit(1)).join(of_tests.withColumn("one", F.lit(1)), "one")
+    return both.drop("one")
+
+
+def uncertainty(decisions: DataFrame, nodes: DataFrame, edges: DataFrame, gate: float = 0.6) -> DataFrame:
+    """model, marts, answers, mean_confidence, under_the_gate: models by what rests on answers that nobody is sure of.
+
+    ``decisions``: decision_key (a model, or a model with ``::`` and more), question, confidence, decided_at. The last decision
+    of a key and question counts, if it has a confidence. Marts are counted by walks from the answered models only.
+    """
+    last = Window.partitionBy("decision_key", "question").orderBy(F.col("decided_at").desc(), F.col("confidence").asc_nulls_first())
+    live = decisions.withColumn("k", F.row_number().over(last)).where("k = 1 and confidence is not null")
+    answered = cut(live.groupBy(F.substring_index("decision_key", "::", 1).alias("model")).agg(F.count("*").alias("answers"), F.avg("confidence").alias("mean_confidence"), F.count(F.when(F.col("confidence") < gate, 1)).alias("under_the_gate")))
+    known = answered.join(nodes.select(F.col("node").alias("model")), "model", "left_semi")
+    behind = reach(known.select(F.col("model").alias("node")), edges).join(nodes.where("kind = 'mart'").select(F.col("node").alias("reached")), "reached", "left_semi")
+    marts = behind.groupBy(F.col("node").alias("model")).agg(F.count("*").alias("marts"))
+    return known.join(marts, "model", "left").select("model", F.coalesce("marts", F.lit(0).cast("long")).alias("marts"), "answers", "mean_confidence", "under_the_gate").orderBy(F.col("under_the_gate").desc(), F.col("marts").desc(), "model")
+
+
+def join_surface(facts: DataFrame, runs: DataFrame) -> DataFrame:
+    """model, hops, distinct_keysets, columns_dropped of the last run that has facts: (run_id, child, joined_on array, dropped).
+
+    Key sets are compared in canonical form: lower case, sorted, without repeats. A hop without a join key counts as a hop only.
+    """
+    last = runs.join(facts.select("run_id").distinct(), "run_id", "left_semi").orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1).select("run_id")
+    keys = F.array_sort(F.array_distinct(F.transform("joined_on", lambda c: F.lower(c))))
+    now = facts.join(F.broadcast(last), "run_id", "left_semi").withColumn("keys", F.when(F.size("joined_on") > 0, F.array_join(keys, ",")))  # one row
+    out = now.groupBy(F.col("child").alias("model")).agg(F.count("*").alias("hops"), F.countDistinct("keys").alias("distinct_keysets"), F.sum("dropped").alias("columns_dropped"))
+    return out.orderBy(F.col("distinct_keysets").desc(), F.col("hops").desc(), "model")
+
+
+def outrun_tests(tests: DataFrame, lineage: DataFrame, measured: DataFrame) -> DataFrame:
+    """column, origin, hops, nulls, n: not-null tests on columns that can be NULL by lineage, each with its nearest origin (ties: the least name).
+
+    ``lineage``: column, parent, carried, guarded. A column that carries its parent can be NULL where the parent can, unless the step
+    is guarded (a COALESCE, a filter). ``measured``: column, nulls, n; a column with counted NULLs is an origin, and a
+    column that was counted and has none stops the walk, whatever stands before it.
+    """
+    steps = lineage.where("carried and not guarded").select(F.col("parent").alias("src"), F.col("column").alias("dst"))
+    origins, proven = measured.where("nulls > 0"), measured.where("nulls = 0").select(F.col("column").alias("node"))
+    walked = reach(origins.select(F.col("column").alias("node")), steps, proven).select(F.col("node").alias("origin"), F.col("reached").alias("column"), "hops")
+    own = origins.select(F.col("column").alias("origin"), "column", F.lit(0).alias("hops"))
+    nearest = tests.select("column").join(walked.union(own), "column").groupBy("column").agg(F.min(F.struct("hops", "origin")).alias("near"))
+    return nearest.select("column", "near.origin", "near.hops").join(origins.select(F.col("column").alias("origin"), "nulls", "n"), "origin")

@@ -7,11 +7,13 @@ schema by the same rule in both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .functions import geo, registered
 from .operators import analytics, chains, checks, graph, monitor, planning, quality, relops, rules
 from .plans import compiler, digest
 from .session import shared_folder
@@ -106,7 +108,13 @@ register("relationship_orphans", lambda t: quality.orphans(t("lineitem"), t("par
 register("accepted_values", lambda t: quality.accepted_values(t("orders"), "o_orderpriority").union(quality.accepted_values(t("customer"), "c_name")), "select 'o_orderpriority' column_name, count(distinct o_orderpriority) n_values, max(length(o_orderpriority))::int longest, count(distinct o_orderpriority) between 2 and 20 and max(length(o_orderpriority)) <= 40 proposes from orders union all select 'c_name', count(distinct c_name), max(length(c_name))::int, count(distinct c_name) between 2 and 20 and max(length(c_name)) <= 40 from customer")
 register("failing_rows", lambda t: quality.failing_rows({"positive": (t("customer"), F.col("c_acctbal") > 0), "has_name": (t("customer"), F.col("c_name").isNotNull()), "small": (t("part"), F.col("p_size") < 45)}), "select * from (select 'positive' test, count(*) filter (where not coalesce(c_acctbal > 0, false)) n_failed from customer union all select 'has_name', count(*) filter (where c_name is null) from customer union all select 'small', count(*) filter (where not coalesce(p_size < 45, false)) from part) where n_failed > 0")
 register("variant_columns", lambda t: quality.variant_columns(schema_rows({"r": t("region").select(F.col("r_name").alias("amount"), F.col("r_name").alias("amount__v_text"), F.col("r_regionkey").alias("id"))}).withColumn("is_read", ~F.contains("column_name", F.lit("__v_")))), "select 'r' relation, 'amount' column_name, 'amount__v_text' variant")
-register("cost_estimate", lambda t: analytics.estimate_bytes(schema_rows({"customer": t("customer"), "embeddings": t("embeddings")}).withColumn("row_count", F.lit(10)), t.spark.createDataFrame([("bigint", 8), ("int", 4), ("double", 8), ("string", 32)], "type string, width int")), "select 'customer' relation, 840::bigint bytes union all select 'embeddings', null")
+def _costs(t):
+    found = {n: t(n) for n in ("customer", "embeddings")}
+    counts = reduce(DataFrame.union, [df.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("relation"), "row_count") for n, df in found.items()])
+    return analytics.estimate_bytes(schema_rows(found).join(counts, "relation"), t.spark.createDataFrame([("bigint", 8), ("int", 4), ("double", 8), ("string", 32)], "type string, width int"))
+
+
+register("cost_estimate", _costs, "select 'customer' relation, (8 + 32 + 4 + 8 + 32) * count(*) bytes from customer union all select 'embeddings', null")
 
 # ---------------------------------------------------------------- monitoring
 
@@ -446,3 +454,82 @@ register("least_source", lambda t: graph.least_labels(_nodes(t).where("kind = 's
 select 'r' || r_regionkey node, 'r' || r_regionkey as label from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation where n_nationkey not in (1, 7) union all select 's' || s_suppkey, 'r' || n_regionkey from supplier join nation on s_nationkey = n_nationkey where n_nationkey not in (1, 7)""")
 register("reached_from", lambda t: graph.reached_from(_nodes(t).where("node in ('r1', 'n3')").select("node"), _edges(t)), """
 with s as (select 'n' || n_nationkey node, 1 hops from nation where n_regionkey = 1 union all select 's' || s_suppkey, case when n_nationkey = 3 then 1 else 2 end from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1 or n_nationkey = 3) select node, min(hops)::int hops from s group by 1""")
+
+# ---------------------------------------------------------------- builds, uncertain answers, join keys, tests on columns that can be NULL
+
+
+def _build(t):
+    tests = t("customer").select(F.concat(F.lit("t"), "c_custkey").alias("test"), F.when(F.col("c_custkey") % 11 != 0, F.concat(F.lit("n"), "c_nationkey")).alias("attached"))
+    of_tests = t("orders").select(F.concat(F.lit("t"), "o_custkey").alias("unit"), F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "fail").otherwise("skipped").alias("status"), F.col("o_orderdate").alias("at"))
+    of_models = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("unit"), F.when(F.col("n_nationkey") % 7 == 0, "error").otherwise("pass").alias("status"), F.lit("1997-03-01").cast("timestamp").cast(t("orders").schema["o_orderdate"].dataType).alias("at"))
+    of_regions = t("region").where("r_regionkey = 2").select(F.concat(F.lit("r"), "r_regionkey").alias("unit"), F.lit("error").alias("status"), F.lit("1997-03-01").cast("timestamp").cast(t("orders").schema["o_orderdate"].dataType).alias("at"))
+    return analytics.build_coverage(_nodes(t).select("node"), tests, of_tests.union(of_models).union(of_regions), _edges(t), F.lit("1996-06-01"), F.lit("1998-02-01"))
+
+
+register("build_coverage", _build, f"""
+with recursive {_GRAPH},
+o as (select 't' || o_custkey unit, case o_orderstatus when 'F' then 'pass' when 'O' then 'fail' else 'skipped' end status, o_orderdate done from orders where o_orderdate between '1996-06-01' and '1998-02-01'
+  union all select 'n' || n_nationkey, case when n_nationkey % 7 = 0 then 'error' else 'pass' end, '1997-03-01'::timestamp from nation union all select 'r2', 'error', '1997-03-01'::timestamp),
+l as (select unit, status from o qualify row_number() over (partition by unit order by done desc, status) = 1),
+s as (select distinct reached node from c join l on l.unit = c.node where l.status in ('fail', 'error')),
+t as (select 't' || c_custkey test, case when c_custkey % 11 <> 0 then 'n' || c_nationkey end attached from customer),
+x as (select t.*, coalesce(l.status in ('pass', 'warn', 'fail', 'error'), false) and (attached is null or attached not in (select node from s)) ran from t left join l on l.unit = t.test)
+select (select count(*) from v) models, (select count(*) from v where node in (select node from s)) models_skipped, count(distinct attached) models_with_a_test_declared, count(distinct attached) filter (where ran) models_an_assertion_ran_on, count(*) tests_declared, count(*) filter (where ran) tests_that_ran, count(*) filter (where not ran) tests_that_did_not_run from x""")
+
+
+def _uncertain(t):
+    key = F.concat(F.lit("n"), F.col("o_custkey") % 25, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("::fit::"), F.col("o_orderkey") % 5)).otherwise(""))
+    decisions = t("orders").select(key.alias("decision_key"), F.col("o_orderpriority").alias("question"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 97 / 97).alias("confidence"), F.col("o_orderdate").alias("decided_at"))
+    return analytics.uncertainty(decisions, _nodes(t), _edges(t)).withColumn("mean_confidence", r(F.col("mean_confidence"), 4))
+
+
+register("uncertainty", _uncertain, f"""
+with recursive {_GRAPH}, d as (select 'n' || (o_custkey % 25) || case when o_orderkey % 2 = 0 then '::fit::' || (o_orderkey % 5) else '' end k, o_orderpriority q, case when o_orderstatus <> 'P' then (o_orderkey % 97)::double / 97 end confidence, o_orderdate done from orders),
+l as (select split_part(k, '::', 1) model, confidence from d qualify row_number() over (partition by k, q order by done desc, confidence nulls first) = 1),
+a as (select model, count(*) answers, round(avg(confidence), 4) mean_confidence, count(*) filter (where confidence < 0.6) under_the_gate from l where confidence is not null group by 1)
+select a.model, (select count(distinct c.reached) from c join v on v.node = c.reached where c.node = a.model and v.kind = 'mart') marts, answers, mean_confidence, under_the_gate from a semi join v on v.node = a.model""")
+
+
+def _surface(t):
+    keys = F.array(F.concat(F.lit("K"), F.col("l_suppkey") % 5), F.lit("ID"), F.concat(F.lit("k"), F.col("l_linenumber") % 5), F.lit("id"))
+    facts = t("lineitem").select(F.year("l_shipdate").alias("run_id"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("child"), F.when(F.col("l_quantity") > 3, keys).otherwise(F.array().cast("array<string>")).alias("joined_on"), F.col("l_linenumber").cast("long").alias("dropped"))
+    return analytics.join_surface(facts, t("orders").select(F.year("o_orderdate").alias("run_id"), F.col("o_orderdate").alias("started_at")))
+
+
+register("join_surface", _surface, """
+with f as (select year(l_shipdate) run_id, 'p' || (l_partkey % 40) model, case when l_quantity > 3 then array_to_string(list_sort(list_distinct(['k' || (l_suppkey % 5), 'id', 'k' || (l_linenumber % 5)])), ',') end keys, l_linenumber dropped from lineitem),
+l as (select year(o_orderdate) run_id from orders where year(o_orderdate) in (select run_id from f) order by o_orderdate desc limit 1)
+select model, count(*) hops, count(distinct keys) distinct_keysets, sum(dropped)::bigint columns_dropped from f semi join l using (run_id) group by 1""")
+
+
+def _outrun(t):
+    column = lambda x: F.concat(F.lit("c"), x)
+    lineage = t("part").where("p_partkey > 0").select(column(F.col("p_partkey")).alias("column"), column(F.floor(F.col("p_partkey") / 2)).alias("parent"), (F.col("p_size") % 5 != 0).alias("carried"), (F.col("p_size") % 9 == 0).alias("guarded"))
+    measured = t("lineitem").where("l_partkey % 6 < 2").groupBy(column(F.col("l_partkey")).alias("column")).agg(F.count(F.when((F.col("l_discount") == 0) & (F.col("l_quantity") > 20), 1)).alias("nulls"), F.count("*").alias("n"))
+    return analytics.outrun_tests(t("part").where("p_partkey % 2 = 1").select(column(F.col("p_partkey")).alias("column")), lineage, measured)
+
+
+register("test_outruns_its_source", _outrun, """
+with recursive m as (select 'c' || l_partkey as column_, count(*) filter (where l_discount = 0 and l_quantity > 20) nulls, count(*) n from lineitem where l_partkey % 6 < 2 group by 1),
+s as (select 'c' || (p_partkey // 2) src, 'c' || p_partkey dst from part where p_partkey > 0 and p_size % 5 <> 0 and p_size % 9 <> 0 and 'c' || p_partkey not in (select column_ from m where nulls = 0)),
+w as (select column_ origin, column_ reached, 0 hops from m where nulls > 0 union select w.origin, s.dst, w.hops + 1 from w join s on s.src = w.reached)
+select reached "column", origin, hops, nulls, n from w join m on m.column_ = w.origin where reached in (select 'c' || p_partkey from part where p_partkey % 2 = 1) qualify row_number() over (partition by reached order by hops, origin) = 1""")
+
+# ---------------------------------------------------------------- places on the globe, derived from keys
+
+_LAT, _LON = "({0} * 7919 % 180000) / 1000.0 - 90", "({0} * 104729 % 360000) / 1000.0 - 180"
+_placed = lambda df, key, p: df.select(key, F.expr(f"cast({_LAT.format(key)} as double)").alias(f"{p}_lat"), F.expr(f"cast({_LON.format(key)} as double)").alias(f"{p}_lon"))
+_places = lambda t: (_placed(t("customer"), "c_custkey", "c"), _placed(t("supplier"), "s_suppkey", "s"), ("c_lat", "c_lon"), ("s_lat", "s_lon"))
+_PLACES = f"""c as (select c_custkey, ({_LAT.format("c_custkey")})::double c_lat, ({_LON.format("c_custkey")})::double c_lon from customer), s as (select s_suppkey, ({_LAT.format("s_suppkey")})::double s_lat, ({_LON.format("s_suppkey")})::double s_lon from supplier),
+p as (select *, 2 * {geo.EARTH} * asin(sqrt(least(1.0, pow(sin(radians(s_lat - c_lat) / 2), 2) + cos(radians(c_lat)) * cos(radians(s_lat)) * pow(sin(radians(s_lon - c_lon) / 2), 2)))) metres from c, s)"""
+register("radius_join", lambda t: geo.radius_join(*_places(t), 700_000).select("c_custkey", "s_suppkey", r(F.col("metres"), 1).alias("metres")), f"with {_PLACES} select c_custkey, s_suppkey, round(metres, 1) metres from p where metres <= 700000")
+register("box_against_circle", lambda t: geo.box_against_circle(*_places(t), 5.0), f"with {_PLACES}, q as (select abs(s_lat - c_lat) <= 5 and abs(s_lon - c_lon) <= 5 box, metres <= radians(5.0) * {geo.EARTH} circle from p) select count(*) filter (where box) n_box, count(*) filter (where circle) n_circle, count(*) filter (where box and not circle) n_corners from q")
+
+# ---------------------------------------------------------------- functions of our own in SQL
+
+register("ceil_rank", lambda t: registered.ceil_rank(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.9), """
+with x as (select l_returnflag, l_linestatus, l_extendedprice as value, row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice) k, count(*) over (partition by l_returnflag, l_linestatus) n from lineitem)
+select l_returnflag, l_linestatus, n, value from x where k = ceil(n * 0.9::double)""")
+register("spaced_events", lambda t: registered.spaced(t("events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds")), ["user_id"], "seconds", 7200), """
+with recursive e as (select user_id, epoch_us(ts) // 1000000 s from events), k as (select user_id, min(s) s from e group by 1 union all select k.user_id, min(e.s) from k join e on e.user_id = k.user_id and e.s >= k.s + 7200 group by k.user_id, k.s)
+select user_id, s as seconds from k""")
