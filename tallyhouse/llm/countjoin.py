@@ -5,17 +5,19 @@ A text is its set of distinct 5-word shingles. Its point is a vector of counts:
 most the sum of the smaller coordinates of their points, and at most that sum over the upper corners of two
 rectangles that hold them; so rectangles and points rule pairs out, and what is left is verified on whole sets.
 
-1. One pass gives every text the hash of its set, and a count sketch of fixed size of all shingles. Equal sets are one class.
-2. The root level of the tree is dealt by shingles, for a lossless split over machines: near sets share one of their
+1. One pass gives every text the hash of its set and its point, and a count sketch of fixed size of all shingles.
+   Equal sets are one class.
+2. The top level of the tree is dealt by shingles, for a lossless split over machines: near sets share one of their
    n - ceil(0.8 n) + 1 rarest shingles. Postings of classes travel in packed blocks by range of shingles; shingles that
-   stand out in the sketch are dealt by sets. Lists of one class vanish.
-3. Each list and size band compares its members with one leader, and the members that are still apart with
-   another, for as long as that joins many. Lists whose members are all in one component are done.
-4. The other lists become leaves of ``LEAF`` points, packed in order of component and size, with their rectangle.
-   Leaves of a list meet if their sizes, components and the summed minima of their corners allow a link; then
-   their points meet. Components grow by the links that whole sets confirm.
+   stand out in the sketch are dealt by sets. A member of a list stays if sizes and places allow a link with another.
+3. A list of up to ``LEAF`` members is one leaf: its pairs go on. In longer lists the members of each size band first
+   meet ``LEADERS`` of them. What the summed minima of the points let pass is verified on whole sets.
+4. Long lists that still hold several components become leaves of ``LEAF`` points, packed in order of component and size,
+   each with its rectangle. Leaves meet if their sizes, components and the summed minima of their corners allow a link;
+   then their points meet. What passes is verified in rounds, a few partners of each set in every other component at
+   a time, until no candidate is left between two components.
 
-No step needs pairs within a component, so copies and near copies of one text cost a row each and list.
+No step makes the pairs within a component, so copies and near copies of one text cost a row each and list.
 
 Defined results: A-Z are lower-cased; a text of fewer than five words has its whole sequence as its one shingle;
 a null or wordless text has the empty set and is linked with nothing; repeated rows are one class; the component
@@ -26,11 +28,12 @@ and ``text`` are read. Shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -43,8 +46,10 @@ from .scratch import bound_batches, destroy_shared, in_bitmap, key_bitmap, mater
 NEAR = (80, 100)
 #: Points of a leaf; coordinates of a rectangle, and least coordinates of a point.
 LEAF, CORNERS = 16, 64
-#: Rounds with leaders go on while the rows that are apart fall below this share.
-GAIN, MOST_ROUNDS = 0.7, 6
+#: Members that the others of a long list and size band meet first; partners of a set in another component that are verified at a time.
+LEADERS, PARTNERS = 2, 4
+#: In lists of up to this length each member is held against all others before it stays.
+SHORT = 1024
 #: Hashes of sets that a task remembers, to post copies once.
 REMEMBERED = 1 << 17
 _POSTING = ((TOKEN, np.uint64), (8, np.uint64), (4, np.int64), (4, np.int64))
@@ -56,20 +61,34 @@ def _shingled(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash of every row; and one row a task that carries only its sketch of shingles."""
+    """doc_id, n_shingles, set_hash, point, corner of every row; and one row a task that carries only its sketch of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n_shingles", "set_hash", "sketch"]
+        names = ["doc_id", "n_shingles", "set_hash", "point", "corner", "sketch"]
         for part, text in W.chunks(batches):
             hashes, of = _shingled(text, size)
             sketch += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
             n = np.bincount(of, minlength=len(text)).astype(np.int64)
             set_hash = W.set_hash(hashes, of, len(text)).view(np.int64)
-            yield pa.record_batch([part.column(0), pa.array(n), pa.array(set_hash), pa.nulls(len(text), pa.binary())], names)
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([sketch.tobytes()], pa.binary())], names)
+            counts, at = count_points(hashes, of, len(text))
+            point = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(counts)])
+            corner = np.add.reduceat(counts, (at[:-1, None] + np.arange(CORNERS) * (np.diff(at)[:, None] // CORNERS)).ravel(), dtype=np.uint16)
+            yield pa.record_batch([part.column(0), pa.array(n), pa.array(set_hash), point, _corners(corner), pa.nulls(len(text), pa.binary())], names)
+        yield pa.record_batch([*[pa.nulls(1, pa.int64())] * 3, *[pa.nulls(1, pa.binary())] * 2, pa.array([sketch.tobytes()], pa.binary())], names)
 
-    return materialize(docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sketch binary"), "sets-of")
+    return materialize(docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash long, point binary, corner binary, sketch binary"), "sets-of")
+
+
+def _corners(flat: np.ndarray) -> pa.Array:
+    """Packed rows of ``CORNERS`` counts."""
+    n = len(flat) // CORNERS
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * CORNERS).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, np.uint16))])
+
+
+def _matrix(packed: pa.Array) -> np.ndarray:
+    """Rows of counts out of packed rows of one length."""
+    return np.frombuffer(b"".join(packed.to_pylist()), np.uint16).reshape(len(packed), -1).astype(np.int32)
 
 
 def _rarest(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -88,7 +107,7 @@ def _rarest(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, sketch: np.nd
 
 
 def _lists(docs: DataFrame, sketch: np.ndarray, total: int, size: int) -> DataFrame:
-    """(key, set_hash, n, pos): the lists of all shingles that are in the prefixes of two classes at least."""
+    """Pairs (a, b) out of lists of one leaf, and the rows (key, a, n, pos) of longer lists (there ``b`` is null)."""
     order = share_value(docs.sparkSession, sketch)
     ranges = 1 << max(5, int(total // (5 * RANGE_POSTINGS)).bit_length())
 
@@ -141,17 +160,46 @@ def _lists(docs: DataFrame, sketch: np.ndarray, total: int, size: int) -> DataFr
         twice[by_token[same]] = twice[by_token[same + 1]] = True
         frequent = order.value[(token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)] > FREQUENT
         at = np.flatnonzero(twice | frequent)
-        at = at[np.lexsort((pos[at], sets[at], token[at]))]
+        at = at[np.lexsort((sets[at], token[at]))]
         if len(at):  # a set that was posted by several tasks counts once
             at = at[np.concatenate([[True], (token[at][1:] != token[at][:-1]) | (sets[at][1:] != sets[at][:-1])])]
-            group = np.cumsum(np.concatenate([[True], token[at][1:] != token[at][:-1]])) - 1
-            at = at[(np.bincount(group)[group] > 1) | frequent[at]]
-        for k in range(0, len(at), 100_000):
-            some = at[k : k + 100_000]
-            yield pa.record_batch([pa.array(token[some].view(np.int64)), pa.array(sets[some].view(np.int64)), pa.array(n[some].astype(np.int32)), pa.array(pos[some].astype(np.int32))], ["key", "set_hash", "n", "pos"])
+        token, sets, n, pos, frequent = (x[at] for x in (token, sets, n, pos, frequent))
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(at)))
+        small = (size > 1) & (size <= LEAF) & ~frequent[first]
+        a, b = _within(first[small], size[small])
+        ok = _admissible(n[a], pos[a], n[b], pos[b])
+        pairs = np.stack([sets[a[ok]].view(np.int64), sets[b[ok]].view(np.int64)], axis=1)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+        names = ["key", "a", "b", "n", "pos"]
+        yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int32())] * 2], names)
+        for i, m in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
+            here = np.arange(i, i + m)
+            if m <= SHORT and not frequent[i]:
+                with_ = _admissible(n[here, None], pos[here, None], n[here], pos[here])
+                here = here[with_.sum(axis=1) > with_.diagonal()]
+            if len(here):
+                yield pa.record_batch([pa.array(token[here].view(np.int64)), pa.array(sets[here].view(np.int64)), pa.nulls(len(here), pa.int64()), pa.array(n[here].astype(np.int32)), pa.array(pos[here].astype(np.int32))], names)
 
     blocks = docs.mapInArrow(post, "range int, token binary, sets binary, n binary, pos binary")
-    return materialize(blocks.repartition(ranges, "range").mapInArrow(meet, "key long, set_hash long, n int, pos int"), "lists")
+    return materialize(blocks.repartition(ranges, "range").mapInArrow(meet, "key long, a long, b long, n int, pos int"), "lists")
+
+
+def _within(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places in groups that begin at ``first``; a group has ``LEAF`` places at most."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(LEAF):
+        for j in range(i + 1, LEAF):
+            some = first[size > j]
+            left.append(some + i)
+            right.append(some + j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _admissible(n_a: np.ndarray, pos_a: np.ndarray, n_b: np.ndarray, pos_b: np.ndarray) -> np.ndarray:
+    """Sizes allow a link, and if this shingle is the first that both share, each has as many left as they must share."""
+    fits = NEAR[1] * np.minimum(n_a, n_b) >= NEAR[0] * np.maximum(n_a, n_b)
+    return fits & ((NEAR[0] + NEAR[1]) * np.minimum(n_a - pos_a, n_b - pos_b) >= NEAR[0] * (n_a + n_b))
 
 
 def count_points(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +216,8 @@ def folded(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), groups, -1).sum(axis=2)
 
 
-def _points(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_hash, n, shingles, point, corner) of the wanted classes (set_hash, doc_id), one row each."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(set_hash, shingles) of the wanted classes (set_hash, doc_id), one row each. Other texts are skipped before they are read as words."""
     bitmap = share_value(docs.sparkSession, key_bitmap(wanted.select(F.xxhash64("doc_id").alias("k")), "k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,18 +225,10 @@ def _points(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             batch = batch.filter(pa.array(in_bitmap(bitmap.value, np.asarray(batch.column(2)).view(np.uint64))))
             for _, text in W.chunks(iter([batch])):
                 hashes, of = _shingled(text, size)
-                counts, at = count_points(hashes, of, len(text))
-                packed = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(counts)])
-                corner = np.add.reduceat(counts.astype(np.int32), (at[:-1, None] + np.arange(CORNERS) * (np.diff(at)[:, None] // CORNERS)).ravel())
-                columns = [
-                    pa.array(W.set_hash(hashes, of, len(text)).view(np.int64)), pa.array(np.bincount(of, minlength=len(text)).astype(np.int32)),
-                    W.list_array(hashes, W.starts(of, len(text))), packed, pa.ListArray.from_arrays(pa.array((np.arange(len(text) + 1) * CORNERS).astype(np.int32)), pa.array(corner.astype(np.int32))),
-                ]
-                yield pa.record_batch(columns, ["set_hash", "n", "shingles", "point", "corner"])
+                yield pa.record_batch([pa.array(W.set_hash(hashes, of, len(text)).view(np.int64)), W.list_array(hashes, W.starts(of, len(text)))], ["set_hash", "shingles"])
 
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(run, "set_hash long, n int, shingles array<long>, point binary, corner array<int>")
-    some = found.join(wanted.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash")
-    return materialize(some.agg(*[F.any_value(c).alias(c) for c in ("n", "shingles", "point", "corner")]), "points")
+    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("k")).mapInArrow(run, "set_hash long, shingles array<long>")
+    return materialize(found.join(wanted.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.any_value("shingles").alias("shingles")), "sets")
 
 
 def summed_minima(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -203,24 +243,30 @@ def summed_minima(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
-def _fits(n_a: Column, n_b: Column) -> Column:
-    return NEAR[1] * F.least(n_a, n_b) >= NEAR[0] * F.greatest(n_a, n_b)
-
-
-def _confirmed(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are near: first by sizes and points, then on whole sets."""
-    side = lambda name, *columns: points.select(F.col("set_hash").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and points allow a link."""
+    side = lambda name: classes.select(F.col("set_hash").alias(name), F.col("n").alias(f"n_{name}"), F.col("point").alias(f"point_{name}"))
+    fits = NEAR[1] * F.least("n_a", "n_b") >= NEAR[0] * F.greatest("n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
             yield batch.select([0, 1]).filter(pa.array((NEAR[0] + NEAR[1]) * summed_minima(batch.column(4), batch.column(5)) >= NEAR[0] * n))
 
-    both = pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b").where(_fits(F.col("n_a"), F.col("n_b")))
-    close = materialize(both.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a long, b long"), "close")
-    sets = close.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
-    near = NEAR[1] * F.col("common") >= NEAR[0] * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))
-    return materialize(sets.where(near).select("a", "b"), "links")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
+    return materialize(both.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a long, b long"), "close")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are near on their whole sets."""
+    side = lambda name: sets.select(F.col("set_hash").alias(name), F.col("shingles").alias(f"set_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    return materialize(both.where(NEAR[1] * F.col("common") >= NEAR[0] * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b"), "links")
+
+
+def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    return _sets(docs, materialize(classes.join(ends, "set_hash", "left_semi").select("set_hash", "doc_id"), "ends"), size)
 
 
 def _band(n: str) -> Column:
@@ -228,101 +274,121 @@ def _band(n: str) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(NEAR[1] / NEAR[0])) + 1e-9).cast("int")
 
 
-def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
+def _with_leaders(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each long list and size band with ``LEADERS`` of them, by chance."""
+    banded = long.select("key", _band("n").alias("band"), "a")
+    by_chance = [F.min(F.struct(F.xxhash64("a", F.lit(salt)).alias("chance"), F.col("a").alias("lead"))).alias(f"s{salt}") for salt in range(LEADERS)]
+    leads = banded.groupBy("key", "band").agg(*by_chance)
+    met = banded.join(leads, ["key", "band"]).select("a", F.explode(F.array(*[f"s{salt}.lead" for salt in range(LEADERS)])).alias("b")).where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(long: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, set_hash, n, pos, root) of the lists that hold more than one component; ``root`` is null for a class without links."""
-    known = lists.join(roots.select(F.col("node").alias("set_hash"), "root"), "set_hash", "left")
+    known = long.withColumnRenamed("a", "set_hash").join(roots.select(F.col("node").alias("set_hash"), "root"), "set_hash", "left")
     label = F.coalesce("root", "set_hash")
     torn = known.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select("key")
     return materialize(known.join(torn, "key", "left_semi").select("key", "set_hash", "n", "pos", "root"), "apart")
 
 
-def _with_leaders(lists: DataFrame, points: DataFrame, salt: int) -> DataFrame:
-    """Links of the members of each list and size band with one of them, unless they are in its component."""
-    label = F.coalesce("root", "set_hash")
-    banded = lists.select("key", _band("n").alias("band"), "set_hash", label.alias("label"))
-    leads = banded.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("set_hash", F.lit(salt)), "set_hash", "label")).alias("lead"))
-    met = banded.join(leads, ["key", "band"]).where("label <> lead.label")
-    pairs = met.select(F.least("set_hash", "lead.set_hash").alias("a"), F.greatest("set_hash", "lead.set_hash").alias("b")).distinct()
-    return _confirmed(pairs, points)
-
-
-def pack_leaves(lists: DataFrame, points: DataFrame) -> DataFrame:
+def pack_leaves(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """Leaves of ``LEAF`` members of a list, in order of component and size, with their rectangles."""
-    rows = lists.join(points.select("set_hash", "corner"), "set_hash").select("key", "set_hash", "n", "pos", F.coalesce("root", "set_hash").alias("label"), "corner", F.coalesce("root", F.lit(-(1 << 63))).alias("group"))
+    rows = lists.join(classes.select("set_hash", "corner"), "set_hash").select("key", "set_hash", "n", "pos", F.coalesce("root", "set_hash").alias("label"), "corner", F.coalesce("root", F.lit(-(1 << 63))).alias("group"))
     order = ("key", "group", "n", "set_hash")
-    schema = "key long, leaf long, n_lo int, n_hi int, label_lo long, label_hi long, corner array<int>, sets array<long>, ns array<int>, places array<int>, labels array<long>, corners array<int>"
+    schema = "key long, leaf long, n_lo int, n_hi int, label_lo long, label_hi long, top binary, sets array<long>, ns array<int>, places array<int>, labels array<long>, corners binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, sets, n, pos, label = (np.asarray(batch.column(k)) for k in range(5))
-            corner = np.asarray(batch.column(5).flatten()).reshape(-1, CORNERS)
             if not len(key):
                 continue
+            corner = _matrix(batch.column(5))
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
             at = np.flatnonzero(rank % LEAF == 0)
             ends = np.append(at, len(key))
-            lists_of = lambda x, width=1: pa.ListArray.from_arrays(pa.array((ends * width).astype(np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
-            edge = lambda f, x: pa.array(f.reduceat(x, at, axis=0))
-            top = np.maximum.reduceat(corner, at, axis=0)
+            lists_of = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
+            edge = lambda f, x: pa.array(f.reduceat(x, at))
+            points = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * 2 * CORNERS).astype(np.int32)), pa.py_buffer(corner.astype(np.uint16))])
             yield pa.record_batch(
                 [pa.array(key[at]), pa.array(sets[at]), edge(np.minimum, n), edge(np.maximum, n), edge(np.minimum, label), edge(np.maximum, label),
-                 pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * CORNERS).astype(np.int32)), pa.array(top.ravel())),
-                 lists_of(sets), lists_of(n), lists_of(pos), lists_of(label), lists_of(corner, CORNERS)], names)
+                 _corners(np.maximum.reduceat(corner, at, axis=0).ravel()), lists_of(sets), lists_of(n), lists_of(pos), lists_of(label), points], names)
 
     return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("group").mapInArrow(run, schema), "leaves")
 
 
 def _from_tree(leaves: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of different components out of all pairs of leaves that can hold a link."""
-    slim = leaves.select("key", "leaf", "n_lo", "n_hi", "label_lo", "label_hi", "corner")
+    slim = leaves.select("key", "leaf", "n_lo", "n_hi", "label_lo", "label_hi", "top")
     x = slim.withColumn("band", F.explode(F.sequence(_band("n_lo") - 1, _band("n_hi") + 1))).alias("x")
     y = slim.withColumn("band", F.explode(F.sequence(_band("n_lo"), _band("n_hi")))).alias("y")
     sizes = (NEAR[1] * F.col("x.n_hi") >= NEAR[0] * F.col("y.n_lo")) & (NEAR[1] * F.col("y.n_hi") >= NEAR[0] * F.col("x.n_lo"))
     one = (F.col("x.label_lo") == F.col("x.label_hi")) & (F.col("y.label_lo") == F.col("y.label_hi")) & (F.col("x.label_lo") == F.col("y.label_lo"))
-    most = F.aggregate(F.zip_with("x.corner", "y.corner", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    may = (F.col("x.leaf") <= F.col("y.leaf")) & sizes & ~one & ((NEAR[0] + NEAR[1]) * most >= NEAR[0] * (F.col("x.n_lo") + F.col("y.n_lo")))
-    met = materialize(x.join(y, ["key", "band"]).where(may).select("key", F.col("x.leaf").alias("left"), F.col("y.leaf").alias("right")).distinct(), "leaf-pairs")
+
+    def rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                most = np.minimum(_matrix(batch.column(4)), _matrix(batch.column(5))).sum(axis=1)
+                yield batch.select([0, 1, 2]).filter(pa.array((NEAR[0] + NEAR[1]) * most >= NEAR[0] * np.asarray(batch.column(3)).astype(np.int64)))
+
+    met = x.join(y, ["key", "band"]).where((F.col("x.leaf") <= F.col("y.leaf")) & sizes & ~one)
+    met = met.select("key", F.col("x.leaf").alias("left"), F.col("y.leaf").alias("right"), (F.col("x.n_lo") + F.col("y.n_lo")).alias("n"), F.col("x.top").alias("top_x"), F.col("y.top").alias("top_y"))
+    met = materialize(met.mapInArrow(rectangles, "key long, left long, right long").distinct(), "leaf-pairs")
     columns = ("sets", "ns", "places", "labels", "corners")
     side = lambda name: leaves.select("key", F.col("leaf").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
     both = met.join(side("left"), ["key", "left"]).join(side("right"), ["key", "right"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.zeros((0, 2), np.int64)]
             for k in range(batch.num_rows):
-                (sa, na, pa_, la, ca), (sb, nb, pb, lb, cb) = ([np.asarray(batch.column(5 * s + c)[k].values) for c in range(5)] for s in (0, 1))
-                need = NEAR[0] * (na[:, None].astype(np.int64) + nb)
-                ok = (la[:, None] != lb) & (NEAR[1] * np.minimum(na[:, None], nb) >= NEAR[0] * np.maximum(na[:, None], nb))
-                ok &= (NEAR[0] + NEAR[1]) * np.minimum((na - pa_)[:, None], nb - pb).astype(np.int64) >= need  # at the first shingle they share
-                i, j = np.nonzero(ok)
-                most = np.minimum(ca.reshape(-1, CORNERS)[i], cb.reshape(-1, CORNERS)[j]).sum(axis=1)
-                i, j = (v[(NEAR[0] + NEAR[1]) * most >= need[i, j]] for v in (i, j))
-                found.append(np.stack([np.minimum(sa[i], sb[j]), np.maximum(sa[i], sb[j])], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                (sa, na, qa, la), (sb, nb, qb, lb) = ([np.asarray(batch.column(5 * s + c)[k].values) for c in range(4)] for s in (0, 1))
+                ca, cb = (np.frombuffer(batch.column(5 * s + 4)[k].as_buffer(), np.uint16).reshape(-1, CORNERS) for s in (0, 1))
+                na, nb = na.astype(np.int64), nb.astype(np.int64)
+                i, j = np.nonzero((la[:, None] != lb) & _admissible(na[:, None], qa[:, None], nb, qb))
+                most = np.minimum(ca[i], cb[j]).sum(axis=1, dtype=np.int64)
+                ok = (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (na[i] + nb[j])
+                found.append(np.sort(np.stack([sa[i[ok]], sb[j[ok]]], axis=1), axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     wanted = [f"{c}_{name}" for name in ("left", "right") for c in columns]
-    return materialize(both.select(*wanted).mapInArrow(run, "a long, b long").distinct(), "tree-pairs")
+    return materialize(both.select(*wanted).mapInArrow(points, "a long, b long").distinct(), "tree-pairs")
+
+
+def _in_rounds(pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components after all links among the candidates: in each round ``PARTNERS`` times as many of a set's partners in each other component are verified."""
+    left = pairs
+    for salt in count():
+        side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"))
+        known = left.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("r_a", "a").alias("la"), F.coalesce("r_b", "b").alias("lb"))
+        known = materialize(known.where("la <> lb"), "candidates")
+        place = F.row_number().over(Window.partitionBy("a", "lb").orderBy(F.xxhash64("b", F.lit(salt)), "b"))
+        dealt = materialize(known.withColumn("place", place), "dealt")
+        if dealt.isEmpty():
+            return roots
+        now = F.col("place") <= PARTNERS ** (1 + salt)
+        links = _confirmed(dealt.where(now).select("a", "b"), sets)
+        if not links.isEmpty():
+            roots = _merged(roots, links)
+        left = dealt.where(~now).select("a", "b")
+    return roots
 
 
 def linked_sets(docs: DataFrame, base: DataFrame, size: int) -> DataFrame:
     """(node, root) of set hashes: the classes that have links, and one class for each component."""
     lists = _lists(docs.select("text"), *rarity(base), size)
-    ends = lists.select("set_hash").distinct()
-    wanted = materialize(base.where("n_shingles > 0").join(ends, "set_hash", "left_semi").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "ends")
-    points = _points(docs, wanted, size)
-    roots = components(_with_leaders(lists.withColumn("root", F.lit(None).cast("long")), points, 0))
-    apart = _apart(lists, roots)
-    before, now = None, apart.count()
-    for salt in range(1, MOST_ROUNDS):
-        if not now or (before is not None and now > GAIN * before):
-            break
-        before, roots = now, _merged(roots, _with_leaders(apart, points, salt))
-        apart = _apart(apart.drop("root"), roots)
-        now = apart.count()
-    return _merged(roots, _confirmed(_from_tree(pack_leaves(apart, points)), points)) if now else roots
+    classes = base.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(d) for c, d in (("n_shingles", "n"), ("point", "point"), ("corner", "corner"))])
+    classes = materialize(classes, "classes")
+    long = lists.where("b is null").drop("b")
+    pairs = _bounded(lists.where("b is not null").select("a", "b").union(_with_leaders(long)).distinct(), classes)
+    roots = components(_confirmed(pairs, _sets_of_pairs(docs, pairs, classes, size)))
+    apart = _apart(long, roots)
+    if apart.isEmpty():
+        return roots
+    more = _bounded(_from_tree(pack_leaves(apart, classes)).join(pairs, ["a", "b"], "left_anti"), classes)
+    return roots if more.isEmpty() else _in_rounds(more, roots, _sets_of_pairs(docs, more, classes, size))
 
 
 def join_near(docs: DataFrame, size: int = 5) -> DataFrame:

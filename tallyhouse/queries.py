@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .functions import geo, registered
-from .operators import analytics, chains, checks, graph, monitor, planning, quality, relops, rules
+from .operators import analytics, chains, checks, graph, monitor, planning, producers, quality, relops, rules
 from .plans import compiler, digest
 from .session import shared_folder
 from .sources.tables import percentage_sample, schema_rows, stringify_batch, tables
@@ -533,3 +533,72 @@ select l_returnflag, l_linestatus, n, value from x where k = ceil(n * 0.9::doubl
 register("spaced_events", lambda t: registered.spaced(t("events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds")), ["user_id"], "seconds", 7200), """
 with recursive e as (select user_id, epoch_us(ts) // 1000000 s from events), k as (select user_id, min(s) s from e group by 1 union all select k.user_id, min(e.s) from k join e on e.user_id = k.user_id and e.s >= k.s + 7200 group by k.user_id, k.s)
 select user_id, s as seconds from k""")
+
+# ---------------------------------------------------------------- facts measured on the tables, and the checks that read them
+
+_checked = lambda facts, table, names: reduce(DataFrame.union, [checks.CHECKS[n][0]({table: facts}) for n in names])
+
+
+def _loads(t):
+    lines = t("lineitem").join(t("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return producers.incremental_facts([
+        producers.Incremental("deliveries", _deliveries(t), "merge", ("event_id",), "ts", batch=F.to_date("arrived_at"), columns_before=("event_id", "ts", "user_id", "kind", "value", "arrived_at")),
+        producers.Incremental("orders", t("orders"), "merge", (), "o_orderdate"),
+        producers.Incremental("lines", lines, "delete+insert", ("l_orderkey", "l_linenumber"), "o_orderdate", True, 30 * 86400, F.trunc("l_shipdate", "month"), "l_shipdate"),
+        producers.Incremental("users", _deliveries(t).groupBy("user_id", "ts").agg(F.max("arrived_at").alias("received_at")), "microbatch", ("user_id", "ts"), "ts", True, 86400, F.to_date("received_at")),
+    ])
+
+
+_INCREMENTAL = ("incremental_merge_without_key", "incremental_key_not_unique", "incremental_filter_without_lookback", "lookback_shorter_than_lateness", "microbatch_without_lookback", "incremental_schema_change_ignored")
+register("incremental_facts", lambda t: _loads(t).drop("columns_now", "columns_before"), f"""
+with {_DELIVERIES},
+a as (select max(epoch_us(arrived_at) // 1000000 - epoch_us(ts) // 1000000) late, (select count(*) from (select 1 from d group by arrived_at::date, event_id having count(*) > 1)) again from d),
+l as (select l_orderkey, l_linenumber, l_shipdate, o_orderdate from lineitem join orders on l_orderkey = o_orderkey),
+b as (select max(epoch_us(l_shipdate) // 1000000 - epoch_us(o_orderdate) // 1000000) late, (select count(*) from (select 1 from l group by date_trunc('month', l_shipdate), l_orderkey, l_linenumber having count(*) > 1)) again from l),
+u as (select user_id, ts, max(arrived_at) got from d group by 1, 2),
+c as (select max(epoch_us(got) // 1000000 - epoch_us(ts) // 1000000) late from u)
+select 'deliveries' node, 'merge' strategy, 'event_id' unique_key, 'ts' filter_column, false subtracts, null::bigint lookback_seconds, late max_late_seconds, again n_repeated from a
+union all select 'orders', 'merge', null, 'o_orderdate', false, null, null, null union all select 'lines', 'delete+insert', 'l_orderkey,l_linenumber', 'o_orderdate', true, 2592000, late, again from b
+union all select 'users', 'microbatch', 'user_id,ts', 'ts', true, 86400, late, 0 from c""")
+register("incremental_checks", lambda t: _checked(_loads(t), "incrementals", _INCREMENTAL), f"""
+with {_DELIVERIES},
+a as (select max(epoch_us(arrived_at) // 1000000 - epoch_us(ts) // 1000000) late, (select count(*) from (select 1 from d group by arrived_at::date, event_id having count(*) > 1)) again from d),
+l as (select l_orderkey, l_linenumber, l_shipdate, o_orderdate from lineitem join orders on l_orderkey = o_orderkey),
+b as (select max(epoch_us(l_shipdate) // 1000000 - epoch_us(o_orderdate) // 1000000) late, (select count(*) from (select 1 from l group by date_trunc('month', l_shipdate), l_orderkey, l_linenumber having count(*) > 1)) again from l)
+select 'incremental_merge_without_key' check_name, 'orders' subject, 'merge' detail union all select 'incremental_key_not_unique', 'deliveries', again::varchar from a where again > 0 union all select 'incremental_key_not_unique', 'lines', again::varchar from b where again > 0
+union all select 'incremental_filter_without_lookback', 'deliveries', 'ts' from a where late > 0 union all select 'incremental_filter_without_lookback', 'orders', 'o_orderdate'
+union all select 'lookback_shorter_than_lateness', 'lines', late || '>2592000' from b where late > 2592000 union all select 'incremental_schema_change_ignored', 'deliveries', 'event_type'""")
+
+
+def _hops(t):
+    small = t("customer").where("c_acctbal > 8500")
+    return producers.hop_facts([
+        producers.Hop("orders>lineitem", t("orders"), t("lineitem"), (("o_orderkey", "l_orderkey"),)),
+        producers.Hop("customer>rich", t("customer"), small, (("c_custkey", "c_custkey"),), "c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))),
+        producers.Hop("supplier>nation", t("supplier"), t("nation"), (("s_nationkey", "n_nationkey"),), "s_name", F.col("s_name")),
+    ]).withColumns({c: r(F.col(c), 6) for c in ("ratio", "kept", "lost_share")})
+
+
+_HOPS = """h as (select 'orders>lineitem' hop, round((select count(*) from orders join lineitem on o_orderkey = l_orderkey) / (select count(*) from orders), 6) ratio, round((select count(*) from lineitem) / (select count(*) from orders), 6) kept, null::bigint lost, null::double lost_share
+union all select 'customer>rich', round(count(*) filter (where c_acctbal > 8500) / count(*), 6), round(count(*) filter (where c_acctbal > 8500) / count(*), 6), count(*) filter (where c_custkey % 3 = 0), round(count(*) filter (where c_custkey % 3 = 0) / count(*), 6) from customer
+union all select 'supplier>nation', round((select count(*) from supplier join nation on s_nationkey = n_nationkey) / (select count(*) from supplier), 6), round((select count(*) from nation) / (select count(*) from supplier), 6), 0, 0.0)"""
+register("hop_facts", _hops, f"with {_HOPS} select hop, ratio, kept, lost, lost_share from h")
+register("hop_checks", lambda t: _checked(_hops(t), "hops", ("hop_multiplies_rows", "hop_drops_most_rows", "values_lost_at_hop")).select("check_name", "subject"), f"""
+with {_HOPS} select 'hop_multiplies_rows' check_name, hop subject from h where ratio > 1 union all select 'hop_drops_most_rows', hop from h where kept < 0.2 union all select 'values_lost_at_hop', hop from h where lost > 0""")
+
+_watched = lambda t: t("nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node")).union(t("region").where("r_regionkey = 4").select(F.concat(F.lit("r"), "r_regionkey")))
+_WATCHED = "m as (select 'n' || n_nationkey node from nation where n_nationkey % 3 = 0 union all select 'r4')"
+register("unmonitored_sources", lambda t: producers.unmonitored_sources(_nodes(t), _edges(t), _watched(t)).select("node", F.array_join("marts", ",").alias("marts"), F.array_join("via", ",").alias("via")), """
+select 'r' || n_regionkey node, string_agg(distinct 's' || s_suppkey, ',' order by 's' || s_suppkey) marts, (select string_agg(distinct 'n' || m.n_nationkey, ',' order by 'n' || m.n_nationkey) from nation m where m.n_regionkey = nation.n_regionkey and m.n_nationkey % 3 <> 0) via from nation join supplier on s_nationkey = n_nationkey where n_nationkey % 3 <> 0 and n_regionkey <> 4 group by n_regionkey""")
+register("reach_facts", lambda t: producers.reach_facts(_nodes(t), _edges(t), _watched(t)), f"""
+with recursive {_GRAPH}, {_WATCHED} select v.node, v.kind, (select count(distinct c.reached) from c join v k on k.node = c.reached where c.node = v.node and k.kind = 'mart') marts,
+v.node in (select node from m) or coalesce((select bool_or(c.node in (select node from m)) from c where c.reached = v.node), false) watched from v""")
+register("volume_checks", lambda t: _checked(producers.reach_facts(_nodes(t), _edges(t), _watched(t)), "reach", ("volume_is_not_being_watched", "source_volume_not_monitored")), f"""
+with recursive {_GRAPH}, {_WATCHED}, x as (select v.node, v.kind, (select count(distinct c.reached) from c join v k on k.node = c.reached where c.node = v.node and k.kind = 'mart') marts,
+v.node in (select node from m) or coalesce((select bool_or(c.node in (select node from m)) from c where c.reached = v.node), false) watched from v)
+select 'volume_is_not_being_watched' check_name, node subject, marts::varchar detail from x where marts >= 1 and not watched union all select 'source_volume_not_monitored', node, marts::varchar from x where kind = 'source' and marts >= 1 and not watched""")
+register("row_loss_candidates", lambda t: producers.row_loss_candidates(t("lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey") % 50).alias("node"), F.concat(F.lit("p"), F.col("l_partkey") % 60).alias("parent")).agg(
+    F.min(F.when(F.col("l_linenumber") % 3 == 0, "left").when(F.col("l_linenumber") % 3 == 1, "inner")).alias("join_kind"), F.bool_and(F.col("l_returnflag") == "R").alias("pre_aggregated"), F.bool_and(F.col("l_discount") > 0.03).alias("driving"),
+    (F.first(F.col("l_orderkey") % 50) % 7 == 0).alias("filters_rows"), (F.first(F.col("l_orderkey") % 50) % 11 == 0).alias("aggregates"), F.lit(True).alias("readable"))), """
+with x as (select l_orderkey % 50 k, 'o' || (l_orderkey % 50) node, 'p' || (l_partkey % 60) parent, min(case l_linenumber % 3 when 0 then 'left' when 1 then 'inner' end) kind, bool_and(l_returnflag = 'R') pre, bool_and(l_discount > 0.03) driving from lineitem group by 1, 2, 3),
+d as (select *, bool_or(driving) over (partition by node) has from x) select node, parent from d where k % 7 <> 0 and k % 11 <> 0 and not pre and coalesce(kind, 'inner') = 'inner' and (driving or not has)""")
