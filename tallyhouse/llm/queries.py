@@ -71,7 +71,7 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefixtrie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), share=True)
+    return prefixtrie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), share=True).drop("start", "end")
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_decontamination": op3_decontamination, "op4_pii": op4_pii, "op5_licenses": op5_licenses, "op5_license_passages": op5_license_passages, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_language_id": op8_language_id, "op9_imatch": op9_imatch, "op10_minhash": op10_minhash, "op11_count_vector_join": op11_count_vector_join, "op12_spelling_variants": op12_spelling_variants, "op13_prefix_trie": op13_prefix_trie}
@@ -107,6 +107,49 @@ reach as (select doc_id, doc_id root from d union select r.doc_id, sym.b from re
 select d.doc_id, coalesce(n, 0)::bigint n_shingles, component_id{kept} from d left join n using (doc_id) join (select doc_id, min(root) component_id from reach group by 1) using (doc_id)"""
 
 
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    fold = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: {fold}), 4294967295)"
+
+
+def _variants_sql() -> str:
+    """Words, slips, neighbours by deletion, forms and roots."""
+    crc = _crc32_sql("list_transform(range(octet_length(encode(s))), lambda k: ('0x' || substr(hex(encode(s)), (2 * k + 1)::int, 2))::bigint)")
+    return f"""
+with r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) w from documents),
+g as (select doc_id, w, count(*) n, coalesce(doc_id::varchar, '') || ':' || w s from r group by all),
+c as (select w, n, {crc} h from g),
+f as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end w, n from c),
+d as (select w as word, sum(n)::bigint n from f where length(w) >= 6 group by 1 having sum(n) >= 5),
+x as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) less from d, unnest(range(length(word))) q(i)),
+p as (select a.word, b.word other from x a join x b on a.less = b.less and a.i = b.i and a.word <> b.word union select x.word, d.word from x join d on d.word = x.less union select d.word, x.word from x join d on d.word = x.less),
+o as (select p.word, p.other, d.n other_n from p join d on d.word = p.other),
+q as (select word, count(*) n_near, first(other order by other_n desc, other collate "C") best, max(other_n) best_n from o group by 1),
+y as (select d.word, d.n, coalesce(n_near, 0) n_near, case when best_n >= 5 * d.n then best end form, case when best_n >= 5 * d.n then best_n end form_n from d left join q using (word)),
+z as (select * from (with recursive s as (select word, word root, form from y union all select s.word, y.word, y.form from s join y on y.word = s.form) select word, root from s where form is null))
+select y.word, form, root, n, n_near, form_n from y join z using (word)"""
+
+
+def _trie_sql() -> str:
+    """Rebuilt conversations as lists of turns, their prefixes as nodes, and subtrees by expanding each node to its ancestors."""
+    crc = _crc32_sql("list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::bigint)")
+    return f"""
+with t as (select conv_id, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) pos from conversations where conv_id is not null),
+n as (select conv_id, count(*) n, any_value(conv_id::varchar) s from t group by 1),
+h as (select n.conv_id, n.conv_id - n.conv_id % 5 base, {crc} % 9 h from n),
+b as (select h.*, least(h, coalesce(n.n, 0)) taken from h left join n on n.conv_id = base),
+u as (select t.conv_id, taken + pos - h as pos, r, x from t join b using (conv_id) where pos > h union all select b.conv_id, t.pos, r, x from b join t on t.conv_id = b.base where t.pos <= h),
+l as (select n.conv_id, coalesce(list({{'r': r, 'x': x}} order by pos) filter (where pos is not null), []) l from n left join u using (conv_id) group by 1),
+m as (select conv_id, l[1:d] as path, d, l[1:d - 1] as up, l[d].x as x from l, unnest(range(len(l) + 1)) q(d)),
+v as (select path, d, min(conv_id) conv_id, count(*) n_convs, (count(*) - 1) * coalesce(strlen(any_value(x)), 0) saving, any_value(up) as up from m group by 1, 2),
+k as (select up as path, count(*) n_children from v where d > 0 group by 1),
+a as (select v.path[1:j] as path, sum((n_children is null)::int) n_leaves, sum(saving) saved from v left join k on k.path = v.path, unnest(range(d + 1)) q(j) group by 1),
+e as (select l as path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) ends from l group by 1)
+select v.conv_id, v.d as depth, case when v.d > 0 then p.conv_id end parent_conv_id, v.n_convs, coalesce(n_children, 0) n_children, n_leaves::bigint n_leaves, saved::bigint saved_tokens, coalesce(ends, sha256('')) ends_sha256
+from v join a on a.path = v.path left join k on k.path = v.path left join e on e.path = v.path left join v p on p.path = v.up and v.d > 0"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_licenses": _licenses_sql(),
     "op7_substring_dedup": f"""
@@ -119,4 +162,6 @@ k as (select d.doc_id, len(w) n, array_to_string(case when gone is null then w e
 select doc_id, n n_words, n_removed, sha256(kept) kept_sha256 from k""",
     "op10_minhash": _components_sql(75, ", d.doc_id = component_id kept"),
     "op11_count_vector_join": _components_sql(80, ""),
+    "op12_spelling_variants": _variants_sql(),
+    "op13_prefix_trie": _trie_sql(),
 }

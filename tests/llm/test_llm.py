@@ -302,7 +302,8 @@ def test_oracle(spark, data, name):
     import duckdb
 
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        duck.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     told = duck.sql(queries.ORACLE_SQL[name])
     found = queries.QUERIES[name](spark, data)
     columns = sorted(found.columns)
