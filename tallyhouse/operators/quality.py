@@ -65,9 +65,17 @@ def settled_unique(scan: DataFrame, sampled: bool = False) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, lo, hi, n of ``try_cast(column as double)``."""
-    aggs = [x for k, c in enumerate(columns) for x in (F.min(F.col(c).try_cast("double")).alias(f"lo_{k}"), F.max(F.col(c).try_cast("double")).alias(f"hi_{k}"), F.count(F.col(c).try_cast("double")).alias(f"n_{k}"))]
+    kinds = dict(df.dtypes)
+
+    def number(c: str) -> Column:
+        """One cast a value; a text without a digit is a number only if it says so, and is not tried otherwise."""
+        cast = F.col(c).try_cast("double")
+        return F.when(F.col(c).rlike("(?i)[0-9]|inf|nan"), cast) if kinds[c] == "string" else cast
+
+    cast = df.select(*[number(c).alias(f"v_{k}") for k, c in enumerate(columns)])
+    aggs = [x for k in range(len(columns)) for x in (F.min(f"v_{k}").alias(f"lo_{k}"), F.max(f"v_{k}").alias(f"hi_{k}"), F.count(f"v_{k}").alias(f"n_{k}"))]
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"lo_{k}").alias("lo"), F.col(f"hi_{k}").alias("hi"), F.col(f"n_{k}").alias("n")) for k, c in enumerate(columns)]))
-    return df.agg(*aggs).select(rows.alias("r")).select("r.*")
+    return cast.agg(*aggs).select(rows.alias("r")).select("r.*")
 
 
 def sentinel_extremes(profiled: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def unit_conflicts(profiled: DataFrame, bounds: DataFrame) -> DataFrame:
 
     ``bounds``: column_name, unit, bound, may_be_negative.
     """
-    met = profiled.join(F.broadcast(bounds), "column_name")
+    met = profiled.join(bounds, "column_name")
     problem = F.when(F.col("hi") > F.col("bound"), "above_bound").when((F.col("lo") < 0) & ~F.col("may_be_negative"), "negative")
     return met.withColumn("conflict", problem).where("conflict is not null").select("column_name", "unit", "lo", "hi", "conflict")
 
