@@ -240,7 +240,7 @@ def vocabulary(joins: DataFrame, known: DataFrame, least_hops: int = 3, least_mo
 
 def estimate_bytes(columns: DataFrame, widths: DataFrame) -> DataFrame:
     """relation, bytes out of (relation, column_name, type, row_count) and (type, width): NULL if any width is unknown."""
-    met = columns.join(F.broadcast(widths), "type", "left")
+    met = columns.join(widths, "type", "left")
     return met.groupBy("relation").agg(F.when(F.bool_and(F.col("width").isNotNull()), F.sum(F.col("width") * F.col("row_count"))).alias("bytes"))
 
 

@@ -107,7 +107,15 @@ register("probe_order", lambda t: quality.probe_order(t("nation").select(F.col("
 register("relationship_orphans", lambda t: quality.orphans(t("lineitem"), t("part").where("p_size <= 40"), "l_partkey", "p_partkey"), "select count(*) n_checked, count(*) filter (where p_partkey is null) n_orphans from lineitem left join (select p_partkey from part where p_size <= 40) on l_partkey = p_partkey")
 register("accepted_values", lambda t: quality.accepted_values(t("orders"), "o_orderpriority").union(quality.accepted_values(t("customer"), "c_name")), "select 'o_orderpriority' column_name, count(distinct o_orderpriority) n_values, max(length(o_orderpriority))::int longest, count(distinct o_orderpriority) between 2 and 20 and max(length(o_orderpriority)) <= 40 proposes from orders union all select 'c_name', count(distinct c_name), max(length(c_name))::int, count(distinct c_name) between 2 and 20 and max(length(c_name)) <= 40 from customer")
 register("failing_rows", lambda t: quality.failing_rows({"positive": (t("customer"), F.col("c_acctbal") > 0), "has_name": (t("customer"), F.col("c_name").isNotNull()), "small": (t("part"), F.col("p_size") < 45)}), "select * from (select 'positive' test, count(*) filter (where not coalesce(c_acctbal > 0, false)) n_failed from customer union all select 'has_name', count(*) filter (where c_name is null) from customer union all select 'small', count(*) filter (where not coalesce(p_size < 45, false)) from part) where n_failed > 0")
-register("variant_columns", lambda t: quality.variant_columns(schema_rows({"r": t("region").select(F.col("r_name").alias("amount"), F.col("r_name").alias("amount__v_text"), F.col("r_regionkey").alias("id"))}).withColumn("is_read", ~F.contains("column_name", F.lit("__v_")))), "select 'r' relation, 'amount' column_name, 'amount__v_text' variant")
+def _variants(t):
+    """Loads of a feed by part: each has its amounts, and those with other units besides got a column for them."""
+    part = F.concat("l_returnflag", "l_linestatus", F.col("l_suppkey") % 9)
+    read = t("lineitem").select(part.alias("relation"), F.lit("amount").alias("column_name"), F.lit(True).alias("is_read")).distinct()
+    other = t("lineitem").where("l_discount > 0.08 and l_tax > 0.07 and l_quantity < 4").select(part.alias("relation"), F.lit("amount__v_text").alias("column_name"), F.lit(False).alias("is_read")).distinct()
+    return quality.variant_columns(read.union(other))
+
+
+register("variant_columns", _variants, "select distinct l_returnflag || l_linestatus || (l_suppkey % 9) relation, 'amount' column_name, 'amount__v_text' variant from lineitem where l_discount > 0.08 and l_tax > 0.07 and l_quantity < 4")
 def _costs(t):
     found = {n: t(n) for n in ("customer", "embeddings")}
     counts = reduce(DataFrame.union, [df.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("relation"), "row_count") for n, df in found.items()])
@@ -258,7 +266,17 @@ register("priority_rank", lambda t: planning.priority(t("customer").select(F.col
 register("key_from_answers", lambda t: planning.key_from_answers(t("part").select(F.col("p_brand").alias("model"), F.col("p_name").alias("column_name"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 50.0).alias("p"))).select("model", F.array_join("key", "|").alias("key"), F.array_join("uncertain", "|").alias("uncertain")), "with a as (select p_brand model, p_name c, case when p_size % 5 > 0 then p_size / 50.0 end p from part), k as (select model, list_sort(list(distinct c) filter (where p is null or p > 0.35)) k, list_sort(list(distinct c) filter (where p > 0.35 and p < 0.70)) u, list_sort(list(distinct c)) e from a group by 1) select model, array_to_string(coalesce(k, e), '|') as key, coalesce(array_to_string(u, '|'), '') uncertain from k")
 register("unwatched_models", lambda t: planning.unwatched(graph.blast_radius(_nodes(t), _edges(t)), t("nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))).select("node", "marts"), f"with recursive {_GRAPH} select v.node, count(distinct reached) filter (where k.kind = 'mart') marts from v left join c on v.node = c.node left join v k on k.node = c.reached where v.node not in (select 'n' || n_nationkey from nation where n_nationkey % 2 = 0) group by 1 having count(distinct reached) filter (where k.kind = 'mart') >= 1")
 register("orphan_states", lambda t: t("customer").select(F.col("c_custkey").alias("state")).join(t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("state")), "state", "left_anti"), "select c_custkey as state from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
-register("obligations", lambda t: planning.obligations(t.spark.createDataFrame([("a", "left", "customer", ["c_custkey"]), ("b", "inner", "orders", ["o_custkey"])], "model string, kind string, relation string, right_keys array<string>"), t.spark.createDataFrame([("customer", ["c_custkey"]), ("orders", ["o_orderkey"])], "relation string, columns array<string>"), None), "select 'a' model, 'left_join_preserves_rows' as rule, 'unique customer c_custkey' premise, true have union all select 'b', 'inner_join_no_fanout', 'unique orders o_custkey', false")
+_JOINED = (("a", "left", "customer", "c_custkey"), ("b", "inner", "orders", "o_custkey"), ("c", "inner", "orders", "o_orderkey"), ("d", "left", "customer", "c_nationkey"), ("e", "left", "nation", "n_name"))
+
+
+def _obligations(t):
+    joins = t.spark.createDataFrame([(m, kind, relation, [key]) for m, kind, relation, key in _JOINED], "model string, kind string, relation string, right_keys array<string>")
+    scans = quality.key_scan_batch({n: (t(n), [key for _, _, relation, key in _JOINED if relation == n]) for n in ("customer", "orders", "nation")})
+    unique = scans.where("status = 'unique'").select("relation", F.array("column_name").alias("columns"))
+    return planning.obligations(joins, unique, None)
+
+
+register("obligations", _obligations, " union all ".join(f"select '{m}' model, '{'left_join_preserves_rows' if kind == 'left' else 'inner_join_no_fanout'}' as rule, 'unique {n} {key}' premise, count({key}) = count(*) and count(distinct {key}) = count(*) have from {n}" for m, kind, n, key in _JOINED))
 register("score_stub", lambda t: planning.judged(t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("state")), "same_concept", "align.v1"))
 register("grain_routes", lambda t: planning.grain_candidates(digest.digest_texts(t.spark, PROJECT), t.spark.createDataFrame([("stg_orders", ["order_id"])], "node string, key array<string>")).select("model", "route", F.array_join("key", ",").alias("key")))
 register("probe_targets", lambda t: planning.probe_targets(digest.digest_texts(t.spark, PROJECT), schema_rows({n: t(n) for n in ("orders", "customer", "nation")})))
