@@ -5,14 +5,15 @@ names (capitalised inside a sentence) become typed placeholders. Windows of 8 ca
 both sides: with names as words, with names as placeholders, and so that capitalised words at the start of a
 sentence, but for function words, are placeholders too. A bitmap of fixed size over
 the benchmark's windows drops nearly all windows of the documents; the rest meet the benchmark in a hash
-join. For each matched window the slots are compared: an item's value must stand for one value of the document
-there, and the other way round (units and numbers of one digit may vary), so a question with other numbers is caught. A window that is
-torn in this way does not count; the other windows of the item still do.
+join. A document and an item are aligned by the distance of their windows' places. Along an alignment each value of the item stands for
+one value of the document, and the other way round: that which most of its windows hold (ties: the greatest); units and
+numbers of one digit may vary, so a question with other numbers is caught. A window that contradicts the binding
+does not count; the other windows of the alignment still do.
 
 An item leaks into a document if half of its windows are matched, or six (13 words in a row or more).
 
-Defined results: a null or empty text has no leaks; items of three to seven words are matched as a whole,
-shorter ones and null texts never; windows with more placeholders than words are matched by their literal
+Defined results: a null or empty text has no leaks; items of three to seven words are matched as a whole, those of
+one or two only by texts that consist of them, null ones never; windows with more placeholders than words are matched by their literal
 values only, and an item may also leak by half of its other windows; repeated rows
 and ties of items each give their rows once per doc_id; empty tables give an empty result; only ``doc_id``,
 ``text`` and ``item_id`` are read.
@@ -144,6 +145,14 @@ class Canon:
             whole = whole * W._MULTIPLIER + self.literal[some + k]
         yield None, W.mix(W.mix(whole) + np.uint64(size + LITERAL)), text[some], some
 
+    def whole(self, size: int) -> Iterator[tuple[None, np.ndarray, np.ndarray, np.ndarray]]:
+        """All texts of ``size`` words, by their literal values."""
+        of = np.flatnonzero(self.counts == size)
+        total = np.zeros(len(of), np.uint64)
+        for k in range(size):
+            total = total * W._MULTIPLIER + self.literal[self.base[of] + k]
+        yield None, W.mix(W.mix(total) + np.uint64(size + 2 * LITERAL)), of, self.base[of]
+
     def _replaced(self, total: np.ndarray, marked: np.ndarray, size: int) -> np.ndarray:
         """Polynomials of all windows with the marked words replaced by the name's placeholder."""
         out, where = total.copy(), np.flatnonzero(marked)
@@ -173,7 +182,7 @@ def _hits(part, canon: Canon, sizes: list[int], id_name: str, bitmap: np.ndarray
     ids = part.column(part.schema.get_field_index(id_name))
     rows: list[tuple] = []
     for size in sizes:
-        for slot, hashes, of, at in canon.windows(size):
+        for slot, hashes, of, at in canon.windows(size) if size >= SHORTEST else canon.whole(size):
             ok = np.flatnonzero(in_bitmap(bitmap, hashes)) if bitmap is not None else np.arange(len(hashes))
             signed = hashes.view(np.int64)
             for k in ok.tolist():
@@ -184,7 +193,7 @@ def _hits(part, canon: Canon, sizes: list[int], id_name: str, bitmap: np.ndarray
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, hash, pos, size, slots, literal): an item's windows of 8 words, or its whole if it has 3 to 7."""
+    """(item_id, hash, pos, size, slots, literal): an item's windows of 8 words, or its whole if it has fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -192,18 +201,27 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for k in range(len(text)):
                 canon.read(text.slice(k, 1))
                 size = min(WINDOW, int(canon.counts[0]))
-                if size >= SHORTEST:
+                if size:
                     yield _hits(part.slice(k, 1), canon, [size], "item_id", None)
 
     schema = "item_id long, hash long, pos int, size int, slots array<string>, literal boolean"
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, schema)
 
 
+def _bindings(pairs: DataFrame, along: list[str]) -> DataFrame:
+    """(along, binding): of the values that the windows of an alignment pair, those that are each other's most frequent partner. An item's length bounds their number."""
+    votes = pairs.select(*along, F.explode("bound").alias("s")).groupBy(*along, F.col("s.item_slots").alias("v"), F.col("s.slots").alias("w")).agg(F.count("*").alias("n"))
+    best = votes.groupBy(*along, "v").agg(F.max(F.struct("n", "w")).alias("best")).select(*along, "v", "best.w")
+    back = votes.groupBy(*along, "w").agg(F.max(F.struct("n", "v")).alias("best")).select(*along, "w", "best.v")
+    both = best.join(back, [*along, "v", "w"])
+    return both.groupBy(*along).agg(F.collect_list(F.struct(F.col("v").alias("item_slots"), F.col("w").alias("slots"))).alias("binding"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, kind (``exact`` or ``reparameterised``): one row for each leak."""
     bound_batches(docs.sparkSession)
     items = materialize(item_windows(benchmark), "item-windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most six values
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most eight values
     bitmap = share_value(docs.sparkSession, key_bitmap(items, "hash", 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +237,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     side = F.broadcast(side) if n_items <= BROADCAST_WINDOWS else side
     pairs = found.join(side, "hash").where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("pos") - F.col("item_pos")).drop("hash", "size", "pos").distinct()
     pairs = materialize(pairs, "window-pairs")
-    # Slot consistency in each window: an item's value and a value of the document stand for each other there. An alignment with any other value is no exact copy.
     zipped = F.arrays_zip("item_slots", "slots")
-    bound = F.filter(zipped, lambda s: ~(s["item_slots"].isin(*sorted(UNITS)) | s["item_slots"].rlike("^[0-9]$")))
-    kinds = lambda side: F.size(F.array_distinct(F.transform(bound, lambda s: s[side])))
-    torn = F.size(F.array_distinct(bound)) > F.least(kinds("item_slots"), kinds("slots"))
-    pairs = pairs.select("doc_id", "item_id", "shift", "item_pos", "literal", torn.alias("torn"), (F.col("item_slots") != F.col("slots")).alias("differs"))
+    bound = F.array_distinct(F.filter(zipped, lambda s: ~(s["item_slots"].isin(*sorted(UNITS)) | s["item_slots"].rlike("^[0-9]$"))))
+    along = ["doc_id", "item_id", "shift"]
+    pairs = pairs.select(*along, "item_pos", "literal", bound.alias("bound"), (F.col("item_slots") != F.col("slots")).alias("differs"))
+    pairs = pairs.join(_bindings(pairs, along), along, "left")
+    torn = F.exists("bound", lambda s: ~F.array_contains(F.coalesce("binding", F.array().cast("array<struct<item_slots:string,slots:string>>")), s))
+    pairs = pairs.withColumn("torn", torn)
     checked = pairs.groupBy("doc_id", "item_id", "shift").agg(F.bool_or("differs").alias("other"))
     good = pairs.where("not torn").join(checked, ["doc_id", "item_id", "shift"])
     matched = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_matched"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("n_formed"), F.min("other").alias("other"))
