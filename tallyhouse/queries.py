@@ -293,7 +293,10 @@ register("except_rows", lambda t: t("customer").select(F.col("c_nationkey").alia
 register("intersect_rows", lambda t: t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select(F.col("s_nationkey").alias("k"))), "select c_nationkey k from customer intersect select s_nationkey from supplier")
 register("spend_days", lambda t: analytics.spend_days(t("events").where("event_type = 'purchase'").select(F.col("ts").alias("at")), t("events").where("event_type = 'click' and value > 50").select(F.col("ts").alias("at")), t("events").where("event_type = 'error'").select(F.col("ts").alias("at"))), "with a as (select cast(ts as date) d, count(*) filter (where event_type = 'purchase') runs, count(*) filter (where event_type = 'click' and value > 50) calls, count(*) filter (where event_type = 'error') statements from events group by 1) select d as day, runs, calls, statements, case when calls = 0 and runs > 0 then 'ran without asking' when calls = 0 then 'counted only' end reason from a where runs + calls + statements > 0")
 register("reason_pairs", lambda t: planning.reason_pairs(t("part").select(F.col("p_brand").alias("family"), F.col("p_name").alias("reason"), F.col("p_partkey").alias("id")), 200), "with d as (select p_brand family, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) reason, min(p_partkey) id from part group by 1, 2) select a.family, a.id id_a, b.id id_b from d a join d b on a.family = b.family and a.id < b.id order by 1, 2, 3 limit 200")
-register("claim_pairs", lambda t: planning.claim_pairs(t("part").select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("subject"), F.concat_ws(" ", "p_name", "p_type", F.lit("made in"), F.col("p_size") % 7).alias("text")), 0.7, 150))
+register("claim_pairs", lambda t: planning.claim_pairs(t("part").select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("subject"), F.concat_ws(" ", "p_name", "p_type", F.lit("made in"), F.col("p_size") % 7).alias("text")), 0.7, 150), """
+with c as (select p_partkey id, p_brand subject, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' made in ' || (p_size % 7)), '[^a-z0-9]+'), lambda x: x <> '')) w from part),
+p as (select a.id id_a, b.id id_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) score from c a join c b on a.id < b.id and a.subject <> b.subject where len(a.w) >= 3 and len(b.w) >= 3)
+select id_a, id_b, score from p where score >= 0.7 and score < 1 order by score desc, id_a, id_b limit 150""")
 
 # ---------------------------------------------------------------- laws counted on data
 
