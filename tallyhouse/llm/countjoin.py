@@ -47,7 +47,7 @@ NEAR = (80, 100)
 #: Points of a leaf; coordinates of a rectangle, and least coordinates of a point.
 LEAF, CORNERS = 16, 64
 #: Members that the others of a long list and size band meet first; partners of a set in another component that are verified at a time.
-LEADERS, PARTNERS = 2, 4
+LEADERS, PARTNERS = 4, 4
 #: In lists of up to this length each member is held against all others before it stays.
 SHORT = 1024
 #: Hashes of sets that a task remembers, to post copies once.
@@ -244,17 +244,19 @@ def summed_minima(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and points allow a link."""
+    """The pairs (a, b) of classes whose sizes and points allow a link; further columns of longs are kept."""
+    columns = pairs.columns
     side = lambda name: classes.select(F.col("set_hash").alias(name), F.col("n").alias(f"n_{name}"), F.col("point").alias(f"point_{name}"))
     fits = NEAR[1] * F.least("n_a", "n_b") >= NEAR[0] * F.greatest("n_a", "n_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
-            yield batch.select([0, 1]).filter(pa.array((NEAR[0] + NEAR[1]) * summed_minima(batch.column(4), batch.column(5)) >= NEAR[0] * n))
+            n = np.asarray(batch.column(0)).astype(np.int64) + np.asarray(batch.column(1))
+            may = (NEAR[0] + NEAR[1]) * summed_minima(batch.column(2), batch.column(3)) >= NEAR[0] * n
+            yield batch.select(columns).filter(pa.array(may))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
-    return materialize(both.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(run, "a long, b long"), "close")
+    return materialize(both.select("n_a", "n_b", "point_a", "point_b", *columns).mapInArrow(run, ", ".join(f"{c} long" for c in columns)), "close")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,7 +321,7 @@ def pack_leaves(lists: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _from_tree(leaves: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components out of all pairs of leaves that can hold a link."""
+    """Candidate pairs (a, b, la, lb) with their components, which differ, out of all pairs of leaves that can hold a link."""
     slim = leaves.select("key", "leaf", "n_lo", "n_hi", "label_lo", "label_hi", "top")
     x = slim.withColumn("band", F.explode(F.sequence(_band("n_lo") - 1, _band("n_hi") + 1))).alias("x")
     y = slim.withColumn("band", F.explode(F.sequence(_band("n_lo"), _band("n_hi")))).alias("y")
@@ -341,7 +343,7 @@ def _from_tree(leaves: DataFrame) -> DataFrame:
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros((0, 2), np.int64)]
+            found = [np.zeros((0, 4), np.int64)]
             for k in range(batch.num_rows):
                 (sa, na, qa, la), (sb, nb, qb, lb) = ([np.asarray(batch.column(5 * s + c)[k].values) for c in range(4)] for s in (0, 1))
                 ca, cb = (np.frombuffer(batch.column(5 * s + 4)[k].as_buffer(), np.uint16).reshape(-1, CORNERS) for s in (0, 1))
@@ -349,30 +351,31 @@ def _from_tree(leaves: DataFrame) -> DataFrame:
                 i, j = np.nonzero((la[:, None] != lb) & _admissible(na[:, None], qa[:, None], nb, qb))
                 most = np.minimum(ca[i], cb[j]).sum(axis=1, dtype=np.int64)
                 ok = (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (na[i] + nb[j])
-                found.append(np.sort(np.stack([sa[i[ok]], sb[j[ok]]], axis=1), axis=1))
+                a, b, la, lb = sa[i[ok]], sb[j[ok]], la[i[ok]], lb[j[ok]]
+                found.append(np.where((a < b)[:, None], np.stack([a, b, la, lb], axis=1), np.stack([b, a, lb, la], axis=1)))
             pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "b", "la", "lb"])
 
     wanted = [f"{c}_{name}" for name in ("left", "right") for c in columns]
-    return materialize(both.select(*wanted).mapInArrow(points, "a long, b long").distinct(), "tree-pairs")
+    return materialize(both.select(*wanted).mapInArrow(points, "a long, b long, la long, lb long").distinct(), "tree-pairs")
 
 
 def _in_rounds(pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """The components after all links among the candidates: in each round ``PARTNERS`` times as many of a set's partners in each other component are verified."""
-    left = pairs
+    known = pairs
     for salt in count():
-        side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"))
-        known = left.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("r_a", "a").alias("la"), F.coalesce("r_b", "b").alias("lb"))
-        known = materialize(known.where("la <> lb"), "candidates")
-        place = F.row_number().over(Window.partitionBy("a", "lb").orderBy(F.xxhash64("b", F.lit(salt)), "b"))
-        dealt = materialize(known.withColumn("place", place), "dealt")
+        place = lambda one, other, label: F.row_number().over(Window.partitionBy(one, label).orderBy(F.xxhash64(other, F.lit(salt)), other))
+        dealt = materialize(known.withColumn("place", F.greatest(place("a", "b", "lb"), place("b", "a", "la"))), "dealt")
         if dealt.isEmpty():
             return roots
         now = F.col("place") <= PARTNERS ** (1 + salt)
         links = _confirmed(dealt.where(now).select("a", "b"), sets)
         if not links.isEmpty():
             roots = _merged(roots, links)
-        left = dealt.where(~now).select("a", "b")
+        side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"))
+        left = dealt.where(~now).select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        left = left.select("a", "b", F.coalesce("r_a", "a").alias("la"), F.coalesce("r_b", "b").alias("lb"))
+        known = materialize(left.where("la <> lb"), "candidates")
     return roots
 
 
