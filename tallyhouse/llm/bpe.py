@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_words, save
 from .scratch import bound_batches, materialize, release, ship
-from .words import chunks
+from .words import chunks, give_back
 
 LEXICON_WORDS = 1 << 17
 #: Distinct chunks that a task counts or remembers at once (some tens of megabytes).
@@ -164,6 +164,7 @@ def word_counts(docs: DataFrame, model_name: str) -> DataFrame:
     """(word, n) over all texts: partial counts a task, summed by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other tasks of this worker left
         model, seen = _opened(Model, model_name), Counter()
 
         def flush() -> pa.RecordBatch:
@@ -264,6 +265,7 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WO
     full = keep == "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other tasks of this worker left
         coder = Encoder(_opened(Model, model_name), _opened(Lexicon, lexicon_name))
         for part, text in chunks(batches, most=CHUNK):
             split = [split_chunks(t) for t in text.to_pylist()]

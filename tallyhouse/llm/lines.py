@@ -11,7 +11,7 @@ A line goes if an earlier line of the corpus, in the order of (doc_id, line numb
    dealt by their sets instead, so that no range holds a hot one.
 3. The task of a range sorts its postings. In short lists each set meets the earlier ones that pass the length and
    positional filters. Members of long lists are written out and meet the earliest set of their length first; what
-   is then left meets all earlier members of its lists and lengths.
+   is then left is dealt by shingle, size and place, and meets the earlier members of those cells that the filters let pass.
 4. A bitmap of each set bounds the overlap of a candidate pair; what passes is verified on the whole sets.
 5. The first places of sets that survive meet their documents, and all other lines with words are removed.
 
@@ -125,6 +125,7 @@ def _stored(keyed: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch([*columns, pa.nulls(len(full), pa.binary())], names)
         empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
         yield pa.record_batch([*empty, pa.array([sketch.tobytes()], pa.binary())], names)
+        W.give_back()
 
     schema = "set_hash long, n int, doc_id long, row long, line int, full int, tokens binary, sketch binary"
     return materialize(keyed.select("text", "doc_id", "row").mapInArrow(run, schema), "lines", "none")  # hashes do not compress
@@ -240,6 +241,7 @@ def _candidates(stored: DataFrame, sketch: np.ndarray, total: int, hints: tuple[
                 waiting = 0
         if held:
             yield flush()
+        W.give_back()
 
     blocks = stored.where("sketch is null").select("tokens", "set_hash", "n", "doc_id").mapInArrow(post, "range int, token binary, sets binary, hint binary, n binary, pos binary")
 
@@ -247,6 +249,8 @@ def _candidates(stored: DataFrame, sketch: np.ndarray, total: int, hints: tuple[
         held = [[_unpacked(batch.column(k + 1), width)[0].astype(kind) for k, (width, kind) in enumerate(_POSTING)] for batch in batches]
         if held:
             yield from lists_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        del held
+        W.give_back()
 
     def lists_of(token, sets, hint, n, pos) -> Iterator[pa.RecordBatch]:
         """The lists of one range: only shingles of two sets and more are sorted in full."""
@@ -340,6 +344,16 @@ def _banded(rows: DataFrame, reach: int) -> DataFrame:
     return rows.withColumn("band", F.explode(F.sequence(own - reach, own + reach)) if reach else own)
 
 
+#: Members of a list of equal size and place: all of them can be near the same others, as far as sizes and places tell.
+CELL = ("token", "n", "pos")
+
+
+def _cell_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(token, n_x, pos_x, n_y, pos_y): the cells of a list whose members sizes and places let meet. A cell is one row, however many members it has."""
+    met = _banded(left, 1).alias("x").join(_banded(right, 0).alias("y"), ["token", "band"]).where(_possible_columns("x", "y"))
+    return met.select("token", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("x", "y") for c in ("n", "pos")]).distinct()
+
+
 def _in_long_lists(long: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFrame:
     """What goes besides ``gone`` by comparisons in long lists: with the earliest set of a length, then of what is left with all earlier ones."""
     pair = (F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
@@ -348,10 +362,13 @@ def _in_long_lists(long: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFra
     left = long.join(gone, F.col("a") == F.col("set_hash"), "left_anti")
     stars = _banded(leads, 1).alias("x").join(_banded(left, 0).alias("y"), ["token", "band"]).where((F.col("x.a") != F.col("y.a")) & _possible_columns("x", "y"))
     first = materialize(_verified(stars.select(*pair).distinct(), sets), "gone-long").union(gone)
-    left = _banded(long.join(first, F.col("a") == F.col("set_hash"), "left_anti"), 1).join(sets.select(F.col("set_hash").alias("a"), F.col("n").alias("size"), "bitmap"), "a")
-    earlier = members.join(sets.select(F.col("set_hash").alias("a"), F.col("n").alias("size"), "bitmap"), "a")
-    may = (F.col("x.a") != F.col("y.a")) & (F.col("y.hint") <= F.col("x.hint")) & _possible_columns("x", "y") & _by_bitmap(F.col("x.size"), F.col("x.bitmap"), F.col("y.size"), F.col("y.bitmap"))
-    rest = left.alias("x").join(earlier.alias("y"), ["token", "band"]).where(may).select(*pair).distinct()
+    left = long.join(first, F.col("a") == F.col("set_hash"), "left_anti")
+    cells = _cell_pairs(materialize(left.select(*CELL).distinct(), "left-cells"), materialize(members.select(*CELL).distinct(), "cells"))
+    bits = sets.select(F.col("set_hash").alias("a"), F.col("n").alias("size"), "bitmap")
+    side = lambda rows, name: rows.join(bits, "a").select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "pos", "a", "hint", "size", "bitmap")])
+    met = side(left, "x").join(cells, ["token", "n_x", "pos_x"]).join(side(long, "y"), ["token", "n_y", "pos_y"])
+    may = (F.col("a_x") != F.col("a_y")) & (F.col("hint_y") <= F.col("hint_x")) & _by_bitmap(F.col("size_x"), F.col("bitmap_x"), F.col("size_y"), F.col("bitmap_y"))
+    rest = met.where(may).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
     return first.union(_verified(rest, sets)).distinct()
 
 

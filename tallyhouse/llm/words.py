@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: it serves many tasks, and else keeps the most that any of them held."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other systems have other allocators
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: the flat words, and the number of words per text."""
     lists = pc.ascii_split_whitespace(text)
