@@ -47,7 +47,7 @@ NEAR = (80, 100)
 #: Points of a leaf; coordinates of a rectangle, and least coordinates of a point.
 LEAF, CORNERS = 16, 64
 #: Members that the others of a long list and size band meet first; partners of a set in another component that are verified at a time.
-LEADERS, PARTNERS = 4, 4
+LEADERS, PARTNERS = 4, 16
 #: In lists of up to this length each member is held against all others before it stays.
 SHORT = 1024
 #: Hashes of sets that a task remembers, to post copies once.
@@ -267,7 +267,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    ends = pairs.select(F.col("a").alias("set_hash")).distinct().union(pairs.select("b").distinct()).distinct()  # both sides shrink before they are shuffled
     return _sets(docs, materialize(classes.join(ends, "set_hash", "left_semi").select("set_hash", "doc_id"), "ends"), size)
 
 
