@@ -48,6 +48,8 @@ FREQUENT = 2048
 RANGE_POSTINGS = 250_000
 #: Lists of more sets than this are long.
 SHORT_LIST = 16
+#: In long lists of up to this length each member is held against all others; one that sizes and places let meet none of them is left out.
+HELD_LIST = 1024
 #: Postings that a task holds before it writes them out as blocks.
 FLUSH = 300_000
 #: Set sizes and places from here on are unknown to the filters, which let them pass.
@@ -67,7 +69,7 @@ class Lines:
         self.text = np.repeat(np.arange(len(self.per_text)), self.per_text)
         self.number = np.arange(len(self.text)) - np.repeat(offsets[:-1] - offsets[0], self.per_text)
         words, counts = W.split(pc.ascii_lower(flat))
-        self.hashes, self.of = W.shingles(W.codes(words), counts, size)
+        self.hashes, self.of = W.shingles(W.short_codes(words), counts, size)
         self.at = W.starts(self.of, len(self.text))
         self.set_hash = W.set_hash(self.hashes, self.of, len(self.text))
         self.n = np.diff(self.at)
@@ -96,6 +98,38 @@ def _unpacked(packed: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return wide.ravel().view("<u8").astype(np.uint64, copy=False), np.diff(offsets).astype(np.int64) // width
 
 
+def _planes(sizes: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Where the first, second, ... byte of every number stands if each row holds the first bytes of its numbers, then the second ones, and so on."""
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, step = np.arange(len(first)) + (width - 1) * first, np.repeat(sizes, sizes)
+    for _ in range(width):
+        yield at
+        at = at + step
+
+
+def _packed_planes(values: np.ndarray, width: int, sizes: np.ndarray) -> pa.Array:
+    """Like ``_packed``, with the bytes of a row in planes: high bytes that agree or run in order compress, however few numbers a row has."""
+    raw = np.asarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    data = np.empty(len(raw) * width, np.uint8)
+    for k, at in enumerate(_planes(sizes, width)):
+        data[at] = raw[:, k]
+    offsets = np.concatenate([[0], width * np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked_planes(packed: pa.Array, width: int) -> np.ndarray:
+    """Flat uint64 numbers of rows that ``_packed_planes`` made."""
+    if not len(packed):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    for k, at in enumerate(_planes(np.diff(offsets).astype(np.int64) // width, width)):
+        wide[:, k] = raw[at]
+    return wide.ravel().view("<u8").astype(np.uint64, copy=False)
+
+
 #: Bytes of a stored shingle, and its bits.
 TOKEN = 6
 TOKEN_BITS = 8 * TOKEN
@@ -128,7 +162,8 @@ def _stored(keyed: DataFrame, size: int) -> DataFrame:
         W.give_back()
 
     schema = "set_hash long, n int, doc_id long, row long, line int, full int, tokens binary, sketch binary"
-    return materialize(keyed.select("text", "doc_id", "row").mapInArrow(run, schema), "lines", "none")  # hashes do not compress
+    # Hashes do not compress, and sets of them make no dictionary.
+    return materialize(keyed.select("text", "doc_id", "row").mapInArrow(run, schema), "lines", "none", {"parquet.enable.dictionary#tokens": "false"})
 
 
 def rarity(stored: DataFrame) -> tuple[np.ndarray, int]:
@@ -190,13 +225,15 @@ def _possible_columns(a: str, b: str) -> Column:
 
 #: Bytes of a posting's parts (shingle, set, hint, n, place) in a block, and their types in a task.
 _POSTING = ((TOKEN, np.uint64), (8, np.uint64), (3, np.uint32), (2, np.uint16), (2, np.uint16))
+#: The part without planes: whole hashes of sets repeat from one posting to the next, their bytes do not.
+_SETS = 1
 
 
 def _blocks(token: np.ndarray, key: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
     """One row for each key: its postings in packed columns."""
     order = np.argsort(key, kind="stable")
     keys, sizes = np.unique(key, return_counts=True)
-    packed = [_packed(values[order], width, sizes) for values, width in [(token, TOKEN), *columns]]
+    packed = [(_packed if k == _SETS else _packed_planes)(values[order], width, sizes) for k, (values, width) in enumerate([(token, TOKEN), *columns])]
     return pa.record_batch([pa.array(keys.astype(np.int32)), *packed], ["range", "token", "sets", "hint", "n", "pos"])
 
 
@@ -246,7 +283,8 @@ def _candidates(stored: DataFrame, sketch: np.ndarray, total: int, hints: tuple[
     blocks = stored.where("sketch is null").select("tokens", "set_hash", "n", "doc_id").mapInArrow(post, "range int, token binary, sets binary, hint binary, n binary, pos binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[_unpacked(batch.column(k + 1), width)[0].astype(kind) for k, (width, kind) in enumerate(_POSTING)] for batch in batches]
+        read = lambda part, k, width: _unpacked(part, width)[0] if k == _SETS else _unpacked_planes(part, width)
+        held = [[read(batch.column(k + 1), k, width).astype(kind) for k, (width, kind) in enumerate(_POSTING)] for batch in batches]
         if held:
             yield from lists_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
         del held
@@ -276,6 +314,13 @@ def _candidates(stored: DataFrame, sketch: np.ndarray, total: int, hints: tuple[
             pairs.append(np.stack([np.minimum(sets[late].view(np.int64), sets[late - step].view(np.int64)), np.maximum(sets[late].view(np.int64), sets[late - step].view(np.int64))], axis=1))
         pairs = np.concatenate(pairs)
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        start = np.flatnonzero(first)
+        sizes = np.diff(np.append(start, len(at)))
+        held = (sizes > SHORT_LIST) & (sizes <= HELD_LIST) & ~frequent[start]
+        for i, m in zip(start[held].tolist(), sizes[held].tolist(), strict=True):
+            here = slice(i, i + m)
+            met = _possible(n[here, None], pos[here, None], n[here], pos[here], np.logical_and, np.minimum, np.maximum)
+            long[here] = met.sum(axis=1) > met.diagonal()
         none = lambda t: pa.nulls(len(pairs), t)
         names = ["a", "b", "token", "n", "pos", "hint"]
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int32())], names)
@@ -286,24 +331,37 @@ def _candidates(stored: DataFrame, sketch: np.ndarray, total: int, hints: tuple[
     return materialize(dealt.mapInArrow(meet, "a long, b long, token long, n int, pos int, hint int"), "candidates")
 
 
+def _marked(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """``rows`` whose ``set_hash`` a bitmap of ``keys`` lets pass; an exact join follows. Only the hashes go to Python."""
+    bitmap = share_value(rows.sparkSession, key_bitmap(keys, column, bits))
+
+    @F.pandas_udf("boolean")
+    def marked(key: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap.value, key.to_numpy().view(np.uint64)))
+
+    return rows.where(marked("set_hash"))
+
+
 def _full_sets(stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_hash, n, tokens, bitmap) of the wanted sets, one row each."""
+    """(set_hash, n, tokens, bitmap, place) of the wanted sets, one row each; ``place`` is the first (doc_id, row, line) of a set."""
     spark = stored.sparkSession
     bitmap = share_value(spark, key_bitmap(wanted, "set_hash", 26))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = np.asarray(batch.column(0))
-            ok = np.flatnonzero(in_bitmap(bitmap.value, key.view(np.uint64)))
-            once = batch.take(pa.array(ok[np.unique(key[ok], return_index=True)[1]]))
+            batch = batch.filter(pa.array(in_bitmap(bitmap.value, np.asarray(batch.column(0)).view(np.uint64))))
+            key, row, line = (np.asarray(batch.column(k)) for k in (0, 3, 4))
+            order = np.lexsort((line, row, np.asarray(batch.column(2).fill_null(0)), np.asarray(batch.column(2).is_valid()), key))
+            once = batch.take(pa.array(np.sort(order[np.concatenate([[True], key[order][1:] != key[order][:-1]])] if len(key) else order)))
             token, sizes = _unpacked(once.column(1), TOKEN)
             place = (W.mix(token) >> np.uint64(40)).astype(np.int64) % (64 * WIDE_WORDS)
             wide = np.zeros(len(sizes) * WIDE_WORDS, np.uint64)
             np.bitwise_or.at(wide, np.repeat(np.arange(len(sizes)), sizes) * WIDE_WORDS + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-            yield pa.record_batch([*once.columns, pa.array(sizes.astype(np.int32)), W.list_array(wide, np.arange(len(sizes) + 1) * WIDE_WORDS)], ["set_hash", "tokens", "n", "bitmap"])
+            yield pa.record_batch([*once.columns, pa.array(sizes.astype(np.int32)), W.list_array(wide, np.arange(len(sizes) + 1) * WIDE_WORDS)], ["set_hash", "tokens", "doc_id", "row", "line", "n", "bitmap"])
 
-    sets = stored.where("sketch is null").select("set_hash", "tokens").mapInArrow(run, "set_hash long, tokens binary, n int, bitmap array<long>")
-    return sets.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(*[F.any_value(c).alias(c) for c in ("n", "tokens", "bitmap")])
+    sets = stored.where("sketch is null").select("set_hash", "tokens", "doc_id", "row", "line").mapInArrow(run, "set_hash long, tokens binary, doc_id long, row long, line int, n int, bitmap array<long>")
+    first = F.min(F.struct("doc_id", "row", "line")).alias("place")
+    return sets.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(*[F.any_value(c).alias(c) for c in ("n", "tokens", "bitmap")], first)
 
 
 def _by_bitmap(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
@@ -311,15 +369,17 @@ def _by_bitmap(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
     differ = F.lit(0)
     for k in range(WIDE_WORDS):
         differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
-    common = F.floor((n_a + n_b - differ) / 2)
+    common = F.shiftright(n_a + n_b - differ, 1)
     return NEAR[1] * common >= NEAR[0] * (n_a + n_b - common)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(set_hash), the later set of each pair (a, b) that is near: first by bitmaps, then by the whole sets."""
-    side = lambda name, *columns: sets.select(F.col("set_hash").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    side = lambda name, *columns: sets.select(F.col("set_hash").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])  # noqa: E731  of ``sets`` as they are then
     close = pairs.join(side("a", "n", "bitmap"), "a").join(side("b", "n", "bitmap"), "b")
     close = materialize(close.where(_by_bitmap(F.col("a_n"), F.col("a_bitmap"), F.col("b_n"), F.col("b_bitmap"))).select("a", "b"), "close-pairs")
+    ends = close.select(F.explode(F.array("a", "b")).alias("set_hash"))
+    sets = _marked(sets.select("set_hash", "tokens", "place"), ends, "set_hash", 25)  # few sets are in close pairs; the others are not moved
     both = close.join(side("a", "tokens", "place"), "a").join(side("b", "tokens", "place"), "b")
     both = both.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("set_hash"), "a_tokens", "b_tokens")
 
@@ -348,9 +408,16 @@ def _banded(rows: DataFrame, reach: int) -> DataFrame:
 CELL = ("token", "n", "pos")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """The cells of ``rows``, one row each, with the least and the greatest of their members and of their hints."""
+    return rows.groupBy(*CELL).agg(*[f(c).alias(f"{c}_{name}") for c in ("a", "hint") for name, f in (("lo", F.min), ("hi", F.max))])
+
+
 def _cell_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(token, n_x, pos_x, n_y, pos_y): the cells of a list whose members sizes and places let meet. A cell is one row, however many members it has."""
-    met = _banded(left, 1).alias("x").join(_banded(right, 0).alias("y"), ["token", "band"]).where(_possible_columns("x", "y"))
+    """(token, n_x, pos_x, n_y, pos_y): the cells of a list in which a member of ``left`` can meet an earlier one of ``right``, as far as sizes, places and hints tell."""
+    alone = (F.col("x.a_lo") == F.col("y.a_hi")) & (F.col("x.a_hi") == F.col("y.a_lo"))  # the same single member on both sides
+    met = _banded(left, 1).alias("x").join(_banded(right, 0).alias("y"), ["token", "band"])
+    met = met.where(_possible_columns("x", "y") & (F.col("y.hint_lo") <= F.col("x.hint_hi")) & ~alone)
     return met.select("token", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("x", "y") for c in ("n", "pos")]).distinct()
 
 
@@ -363,7 +430,7 @@ def _in_long_lists(long: DataFrame, sets: DataFrame, gone: DataFrame) -> DataFra
     stars = _banded(leads, 1).alias("x").join(_banded(left, 0).alias("y"), ["token", "band"]).where((F.col("x.a") != F.col("y.a")) & _possible_columns("x", "y"))
     first = materialize(_verified(stars.select(*pair).distinct(), sets), "gone-long").union(gone)
     left = long.join(first, F.col("a") == F.col("set_hash"), "left_anti")
-    cells = _cell_pairs(materialize(left.select(*CELL).distinct(), "left-cells"), materialize(members.select(*CELL).distinct(), "cells"))
+    cells = _cell_pairs(materialize(_cells(left), "left-cells"), materialize(_cells(members), "cells"))
     bits = sets.select(F.col("set_hash").alias("a"), F.col("n").alias("size"), "bitmap")
     side = lambda rows, name: rows.join(bits, "a").select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "pos", "a", "hint", "size", "bitmap")])
     met = side(left, "x").join(cells, ["token", "n_x", "pos_x"]).join(side(long, "y"), ["token", "n_y", "pos_y"])
@@ -386,7 +453,7 @@ def kept_lines(docs: DataFrame, size: int = 5) -> DataFrame:
     places = lines.groupBy("set_hash").agg(F.min(F.struct("doc_id", "row", "line")).alias("place"))
     places = materialize(places, "places")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("set_hash")).where("set_hash is not null").distinct()
-    sets = materialize(_full_sets(stored, wanted).join(places, "set_hash"), "full-sets", "none")
+    sets = materialize(_full_sets(stored, wanted), "full-sets", "none", {"parquet.enable.dictionary#tokens": "false"})
     documents = materialize(lines.where("full is not null").groupBy("row").agg(F.max("full").alias("full")), "line-totals")
     release(spark, [stored.scratch_path])
 
@@ -395,8 +462,10 @@ def kept_lines(docs: DataFrame, size: int = 5) -> DataFrame:
     long = candidates.where("b is null").drop("b")
     if not long.isEmpty():
         gone = materialize(_in_long_lists(long, sets, gone), "gone")
-    stay = places.join(gone, "set_hash", "left_anti").select("place.row", "place.line")
-    kept = documents.join(stay.groupBy("row").agg(F.collect_list("line").alias("lines")), "row", "left")
+    lost = sets.select("set_hash", "place").join(gone, "set_hash", "left_semi").select("place.row", F.lit(None).cast("int").alias("line"), F.col("place.line").alias("lost"))
+    first = places.select("place.row", "place.line", F.lit(None).cast("int").alias("lost")).union(lost)
+    stay = first.groupBy("row").agg(F.array_except(F.collect_list("line"), F.collect_list("lost")).alias("lines"))
+    kept = documents.join(stay, "row", "left")
     kept = materialize(kept.select("row", "lines", (F.col("full") > F.coalesce(F.size("lines"), F.lit(0))).alias("loses")), "kept-lines")
     destroy_shared([one for one in shared() if one not in before])
     return kept

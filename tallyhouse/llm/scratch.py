@@ -65,12 +65,12 @@ def brief_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEAN, before)
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with the same schema. ``scratch_path`` of the result is for ``release``."""
     spark = df.sparkSession
     path = f"{root(spark)}/scratch-{label}-{uuid.uuid4().hex}"
     with brief_shuffles(spark):
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(compression=compression, **options or {}).parquet(path)
     _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

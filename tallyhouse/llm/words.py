@@ -73,6 +73,27 @@ def codes(flat: pa.Array) -> np.ndarray:
     return hash_strings(coded.dictionary.to_numpy(zero_copy_only=False))[np.asarray(coded.indices)]
 
 
+#: Bytes of a word that have a random number for each value at each place.
+_PLACES = 32
+_AT_PLACE = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _MULTIPLIER)
+
+
+def short_codes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit code for each word, like ``codes`` and other than those: the sum of a number for each byte and place; long words are hashed whole."""
+    if not len(flat):
+        return np.zeros(0, np.uint64)
+    flat = flat.cast(pa.large_string())
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = np.add.reduceat(_AT_PLACE[np.minimum(place, _PLACES - 1) << 8 | data], offsets[:-1])
+    long = np.flatnonzero(np.diff(offsets) > _PLACES)
+    if len(long):
+        out[long] = codes(flat.take(pa.array(long)))
+    return out
+
+
 def order_by_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The order by (text, hash): one sort of packed keys, and a full sort only where 40 bits of two hashes of a text agree."""
     if len(text) and int(text.max()) < 1 << 24:
