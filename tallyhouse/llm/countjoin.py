@@ -14,8 +14,8 @@ rectangles that hold them; so rectangles and points rule pairs out, and what is
    meet ``LEADERS`` of them. What the summed minima of the points let pass is verified on whole sets.
 4. Long lists that still hold several components become leaves of ``LEAF`` points, packed in order of component and size,
    each with its rectangle. Leaves meet if their sizes, components and the summed minima of their corners allow a link;
-   then their points meet. What passes is verified in rounds, a few partners of each set in every other component at
-   a time, until no candidate is left between two components.
+   then their points meet. A point takes its best few partners of a list, as far as summed minima tell; these are verified,
+   components grow, and lists that are still apart meet again with ever more partners, until no point has left one out.
 
 No step makes the pairs within a component, so copies and near copies of one text cost a row each and list.
 
@@ -33,7 +33,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -46,8 +46,8 @@ from .scratch import bound_batches, destroy_shared, in_bitmap, key_bitmap, mater
 NEAR = (80, 100)
 #: Points of a leaf; coordinates of a rectangle, and least coordinates of a point.
 LEAF, CORNERS = 16, 64
-#: Members that the others of a long list and size band meet first; partners of a set in another component that are verified at a time.
-LEADERS, PARTNERS = 4, 16
+#: Members that the others of a long list and size band meet first; partners in a list that a set takes in the first round, and so many times as many in each further one.
+LEADERS, PARTNERS, MORE = 4, 4, 16
 #: In lists of up to this length each member is held against all others before it stays.
 SHORT = 1024
 #: Hashes of sets that a task remembers, to post copies once.
@@ -320,8 +320,22 @@ def pack_leaves(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("group").mapInArrow(run, schema), "leaves")
 
 
-def _from_tree(leaves: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b, la, lb) with their components, which differ, out of all pairs of leaves that can hold a link."""
+def best_partners(a: np.ndarray, b: np.ndarray, score: np.ndarray, cut: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """For each ``a`` its ``most`` partners ``b`` of the highest score. ``cut`` stands on the rows of those that have left out some."""
+    order = np.lexsort((b, -score, a))
+    a, b, score, cut = a[order], b[order], score[order], cut[order]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(a)))
+    keep = np.arange(len(a)) - np.repeat(first, sizes) < most
+    some_cut = np.logical_or.reduceat(cut, first) if len(a) else cut
+    return a[keep], b[keep], score[keep], np.repeat(some_cut | (sizes > most), sizes)[keep]
+
+
+def _from_tree(leaves: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components out of all pairs of leaves that can hold a link: ``most`` partners of a set and list at most.
+
+    A pair counts for its set in the left leaf. ``cut`` tells that this set has more partners in the list.
+    """
     slim = leaves.select("key", "leaf", "n_lo", "n_hi", "label_lo", "label_hi", "top")
     x = slim.withColumn("band", F.explode(F.sequence(_band("n_lo") - 1, _band("n_hi") + 1))).alias("x")
     y = slim.withColumn("band", F.explode(F.sequence(_band("n_lo"), _band("n_hi")))).alias("y")
@@ -339,44 +353,64 @@ def _from_tree(leaves: DataFrame) -> DataFrame:
     met = materialize(met.mapInArrow(rectangles, "key long, left long, right long").distinct(), "leaf-pairs")
     columns = ("sets", "ns", "places", "labels", "corners")
     side = lambda name: leaves.select("key", F.col("leaf").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-    both = met.join(side("left"), ["key", "left"]).join(side("right"), ["key", "right"])
+    both = met.join(side("right"), ["key", "right"]).join(side("left"), ["key", "left"])
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        held, waiting, leaf, done = [none], 0, None, []  # ``held`` has the pairs of the left leaf at hand
+
+        def best() -> tuple[np.ndarray, ...]:
+            return best_partners(*(np.concatenate(x) for x in zip(*held, strict=True)), most)
+
+        def told() -> pa.RecordBatch:
+            a, b, _, cut = (np.concatenate(x) for x in zip(none, *done, strict=True))
+            done.clear()
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cut)], ["a", "b", "cut"])
+
         for batch in batches:
-            found = [np.zeros((0, 4), np.int64)]
+            key, left, right = (np.asarray(batch.column(k)) for k in range(3))
             for k in range(batch.num_rows):
-                (sa, na, qa, la), (sb, nb, qb, lb) = ([np.asarray(batch.column(5 * s + c)[k].values) for c in range(4)] for s in (0, 1))
-                ca, cb = (np.frombuffer(batch.column(5 * s + 4)[k].as_buffer(), np.uint16).reshape(-1, CORNERS) for s in (0, 1))
+                if leaf != (key[k], left[k]):
+                    done.append(best())
+                    held, waiting, leaf = [none], 0, (key[k], left[k])
+                (sa, na, qa, la), (sb, nb, qb, lb) = ([np.asarray(batch.column(3 + 5 * s + c)[k].values) for c in range(4)] for s in (0, 1))
+                ca, cb = (np.frombuffer(batch.column(7 + 5 * s)[k].as_buffer(), np.uint16).reshape(-1, CORNERS) for s in (0, 1))
                 na, nb = na.astype(np.int64), nb.astype(np.int64)
-                i, j = np.nonzero((la[:, None] != lb) & _admissible(na[:, None], qa[:, None], nb, qb))
-                most = np.minimum(ca[i], cb[j]).sum(axis=1, dtype=np.int64)
-                ok = (NEAR[0] + NEAR[1]) * most >= NEAR[0] * (na[i] + nb[j])
-                a, b, la, lb = sa[i[ok]], sb[j[ok]], la[i[ok]], lb[j[ok]]
-                found.append(np.where((a < b)[:, None], np.stack([a, b, la, lb], axis=1), np.stack([b, a, lb, la], axis=1)))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "b", "la", "lb"])
-
-    wanted = [f"{c}_{name}" for name in ("left", "right") for c in columns]
-    return materialize(both.select(*wanted).mapInArrow(points, "a long, b long, la long, lb long").distinct(), "tree-pairs")
-
-
-def _in_rounds(pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """The components after all links among the candidates: in each round ``PARTNERS`` times as many of a set's partners in each other component are verified."""
-    known = pairs
-    for salt in count():
-        place = lambda one, other, label: F.row_number().over(Window.partitionBy(one, label).orderBy(F.xxhash64(other, F.lit(salt)), other))
-        dealt = materialize(known.withColumn("place", F.greatest(place("a", "b", "lb"), place("b", "a", "la"))), "dealt")
-        if dealt.isEmpty():
+                may = (la[:, None] != lb) & _admissible(na[:, None], qa[:, None], nb, qb)
+                i, j = np.nonzero(np.triu(may) if left[k] == right[k] else may)
+                shared_most = np.minimum(ca[i], cb[j]).sum(axis=1, dtype=np.int64)
+                ok = (NEAR[0] + NEAR[1]) * shared_most >= NEAR[0] * (na[i] + nb[j])
+                i, j = i[ok], j[ok]
+                held.append((sa[i], sb[j], shared_most[ok] / (na[i] + nb[j]), np.zeros(len(i), bool)))
+                waiting += len(i)
+                if waiting > 8 * LEAF * max(most, LEAF):
+                    held = [best()]
+                    waiting = 0
+            yield told()
+        done.append(best())
+        yield told()
+
+    wanted = ["key", "left", "right", *[f"{c}_{name}" for name in ("left", "right") for c in columns]]
+    dealt = both.select(*wanted).repartition("key", "left").sortWithinPartitions("key", "left")
+    found = dealt.mapInArrow(points, "a long, b long, cut boolean").groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+    return materialize(found, "tree-pairs")
+
+
+def _in_rounds(docs: DataFrame, long: DataFrame, roots: DataFrame, tried: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """The components after all links between members of one list. In each round sets of lists that are still apart take more partners; the last one leaves none out."""
+    for turn in count():
+        apart = _apart(long, roots)
+        if apart.isEmpty():
+            return roots
+        found = _from_tree(pack_leaves(apart, classes), PARTNERS * MORE**turn)
+        more = _bounded(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), classes)
+        if not more.isEmpty():
+            links = _confirmed(more, _sets_of_pairs(docs, more, classes, size))
+            if not links.isEmpty():
+                roots = _merged(roots, links)
+            tried = tried.union(more)
+        if found.where("cut").isEmpty():
             return roots
-        now = F.col("place") <= PARTNERS ** (1 + salt)
-        links = _confirmed(dealt.where(now).select("a", "b"), sets)
-        if not links.isEmpty():
-            roots = _merged(roots, links)
-        side = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"))
-        left = dealt.where(~now).select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        left = left.select("a", "b", F.coalesce("r_a", "a").alias("la"), F.coalesce("r_b", "b").alias("lb"))
-        known = materialize(left.where("la <> lb"), "candidates")
-    return roots
 
 
 def linked_sets(docs: DataFrame, base: DataFrame, size: int) -> DataFrame:
@@ -387,11 +421,7 @@ def linked_sets(docs: DataFrame, base: DataFrame, size: int) -> DataFrame:
     long = lists.where("b is null").drop("b")
     pairs = _bounded(lists.where("b is not null").select("a", "b").union(_with_leaders(long)).distinct(), classes)
     roots = components(_confirmed(pairs, _sets_of_pairs(docs, pairs, classes, size)))
-    apart = _apart(long, roots)
-    if apart.isEmpty():
-        return roots
-    more = _bounded(_from_tree(pack_leaves(apart, classes)).join(pairs, ["a", "b"], "left_anti"), classes)
-    return roots if more.isEmpty() else _in_rounds(more, roots, _sets_of_pairs(docs, more, classes, size))
+    return _in_rounds(docs, long, roots, pairs, classes, size)
 
 
 def join_near(docs: DataFrame, size: int = 5) -> DataFrame:
