@@ -48,6 +48,8 @@ SHIFT = 20
 MASK, NEVER = (1 << SHIFT) - 1, 1 << 62
 #: Words of more symbols are merged with a queue, in n log n steps.
 LONG_WORD = 48
+#: Fewer words of one length are merged one by one.
+FEW = 24
 #: White space as the tokenizer's patterns know it (str.split() also takes 1C to 1F).
 _SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -60,6 +62,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def _less(table: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """``table`` with one cell of each row taken out."""
+    keep = np.ones(table.shape, bool)
+    keep[row, column] = False
+    return table[keep].reshape(len(table), table.shape[1] - 1)
+
+
 class Model:
     """A tokenizer file: exact merging of one word, and the text of ids."""
 
@@ -80,6 +89,9 @@ class Model:
         symbols = byte_symbols()
         self.inner = [v[s] for s in symbols]
         self.last = [v[s + self.suffix] for s in symbols]
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        self.pair_keys = np.sort(np.fromiter(self.merges, np.int64, len(self.merges)))
+        self.pair_values = np.array([self.merges[k] for k in self.pair_keys.tolist()], np.int64)
 
     def normalise(self, text: str) -> str:
         """NFC, then lower case letter by letter (no final sigma)."""
@@ -117,6 +129,41 @@ class Model:
                 ranks[at - 1] = get(ids[at - 1] << SHIFT | ids[at], NEVER)
         return ids
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and id of each pair of ids in one number, ``NEVER`` if they do not merge."""
+        key = left << SHIFT | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NEVER)
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of every word. Words of one length take each step together, and so stay of one length."""
+        out: list[list[int]] = [[]] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lengths).tolist():
+            row = np.flatnonzero(lengths == n)
+            if not 1 < n <= LONG_WORD or len(row) < FEW or not len(self.pair_keys):
+                for k in row.tolist():
+                    out[k] = self.merge(words[k])
+                continue
+            raw = np.frombuffer(b"".join([words[k] for k in row.tolist()]), np.uint8).reshape(-1, n)
+            ids = np.concatenate([self.inner_ids[raw[:, :-1]], self.last_ids[raw[:, -1:]]], axis=1)
+            ranks = self._pairs(ids[:, :-1], ids[:, 1:])
+            while len(row):
+                at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+                best = ranks[np.arange(len(row)), at] if ranks.shape[1] else np.full(len(row), NEVER)
+                go = best < NEVER
+                for k, found in zip(row[~go].tolist(), ids[~go].tolist(), strict=True):
+                    out[k] = found
+                row, ids, ranks, at = row[go], ids[go], ranks[go], at[go]
+                if not len(row):
+                    break
+                here, width = np.arange(len(row)), ids.shape[1]
+                ids[here, at] = best[go] & MASK
+                ids, ranks = _less(ids, here, at + 1), _less(ranks, here, at)
+                for some, left in ((np.flatnonzero(at < width - 2), at), (np.flatnonzero(at > 0), at - 1)):
+                    ranks[some, left[some]] = self._pairs(ids[some, left[some]], ids[some, left[some] + 1])
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, merges = len(ids), self.merges
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
@@ -206,7 +253,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORD
     words = sorted({w.encode() for w in frequent["word"].to_pylist()})
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "lexicon.bin")
-        save(compile_words(words, [model.merge(w) for w in words]), path)
+        save(compile_words(words, model.merge_all(words)), path)
         with open(path, "rb") as f:
             return model_name, ship(spark, f.read(), "lexicon")
 
@@ -228,25 +275,22 @@ class Encoder:
         if len(self.ids) > MEMO:
             self.older, self.ids, self.text = (self.ids, self.text), {}, {}
         ids, text, (old_ids, old_text) = self.ids, self.text, self.older
-        new = []
-        for p in parts:
-            if p not in ids:
-                if p in old_ids:
-                    ids[p], text[p] = old_ids[p], old_text[p]
-                else:
-                    new.append(p)
+        missing = parts.difference(ids)
+        new = [p for p in missing if p not in old_ids]
+        for p in missing.difference(new):
+            ids[p], text[p] = old_ids[p], old_text[p]
         cut = [self.model.words(p) for p in new]
         unknown = list({w for ws in cut for w in ws})
         plain = [w.encode() for w in unknown if isinstance(w, str)]
-        looked_up = iter(self.lexicon.ids_of_all(self.lexicon.ranks(plain)))
-        encoded = iter(plain)
+        looked_up = self.lexicon.ids_of_all(self.lexicon.ranks(plain))
+        merged = iter(self.model.merge_all([raw for raw, found in zip(plain, looked_up, strict=True) if found is None]))
+        known = iter([next(merged) if found is None else found for found in looked_up])
         words: dict[str | int, tuple[bytes, str]] = {}
         for w in unknown:
             if isinstance(w, int):
                 words[w] = self._entry([w])
                 continue
-            found, raw = next(looked_up), next(encoded)
-            words[w] = self._entry(self.model.merge(raw) if found is None else found)
+            words[w] = self._entry(next(known))
         for p, ws in zip(new, cut, strict=True):
             if len(ws) == 1:
                 ids[p], text[p] = words[ws[0]]
