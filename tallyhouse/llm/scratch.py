@@ -122,6 +122,30 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy_executors(spark: SparkSession) -> None:
+    """Let every executor collect its garbage, which gives unused heap and dropped buffers back to the system.
+
+    A heap grows to what the greediest step needed and stays so; the next step's Python workers need that memory. There
+    is a task for each core, so that every executor takes some.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, tasks, 1, tasks).select(collect.alias("done")).write.format("noop").mode("overwrite").save()
+
+
+@contextmanager
+def small_reads(spark: SparkSession) -> Iterator[None]:
+    """In this block tables are read in batches of ``READ_ROWS`` rows at most: of long texts the usual 4,096 take tens of megabytes of heap a task."""
+    before = spark.conf.get(_READ)
+    spark.conf.set(_READ, str(min(int(before), READ_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_READ, before)
+
+
+#: Rows up to which a batch of a Parquet file is read at once, and Spark's setting for it.
+READ_ROWS, _READ = 512, "spark.sql.parquet.columnarReaderBatchSize"
 #: Rows of ids up to which a list of ids is broadcast (8 MB); longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
