@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,13 @@ _NUMBER = regex.compile(r"[+-]?[$€£]?\d[\d.,:/]*[%°]?")
 _QUANTITY = regex.compile(r"[+-]?\d[\d.,]*\p{L}{1,4}")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%°]+$")
 _PLAIN, _SLOT, _NAME, _DROP, _CAPITAL = 0, 1, 2, 3, 4
+#: Letters that every library lower-cases alike, and marks that ``_EDGE`` takes off at either end: words of these are read by column.
+_UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+_MARKS = "!\"#&'()*,./:;<=>?@[\\]^_`{|}~«»‘’“”–—…"
+_MARK = "[" + "".join("\\" + c if c in "\\[]^" else c for c in _MARKS) + "]*"
+_LETTERS = f"^{_MARK}[{_UPPER}{_LOWER}]+{_MARK}$"
+_CAPITALISED = f"^{_MARK}[{_UPPER}][{_LOWER}]+{_MARK}$"
+_ENDS = "[.!?:;][\"')\\]}»”’]*$"
 
 
 def literal(word: str) -> str:
@@ -86,27 +94,44 @@ class Canon:
 
     def __init__(self) -> None:
         self.memo: dict[str, tuple[int, int, bool, int]] = {}
-        self.name = int(W.hash_strings(["<name>"])[0])
-
-    def read(self, text: pa.Array) -> None:
-        flat, counts = W.split(text)
-        coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.name, self.unit = W.hash_strings(["<name>", "<unit>"]).tolist()
+
+    def _told(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code, kind, end of a sentence and value of each distinct word: ``canonical`` by column for words of common letters, one by one for the others."""
+        n = len(distinct)
+        code, kind, ends = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, bool)
+        plain = pc.match_substring_regex(distinct, _LETTERS)
+        at, words = np.flatnonzero(np.asarray(plain)), distinct.filter(plain)
+        low = pc.utf8_lower(pc.utf8_trim(words, _MARKS))
+        hashes = W.hash_strings(low.to_numpy(zero_copy_only=False))
+        one_of = lambda known: np.asarray(pc.is_in(low, pa.array(sorted(known), low.type)))
+        capital, unit = np.asarray(pc.match_substring_regex(words, _CAPITALISED)), one_of(UNITS)
+        kind[at] = np.where(unit, _SLOT, np.where(capital, np.where(one_of(FUNCTION_WORDS), _CAPITAL, _NAME), _PLAIN))
+        ends[at] = np.asarray(pc.match_substring_regex(words, _ENDS))
+        code[at] = np.where(unit, np.uint64(self.unit), hashes)
+        value = np.zeros(n, np.uint64)
+        value[at] = hashes
+
+        odd = np.flatnonzero(~np.asarray(plain))
+        others = distinct.take(pa.array(odd)).to_pylist()
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = [w for w in distinct if w not in self.memo]
+        new = [w for w in others if w not in self.memo]
         told = [canonical(w) for w in new]
         for w, t, h in zip(new, told, W.hash_strings([t[0] for t in told]).tolist(), strict=True):
             self.memo[w] = (h, t[1], t[2], h)
         valued = [w for w, t in zip(new, told, strict=True) if t[1] == _SLOT]
         for w, h in zip(valued, W.hash_strings([literal(w) for w in valued]).tolist(), strict=True):
             self.memo[w] = (*self.memo[w][:3], h)
-        rows = [self.memo[w] for w in distinct]
+        if others:
+            code[odd], kind[odd], ends[odd], value[odd] = (np.array(x, own.dtype) for x, own in zip(zip(*map(self.memo.__getitem__, others), strict=True), (code, kind, ends, value), strict=True))
+        return code, kind, ends, value
+
+    def read(self, text: pa.Array) -> None:
+        flat, counts = W.split(text)
+        coded = flat.dictionary_encode()
         index = np.asarray(coded.indices) if len(flat) else np.zeros(0, np.int64)
-        code = np.array([r[0] for r in rows], np.uint64)[index]
-        kind = np.array([r[1] for r in rows], np.int8)[index]
-        ends = np.array([r[2] for r in rows], bool)[index]
-        value = np.array([r[3] for r in rows], np.uint64)[index]
+        code, kind, ends, value = (x[index] for x in self._told(coded.dictionary))
         first = np.zeros(len(index), bool)
         begin = (np.cumsum(counts) - counts)[counts > 0]
         first[begin] = True
