@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -84,6 +85,7 @@ class Model:
         self.merges = {v[a] << SHIFT | v[b]: rank << SHIFT | v[a + b] for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.tokens = {i: t for t, i in v.items()} | {i: t for t, i in self.special.items()}
+        self.spelled = pa.array([self.tokens.get(i) for i in range(1 + max(self.tokens, default=-1))], pa.large_string())
         self.pattern = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         symbols = byte_symbols()
@@ -110,6 +112,11 @@ class Model:
             out += [self.special[part]] if part in self.special else self.pattern.findall(self.normalise(part))
         return out
 
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The texts of consecutive runs of ids: tokens joined by one space."""
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), self.spelled.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: again and again the pair of the lowest rank, the leftmost first."""
         if not word:
@@ -195,6 +202,14 @@ def split_chunks(text: str) -> list[str]:
     return [x for x in _SPACE.split(text) if x]
 
 
+def _digests(texts: pa.LargeStringArray) -> list[str]:
+    """SHA-256 of each text, in hexadecimal."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    whole = memoryview(data or b"")
+    return [hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+
+
 _OPEN: dict[str, object] = {}
 
 
@@ -229,6 +244,7 @@ def word_counts(docs: DataFrame, model_name: str) -> DataFrame:
             if len(seen) > 2 * MEMO:
                 yield flush()
         yield flush()
+        give_back()
 
     partial = docs.select("text").mapInArrow(count, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -263,40 +279,30 @@ class Encoder:
 
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
+        #: chunk -> its ids as 32-bit integers
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        self.older: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
-
-    def _entry(self, ids) -> tuple[bytes, str]:
-        return array("I", ids).tobytes(), " ".join(map(self.model.tokens.__getitem__, ids))
+        self.older: dict[str, bytes] = {}
 
     def learn(self, parts: set[str]) -> None:
         """Make every chunk of ``parts`` known."""
         if len(self.ids) > MEMO:
-            self.older, self.ids, self.text = (self.ids, self.text), {}, {}
-        ids, text, (old_ids, old_text) = self.ids, self.text, self.older
+            self.older, self.ids = self.ids, {}
+        ids, old = self.ids, self.older
         missing = parts.difference(ids)
-        new = [p for p in missing if p not in old_ids]
-        for p in missing.difference(new):
-            ids[p], text[p] = old_ids[p], old_text[p]
-        cut = [self.model.words(p) for p in new]
-        unknown = list({w for ws in cut for w in ws})
-        plain = [w.encode() for w in unknown if isinstance(w, str)]
-        looked_up = self.lexicon.ids_of_all(self.lexicon.ranks(plain))
-        merged = iter(self.model.merge_all([raw for raw, found in zip(plain, looked_up, strict=True) if found is None]))
-        known = iter([next(merged) if found is None else found for found in looked_up])
-        words: dict[str | int, tuple[bytes, str]] = {}
-        for w in unknown:
-            if isinstance(w, int):
-                words[w] = self._entry([w])
-                continue
-            words[w] = self._entry(next(known))
-        for p, ws in zip(new, cut, strict=True):
-            if len(ws) == 1:
-                ids[p], text[p] = words[ws[0]]
-            else:
-                ids[p] = b"".join([words[w][0] for w in ws])
-                text[p] = " ".join([words[w][1] for w in ws])
+        ids.update((p, old[p]) for p in missing.intersection(old))
+        new = missing.difference(old)
+        single = {p: p.lower() for p in new if p.isascii() and p.isalpha()}
+        several = {p: self.model.words(p) for p in new if p not in single}
+        unknown = set(single.values())
+        unknown.update(w for ws in several.values() for w in ws if isinstance(w, str))
+        plain = list(unknown)
+        raw = [w.encode() for w in plain]
+        looked_up = self.lexicon.packed_ids(self.lexicon.ranks(raw))
+        merged = iter(self.model.merge_all([r for r, found in zip(raw, looked_up, strict=True) if found is None]))
+        words: dict[str | int, bytes] = {i: array("I", [i]).tobytes() for i in self.model.special.values()}
+        words.update((w, array("I", next(merged)).tobytes() if found is None else found) for w, found in zip(plain, looked_up, strict=True))
+        ids.update((p, words[w]) for p, w in single.items())
+        ids.update((p, b"".join([words[w] for w in ws])) for p, ws in several.items())
 
 
 def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WORDS, keep: str = "digest") -> DataFrame:
@@ -315,17 +321,18 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEXICON_WO
             split = [split_chunks(t) for t in text.to_pylist()]
             coder.learn({c for cs in split for c in cs})
             raw = [b"".join(map(coder.ids.__getitem__, cs)) for cs in split]
-            decoded = [" ".join(map(coder.text.__getitem__, cs)) for cs in split]
+            sizes = np.array([len(r) // 4 for r in raw], np.int64)
+            flat = np.frombuffer(b"".join(raw), np.uint32)
+            decoded = coder.model.decode(flat, sizes)
             doc = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64())
             if full:
-                offsets = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-                yield pa.record_batch([doc, ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.record_batch([doc, ids, decoded.cast(pa.string())], ["doc_id", "ids", "decoded"])
             else:
-                yield pa.record_batch(
-                    [doc, pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                yield pa.record_batch([doc, pa.array(sizes), pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array(_digests(decoded))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            del split, raw, flat, decoded
+        del coder
+        give_back()
 
     schema = "doc_id long, ids array<int>, decoded string" if full else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -132,12 +132,16 @@ class Lexicon:
             step += 1
         return out
 
-    def ids_of_all(self, ranks: np.ndarray) -> list[list[int] | None]:
-        """The ids of each rank, None for -1."""
+    def packed_ids(self, ranks: np.ndarray) -> list[bytes | None]:
+        """The ids of each rank as 32-bit integers in a row, None for -1."""
         known = ranks[ranks >= 0]
         begin, end = self.offsets[known], self.offsets[known + 1]
         sizes = end - begin
         ends = np.cumsum(sizes)
-        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - begin, sizes)].tolist()
-        lists = iter([flat[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)])
-        return [next(lists) if r >= 0 else None for r in ranks.tolist()]
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - begin, sizes)].tobytes()
+        packed = iter([flat[b - n : b] for b, n in zip((4 * ends).tolist(), (4 * sizes).tolist(), strict=True)])
+        return [next(packed) if r >= 0 else None for r in ranks.tolist()]
+
+    def ids_of_all(self, ranks: np.ndarray) -> list[list[int] | None]:
+        """``packed_ids`` as lists."""
+        return [None if x is None else np.frombuffer(x, np.uint32).tolist() for x in self.packed_ids(ranks)]
