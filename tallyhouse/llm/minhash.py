@@ -3,9 +3,9 @@
 1. Each text becomes its set of distinct 5-word shingles, 128 minima, 32 band keys (four whole minima each)
    and a packed signature of the low 4 bits of each minimum.
 2. Texts with equal sets form one class; only classes go on, so copies cost one row each.
-3. Each bucket of a band compares its members with a few leaders (stars, not all pairs). In buckets whose
-   members this leaves in several components, those outside of the largest meet many of its members; only
-   what is then still apart is compared pair by pair, and there a bitmap of each set also bounds the overlap.
+3. Each bucket of a band compares its members with a leader (stars, not all pairs). Where the buckets whose
+   members this leaves in several components hold too many pairs, those outside of the largest meet some of its
+   members first; what is then still apart is compared pair by pair, in blocks of a bucket, and there a bitmap of each set also bounds the overlap.
    The collision-corrected similarity of the packed signatures must reach ``ESTIMATE`` before a pair is confirmed. Members of one component need no link more.
 4. Pairs are confirmed on their full shingle sets, and the links' components are found by label rounds.
 
@@ -20,6 +20,7 @@ ties go to the smallest doc_id; an empty table gives an empty result; only ``doc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,16 @@ NEAR = (75, 100)
 ESTIMATE = 0.55
 #: Words of the bitmap of a set that bounds overlaps exactly (2,048 bits).
 BITMAP_WORDS = 32
-#: Leaders that all members of a bucket meet; members of its core that all others meet in each round; most rounds.
-LEADERS, CORE_LEADERS, CORE_ROUNDS = 1, 4, 8
+#: Members of a bucket's core that all others meet in each round; most rounds.
+CORE_LEADERS, CORE_ROUNDS = 4, 8
+#: Pairs for each member of mixed buckets up to which they are compared without rounds; about 0.1 ms of a core.
+PAIRS_A_MEMBER = 256
+#: Members of a block of a bucket: a task compares two blocks at once. Pairs that are compared at once.
+BLOCK, PAIRS_AT_ONCE = 512, 1 << 16
+#: Pairs that a component gets of two blocks in the first round; times as many in each further one.
+PARTNERS, MORE = 256, 16
+#: Most large buckets that are broadcast.
+BROADCAST_BUCKETS = 100_000
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +113,107 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / F.lit(MINIMA)) - chance) / (1 - chance)
 
 
-def _overlap_bound(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Most members that two sets can share: bitmaps that differ in h bits come from sets that differ in h members at least."""
-    differ = F.lit(0)
-    for k in range(BITMAP_WORDS):
-        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return F.floor((n_a + n_b - differ) / 2)
+def _possible(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (places a, b in the rows) can be near, and the most that they can share: by label, size, ``estimate``, and by the bitmaps, as sets whose bitmaps differ in h bits differ in h members at least."""
+    label, n, sig, bitmap = rows["label"], rows["n"], rows["sig"], rows["bitmap"]
+    keep = (label[a] != label[b]) & (NEAR[1] * np.minimum(n[a], n[b]) >= NEAR[0] * np.maximum(n[a], n[b]))
+    left = np.flatnonzero(keep)
+    a, b = a[left], b[left]
+    ones = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS)))
+    differ = np.zeros(len(left), np.int64)
+    for word in sig:
+        x = word[a] ^ word[b]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        differ += np.bitwise_count(x & ones)
+    chance = 1 / (1 << BITS)
+    near = np.flatnonzero(((1 - differ / MINIMA) - chance) / (1 - chance) >= ESTIMATE)
+    left, a, b = left[near], a[near], b[near]
+    differ = np.zeros(len(left), np.int64)
+    for word in bitmap:
+        differ += np.bitwise_count(word[a] ^ word[b])
+    total = n[a] + n[b]
+    most = (total - differ) // 2
+    near = np.flatnonzero(NEAR[1] * most >= NEAR[0] * (total - most))
+    left, a, b = left[near], a[near], b[near]
+    key = rows["key"][a].view(np.uint64)
+    first = key.copy()  # the key of the first band that both have: there alone the pair is told
+    for band in rows["bands"][::-1]:
+        first = np.where(band[a] == band[b], band[a], first)
+    return left[first == key], most[near][first == key]
+
+
+def _best(group: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Which entries are among the ``most`` of highest score of their group."""
+    order = np.lexsort((-score, group))
+    begins = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    at = np.flatnonzero(begins)
+    keep = np.zeros(len(group), bool)
+    keep[order] = np.arange(len(group)) - at[np.cumsum(begins) - 1] < most
+    return keep
+
+
+def _compare(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that ``_possible`` lets pass, out of rows sorted by (key, low, high, block): members of one block meet each other, those of two meet across.
+
+    Of two blocks each label gets its ``partners`` best pairs; ``more`` says that pairs were left for a further round.
+    """
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if kept is None else [*kept, batch]).combine_chunks()
+        group = np.stack([np.asarray(table[name]) for name in ("key", "low", "high")])
+        new = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+        done = int(new[-1]) if len(new) else 0  # the last group may go on in the next batch
+        kept = table.slice(done).to_batches()
+        if done:
+            yield _compare_groups(table.slice(0, done), np.concatenate([[0], new]), partners)
+    if kept is not None:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        yield _compare_groups(table, np.array([0, table.num_rows]), partners)
+
+
+def _compare_groups(table: pa.Table, at: np.ndarray, partners: int) -> pa.RecordBatch:
+    """``_compare`` for whole groups, which begin at ``at``."""
+    wide = lambda name: np.ascontiguousarray(table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(table.num_rows, -1).T)
+    rows = {name: np.asarray(table[name]) for name in ("key", "set_hash", "label", "n", "low", "high", "block")} | {name: wide(name) for name in ("sig", "bitmap", "bands")}
+    sizes = np.diff(at)
+    end, begin = np.repeat(at[1:], sizes), np.arange(table.num_rows) + 1
+    first = rows["block"] == rows["low"]
+    across = rows["low"] != rows["high"]
+    second = np.repeat(at[:-1] + np.add.reduceat(first.astype(np.int64), at[:-1]), sizes)  # where the group's second block begins
+    begin = np.where(across, np.where(first, second, end), begin)
+    upto = np.concatenate([[0], np.cumsum(end - begin)])
+    row, met = 0, []
+    while row < table.num_rows:
+        stop = max(row + 1, int(np.searchsorted(upto, upto[row] + PAIRS_AT_ONCE, "right")) - 1)
+        many = end[row:stop] - begin[row:stop]
+        a = np.repeat(np.arange(row, stop), many)
+        b = np.arange(len(a)) - np.repeat(upto[row:stop] - upto[row], many) + np.repeat(begin[row:stop], many)
+        found, score = _possible(rows, a, b)
+        met.append((a[found], b[found], score))
+        row = stop
+    a, b, score = (np.concatenate(x) for x in zip(*met, strict=True))
+    group = np.repeat(np.arange(len(sizes)), sizes)[a]
+    _, label = np.unique(rows["label"], return_inverse=True)
+    ends = np.concatenate([group * table.num_rows + label[a], group * table.num_rows + label[b]])
+    keep = _best(ends, np.concatenate([score, score]), partners).reshape(2, -1).any(axis=0) if len(a) else np.zeros(0, bool)
+    left = np.isin(group, group[~keep])
+    x, y = rows["set_hash"][a[keep]], rows["set_hash"][b[keep]]
+    return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(left[keep])], ["a", "b", "more"])
+
+
+def _apart(mixed: DataFrame, large: DataFrame, classes: DataFrame, sets: DataFrame, partners: int) -> DataFrame:
+    """Distinct pairs (a, b, more) of different labels in a bucket that can be near, as ``_compare`` tells them. ``large``: (key, n) of the buckets of more than one block.
+
+    A bucket of k blocks is dealt as k * (k + 1) / 2 pairs of blocks, so that no task gets more than two blocks of a bucket at once.
+    """
+    blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK)
+    dealt = mixed.join(large.withColumnRenamed("n", "members"), "key", "left").select("key", "set_hash", "label", F.pmod(F.xxhash64("set_hash"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set_hash", "label")
+    known = classes.select("set_hash", "n", "sig", "bands").join(sets.select("set_hash", "bitmap"), "set_hash")
+    whole = dealt.join(known, "set_hash").select("key", "low", "high", "block", "set_hash", "label", "n", "sig", "bitmap", "bands")
+    dealt = whole.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block")
+    return dealt.mapInArrow(partial(_compare, partners=partners), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -137,8 +241,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose full sets are near."""
     first = pairs.join(sets.select(F.col("set_hash").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("set_hash").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("common", common).where(NEAR[1] * F.col("common") >= NEAR[0] * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    # 100 * common >= 75 * (sizes - common), with the intersection written once
+    return both.where((NEAR[0] + NEAR[1]) * F.size(F.array_intersect("sa", "sb")) >= NEAR[0] * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def near_classes(docs: DataFrame, base: DataFrame, size: int = 5) -> DataFrame:
@@ -156,40 +260,49 @@ def near_classes(docs: DataFrame, base: DataFrame, size: int = 5) -> DataFrame:
     fits = NEAR[1] * F.least("n_a", "n_b") >= NEAR[0] * F.greatest("n_a", "n_b")
     alike = fits & (estimate(F.col("sig_a"), F.col("sig_b")) >= ESTIMATE)
 
-    def stars(few: DataFrame, leads: DataFrame, label: str) -> DataFrame:
-        """Confirmed links of the rows (key, set_hash) of ``few`` with the leaders (key, leads) of their buckets."""
-        own = few.join(leads, "key").groupBy("set_hash").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
-        met = own.select(F.col("set_hash").alias("x"), F.explode("leads").alias("y")).where("x <> y")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialize(pairs.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b"), "stars")
-        return materialize(_confirm(pairs, sets), label)
+    def confirmed(met: DataFrame) -> DataFrame:
+        """Links among the pairs (x, y) of classes."""
+        pairs = met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return materialize(_confirm(pairs.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b"), sets), "links")
 
-    first = Window.partitionBy("key").orderBy("set_hash")
-    leads = members.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS).groupBy("key").agg(F.collect_list("set_hash").alias("leads"))
-    roots = components(stars(members, leads, "links"))
+    leads = members.groupBy("key").agg(F.min("set_hash").alias("lead"))
+    roots = components(confirmed(members.join(leads, "key").select(F.col("set_hash").alias("x"), F.col("lead").alias("y"))))
 
     # In each mixed bucket the largest group is its core; the others meet some of its members, and other ones
-    # in the next round, for as long as that joins many of them.
+    # in the next round, for as long as there are too many pairs and that joins many of them.
     mixed, before = _mixed(members, roots), None
-    for again in range(CORE_ROUNDS):
-        core = mixed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("core")).select("key", "core.label")
-        others = materialize(mixed.join(core, ["key", "label"], "left_anti").select("key", "set_hash"), "others")
-        now = others.select("set_hash").distinct().count()
-        if not now or (before is not None and now > 0.7 * before):
+    for again in range(CORE_ROUNDS + 1):
+        tally, rows, pairs, n_large = _tally(mixed)
+        if pairs <= PAIRS_A_MEMBER * rows or again == CORE_ROUNDS or (before is not None and pairs > 0.7 * before):
             break
-        before = now
+        before = pairs
+        core = tally.select("key", "core.label")
         some = Window.partitionBy("key").orderBy(F.xxhash64("set_hash", F.lit(again)))
         leads = mixed.join(core, ["key", "label"]).withColumn("k", F.row_number().over(some)).where(F.col("k") <= CORE_LEADERS).groupBy("key").agg(F.collect_list("set_hash").alias("leads"))
-        roots = _merged(roots, stars(others, leads, "links"))
+        others = mixed.join(core, ["key", "label"], "left_anti").select("key", "set_hash")
+        own = others.join(leads, "key").groupBy("set_hash").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+        roots = _merged(roots, confirmed(own.select(F.col("set_hash").alias("x"), F.explode("leads").alias("y"))))
         mixed = _mixed(members, roots)
 
-    rest = materialize(mixed.join(signed, "set_hash").join(sets.select("set_hash", "bitmap"), "set_hash"), "rest")
-    left = rest.select("key", F.col("set_hash").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"), F.col("bitmap").alias("bits_a"))
-    right = rest.select("key", F.col("set_hash").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("bitmap").alias("bits_b"))
-    most = _overlap_bound(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))
-    possible = NEAR[1] * most >= NEAR[0] * (F.col("n_a") + F.col("n_b") - most)
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike & possible).select("a", "b").distinct()
-    return _merged(roots, _confirm(materialize(more, "more"), sets))
+    # What is still apart meets all of its buckets; the best pairs of each component are confirmed first.
+    partners = PARTNERS
+    while pairs:
+        large = tally.where(F.col("n") > BLOCK).select("key", "n")
+        found = materialize(_apart(mixed, F.broadcast(large) if n_large <= BROADCAST_BUCKETS else large, classes, sets, partners), "more")
+        roots = _merged(roots, _confirm(found.select("a", "b"), sets))
+        if found.where("more").isEmpty():
+            break
+        mixed, partners = _mixed(members, roots), partners * MORE
+        tally, rows, pairs, n_large = _tally(mixed)
+    return roots
+
+
+def _tally(mixed: DataFrame) -> tuple[DataFrame, int, float, int]:
+    """(key, core struct of n and label, n, squares) of mixed buckets; all members, pairs of different labels, buckets of more than one block."""
+    square = F.col("n").cast("double") * F.col("n")
+    labels = mixed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    tally = materialize(labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("n"), F.sum(square).alias("squares")), "tally")
+    return tally, *tally.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((square - F.col("squares")) / 2), F.lit(0.0)), F.count_if(F.col("n") > BLOCK)).first()
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
