@@ -134,17 +134,25 @@ def reason_pairs(rulings: DataFrame, most: int) -> DataFrame:
 def claim_pairs(claims: DataFrame, least: float = 0.5, most: int = 150) -> DataFrame:
     """Pairs of claims (claim_id, subject, text) of different subjects with word sets that overlap; identical texts are settled by code and left out.
 
-    Only distinct word sets are compared. Of the claims with one word set and subject, those after the first ``most``
-    have ``most`` better pairs with any partner and are left out of the last join.
+    Only distinct texts are split and only distinct word sets compared. Pairs come by score, then by their lesser id: a
+    claim that is the lesser one of any pair of a score stands for one pair at least, so the first ``most`` such claims
+    hold the first ``most`` pairs, and only they meet their partners.
     """
+    claims = claims.select("claim_id", "subject", "text").where("claim_id is not null and subject is not null")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
-    bag = claims.select("claim_id", "subject", F.array_sort(words).alias("words")).where(F.size("words") >= 3)
-    bag = bag.withColumn("place", F.dense_rank().over(Window.partitionBy("words", "subject").orderBy("claim_id"))).where(F.col("place") <= most).drop("place")
-    sets = bag.select(F.col("words").alias("key"), F.col("words").alias("items")).distinct()
-    scored = similar_sets(sets, least).where(F.col("score") < 1).withColumnsRenamed({"key_a": "words_a", "key_b": "words_b"})
-    side = lambda name: bag.select(F.col("words").alias(f"words_{name}"), F.col("claim_id").alias(f"id_{name}"), F.col("subject").alias(f"s_{name}"))
-    pairs = scored.join(side("a"), "words_a").join(side("b"), "words_b").where("s_a <> s_b and id_a <> id_b")
-    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score").orderBy(F.col("score").desc(), "id_a", "id_b").limit(most)
+    texts = cut(claims.select("text").distinct().select("text", F.array_sort(words).alias("words"))).where(F.size("words") >= 3)
+    scored = similar_sets(texts.select(F.col("words").alias("key"), F.col("words").alias("items")).distinct(), least).where(F.col("score") < 1)
+    both = F.array(*[F.struct(F.col(f"key_{x}").alias("words"), F.col(f"key_{y}").alias("met")) for x, y in ("ab", "ba")])
+    scored = cut(scored.select(F.explode(both).alias("p"), "score").select("p.words", "p.met", "score"))
+    # The last id of any subject but one is among those of the two subjects with the largest last ids.
+    two = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("last").desc()))).where("k <= 2").drop("k")
+    last = claims.groupBy("text", "subject").agg(F.max("claim_id").alias("last")).join(texts, "text").groupBy("words", "subject").agg(F.max("last").alias("last"))
+    reached = scored.join(two(last, "words").withColumnRenamed("words", "met"), "met").groupBy("words", "score", "subject").agg(F.max("last").alias("last"))
+    reached = texts.join(two(reached, "words", "score"), "words").select("text", "score", F.col("subject").alias("s_last"), "last")
+    lesser = claims.join(reached, "text").where("subject <> s_last and claim_id < last").select("score", "claim_id").distinct().orderBy(F.col("score").desc(), "claim_id").limit(most)
+    first = claims.join(lesser, "claim_id").join(texts, "text").join(scored, ["words", "score"]).select("score", F.col("claim_id").alias("id_a"), F.col("subject").alias("s_a"), F.col("met").alias("words"))
+    pairs = first.join(texts, "words").join(claims, "text").where("subject <> s_a and claim_id > id_a")
+    return pairs.select("id_a", F.col("claim_id").alias("id_b"), "score").orderBy(F.col("score").desc(), "id_a", "id_b").limit(most)
 
 
 def sentences(texts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The queries over whole tables: rows of all ids, and both kinds of pairs by brute force."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +48,15 @@ def test_pairs_over_the_whole_table(spark):
         told = sorted((f, a, b) for (f, _), a in first.items() for (g, _), b in first.items() if f == g and a < b)[:most]
         got = planning.reason_pairs(spark.createDataFrame(rulings, "family string, reason string, id long"), most).collect()
         assert [tuple(r) for r in got] == told
+
+
+def test_few_word_sets_of_many_claims(spark):
+    n = 240_000  # 120,000 claims a word set: 14 milliard pairs, of which the first are wanted
+    claims = spark.range(n).select(F.col("id").alias("claim_id"), F.concat(F.lit("s"), (F.col("id") / 2).cast("long") % 1000).alias("subject"), F.when(F.col("id") % 2 == 0, "red hot iron").otherwise("red hot iron bolt").alias("text"))
+    began = time.time()
+    got = [tuple(r) for r in planning.claim_pairs(claims, 0.5, 300).collect()]
+    assert got == [(0, 1 + 2 * k, 0.75) for k in range(1, 301)] and time.time() - began < 120
+    # An id may have two texts; what lacks an id, a subject or a text meets nothing.
+    few = [(1, "a", "red hot iron bolt"), (6, "b", "red hot iron"), (6, "b", "red hot iron bolt"), (7, "b", "red hot iron"), (9, "a", "red hot iron bolt"), (None, "c", "red hot iron"), (8, None, "red hot iron"), (9, "c", None)]
+    got = planning.claim_pairs(spark.createDataFrame(few, "claim_id long, subject string, text string"), 0.5, 2).collect()
+    assert [tuple(r) for r in got] == [(1, 6, 0.75), (1, 7, 0.75)]
