@@ -543,7 +543,7 @@ _placed = lambda df, key, p, k=None: df.select(key, F.expr(f"cast({_LAT.format(k
 _places = lambda t: (_placed(t("customer"), "c_custkey", "c"), _placed(t("supplier"), "s_suppkey", "s", "(s_suppkey * 31 + 7)"), ("c_lat", "c_lon"), ("s_lat", "s_lon"))
 _PLACES = f"""c as (select c_custkey, ({_LAT.format("c_custkey")})::double c_lat, ({_LON.format("c_custkey")})::double c_lon from customer), s as (select s_suppkey, ({_LAT.format("(s_suppkey * 31 + 7)")})::double s_lat, ({_LON.format("(s_suppkey * 31 + 7)")})::double s_lon from supplier),
 p as (select *, 2 * {geo.EARTH} * asin(sqrt(least(1.0, pow(sin(radians(s_lat - c_lat) / 2), 2) + cos(radians(c_lat)) * cos(radians(s_lat)) * pow(sin(radians(s_lon - c_lon) / 2), 2)))) metres from c, s)"""
-register("radius_join", lambda t: geo.radius_join(*_places(t), 700_000).select("c_custkey", "s_suppkey", r(F.col("metres"), 1).alias("metres")), f"with {_PLACES} select c_custkey, s_suppkey, round(metres, 1) metres from p where metres <= 700000")
+register("radius_join", lambda t: geo.radius_join(*_places(t), 700_000, lambda c: F.floor(c * 10 + 0.5) / 10).select("c_custkey", "s_suppkey", "metres"), f"with {_PLACES} select c_custkey, s_suppkey, round(metres, 1) metres from p where metres <= 700000")
 register("box_against_circle", lambda t: geo.box_against_circle(*_places(t), 5.0), f"with {_PLACES}, q as (select abs(s_lat - c_lat) <= 5 and abs(s_lon - c_lon) <= 5 box, metres <= radians(5.0) * {geo.EARTH} circle from p) select count(*) filter (where box) n_box, count(*) filter (where circle) n_circle, count(*) filter (where box and not circle) n_corners from q")
 
 # ---------------------------------------------------------------- functions of our own in SQL

@@ -34,6 +34,21 @@ def test_radius_join_is_brute_force(spark, radius):
     assert got == sorted((a[0], b[0]) for a in left for b in right if metres(a[1:], b[1:]) <= radius)
 
 
+def test_one_full_cell_is_dealt_over_tasks(spark):
+    """All rows lie by a pole, read by one task; many share a place."""
+    n, m = 24_000, 3_000
+    left = spark.range(0, n, 1, 1).select("id", (89.5 + F.col("id") % 4000 / 10_000).alias("lat"), (F.col("id") % 360).cast("double").alias("lon")).withColumn("lon", F.when(F.col("id") < 3_000, 7.0).otherwise(F.col("lon"))).withColumn("lat", F.when(F.col("id") < 3_000, 90.0).otherwise(F.col("lat")))
+    right = spark.range(0, m, 1, 1).select(F.col("id").alias("id_b"), (89.2 + F.col("id") % 100 / 200).alias("lat_b"), (F.col("id") * 7 % 360).cast("double").alias("lon_b"))
+    met = geo.radius_join(left, right, ("lat", "lon"), ("lat_b", "lon_b"), 700_000.0)
+    by_task = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(by_task) == n * m and max(by_task) <= n * m / 2
+    assert met.where("id_b % 1000 = 0").groupBy("id", "id_b").count().agg(F.count("*"), F.max("count")).first() == (3 * n, 1)
+    few = geo.radius_join(left.where("id % 1000 = 1"), right.where("id_b < 5").withColumnRenamed("id_b", "id"), ("lat", "lon"), ("lat_b", "lon_b"), 40_000.0, lambda c: F.floor(c * 10 + 0.5) / 10)
+    assert few.columns == ["id", "lat", "lon", "id", "lat_b", "lon_b", "metres"]
+    want = [(a[1:], b[1:], metres(a[1:], b[1:])) for a in left.where("id % 1000 = 1").collect() for b in right.where("id_b < 5").collect()]
+    assert sorted((r[1:3], r[4:6], r[6]) for r in few.collect()) == sorted((a, b, math.floor(x * 10 + 0.5) / 10) for a, b, x in want if x <= 40_000)
+
+
 def test_a_point_is_looked_up_in_few_cells(spark):
     frame = spark.createDataFrame([p for p in points(3, 400) if abs(p[1]) < 80], POINTS)
     cells = geo.Cells(5_000.0)
