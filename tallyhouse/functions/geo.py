@@ -64,11 +64,14 @@ class Cells:
         """Array of the bands that a circle around a point touches."""
         return F.sequence(self.band(F.greatest(lat - self.degrees, F.lit(-90.0))), self.band(F.least(lat + self.degrees, F.lit(90.0))))
 
-    def _places(self, lat: Column, lon: Column, n: Column) -> Column:
-        """Array of the places of such a band, of ``n`` ranges; to be taken modulo ``n``."""
+    def _reach(self, lat: Column) -> Column:
+        """Degrees of longitude to either side that a circle around a point touches."""
         sine = F.sin(F.radians(F.lit(self.degrees))) / F.cos(F.radians(lat))
         over = (lat - self.degrees <= -90) | (lat + self.degrees >= 90)
-        reach = F.when(over, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))) * _ROOM)
+        return F.when(over, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))) * _ROOM)
+
+    def _places(self, lon: Column, reach: Column, n: Column) -> Column:
+        """Array of the places so touched in a band of ``n`` ranges; to be taken modulo ``n``."""
         first, last = F.floor((lon + 180 - reach) / 360 * n).cast("long"), F.floor((lon + 180 + reach) / 360 * n).cast("long")
         return F.sequence(first, F.least(last, first + n - 1))  # once around at most
 
@@ -77,7 +80,7 @@ class Cells:
 
         def of_band(band: Column) -> Column:
             n = self.ranges(band)
-            return F.transform(self._places(lat, lon, n), lambda p: F.struct(band.alias("band"), F.pmod(p, n).alias("place")))
+            return F.transform(self._places(lon, self._reach(lat), n), lambda p: F.struct(band.alias("band"), F.pmod(p, n).alias("place")))
 
         return F.flatten(F.transform(self._touched(lat), of_band))
 
@@ -87,8 +90,9 @@ class Cells:
 
     def spread(self, df: DataFrame, lat: Column, lon: Column) -> DataFrame:
         """``df`` with a row for each cell of ``near``, as __band and __place."""
-        banded = df.withColumn("__band", F.explode(self._touched(lat))).withColumn("__ranges", self.ranges(F.col("__band")))
-        return banded.withColumn("__place", F.explode(self._places(lat, lon, F.col("__ranges")))).withColumn("__place", F.pmod("__place", "__ranges")).drop("__ranges")
+        banded = df.withColumn("__reach", self._reach(lat)).withColumn("__band", F.explode(self._touched(lat))).withColumn("__ranges", self.ranges(F.col("__band")))
+        placed = banded.withColumn("__place", F.explode(self._places(lon, F.col("__reach"), F.col("__ranges"))))
+        return placed.withColumn("__place", F.pmod("__place", "__ranges")).drop("__reach", "__ranges")
 
 
 def radius_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], radius: float, told: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -106,7 +110,7 @@ def radius_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[
     meets = [*key, "__part_a", "__part_b"]
     hashed = lambda df: F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]).alias("__hash")
     rows = left.where(here(*a)).select(F.struct("*").alias("__row"), hashed(left), *[c.alias(n) for n, c in place(a).items()])
-    points = right.where(here(*b)).select(F.struct("*").alias("__met"), hashed(right), *[c.alias(n) for n, c in place(b).items()]).repartition(parts, "__hash")
+    points = right.where(here(*b)).select(F.struct("*").alias("__met"), hashed(right), *[c.alias(n) for n, c in place(b).items()]).repartition("__hash")
     lat, lon = (F.col(c) for c in sites)
     blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias(name))
     # Copies may be many where their table is small: nothing is broadcast by its size.
